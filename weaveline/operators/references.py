@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weaveline.scratch import hot_keys
+
 #: A reference key with more than 1/HOT_SHARE of all references is salted, so at most HOT_SHARE keys are hot.
 HOT_SHARE = 256
 
@@ -82,14 +84,7 @@ def orphan_references(
         F.col(recorded).alias("recorded_at"),
         F.explode(F.array(*[F.struct(F.lit(s).alias("side"), clean_reference(F.col(c)).alias("key")) for s, c in sides.items()])).alias("r"),
     ).select("child_id", "recorded_at", "r.side", "r.key").filter("key is not null")
-    per_key = refs.groupBy("key").agg(F.count("*").alias("n"))
-    total = refs.agg(F.count("*").alias("total"))
-    hot = (
-        per_key.join(F.broadcast(total))  # one row
-        .filter(F.col("n") * hot_share > F.col("total"))
-        .select("key", F.ceil(F.col("n") * hot_share / F.col("total")).cast("int").alias("salts"))
-    )  # below hot_share rows, for their shares add up to 1
-    hot = F.broadcast(hot)
+    hot = hot_keys(refs.select("key"), ["key"], hot_share)
     spans = parent_spans(parents, parent_key, arrived, deleted, grace_hours)
     as_child = {f: F.lit(None).cast(refs.schema[f].dataType).alias(f) for f in ("child_id", "side", "recorded_at")}
     edges = (

@@ -53,12 +53,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *[F.col(k) for k in keys])
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """(`df` with a broadcast hint, True) if it is proven to have at most `rows` rows, else (`df`, False)."""
-    small = df.limit(rows + 1).count() <= rows
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None, chars: int = 32_000_000) -> tuple[DataFrame, bool]:
+    """(`df` with a broadcast hint, True) if it is counted to have at most `rows` rows and `chars` characters in column `text`, else (`df`, False)."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)) if text else F.lit(0), F.lit(0))).first()
+    small = n <= rows and size <= chars
     return (F.broadcast(df), True) if small else (df, False)
 
 
+def hot_keys(df: DataFrame, keys: list[str], share: int = 256) -> DataFrame:
+    """Keys with more than 1/share of all rows: (keys, salts), to be broadcast: their shares add up to 1, so there are under `share`.
+
+    `salts` is the number of parts into which a key's rows have to be cut so
+    that each has at most about 1/share of all rows.
+    """
+    total = df.agg(F.count("*").alias("total"))
+    return F.broadcast(
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("n"))
+        .join(F.broadcast(total))  # one row
+        .filter(F.col("n") * share > F.col("total"))
+        .select(*keys, F.ceil(F.col("n") * share / F.col("total")).cast("int").alias("salts"))
+    )
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, for models that are costly to load."""
     name = "_weaveline_worker_cache"
