@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weaveline.llm import consensus, contamination, neighbors, packing, split
+from weaveline.llm import consensus, contamination, neighbors, packing, readability, split
 from weaveline.plans.tables import table
 
 ANSWERS = {"tier": ["a", "b", "c", "d"], "target_correct": ["true", "false"], "anchor_natural": ["true", "false"]}
@@ -66,9 +66,22 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.leaked_items(_leaks(spark, sf), "item_id")
 
 
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    model = readability.fit_levels(table(spark, sf, "graded_samples"), "sample_id", "text", "grade")
+    return readability.reading_levels(table(spark, sf, "documents"), "doc_id", "text", model)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf).select("doc_id", "grade")
+
+
+def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return readability.level_profile(_levels(spark, sf), table(spark, sf, "documents"), "doc_id", "source")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_split, p3_found, p3_agreement, p3_reliability, p5_found, p5_neighbors, p6_assignment, p6_fill, p7_found, p7_items)
+    for f in (p1_found, p1_split, p3_found, p3_agreement, p3_reliability, p5_found, p5_neighbors, p6_assignment, p6_fill, p7_found, p7_items, p8_found, p8_profile)
 }
 
 _VECTORS = """
