@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weaveline.llm import consensus, contamination, neighbors, packing, readability, split
+from weaveline.llm import consensus, contamination, nearduplicates, neighbors, packing, readability, split
 from weaveline.plans.tables import table
 
 ANSWERS = {"tier": ["a", "b", "c", "d"], "target_correct": ["true", "false"], "anchor_natural": ["true", "false"]}
@@ -19,6 +19,17 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return split.oversized(p1_split(spark, sf), "chunk_id")
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "source_documents").select(F.lit("document").alias("kind"), F.col("doc_key").alias("key"), F.col("content").alias("text"))
+    chunks = table(spark, sf, "search_chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), "text")
+    return documents.unionByName(chunks)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    links, members = nearduplicates.near_duplicates(_records(spark, sf), width=3, threshold=0.6, measure="set", least_words=50)
+    return nearduplicates.expanded_pairs(links, members).withColumnRenamed("kind", "record_kind")
+
+
 def _votes(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "audit_items").select(F.col("id").alias("item")).distinct()
     votes = consensus.latest_votes(table(spark, sf, "audit_labels"), "item_id", "annotator", list(ANSWERS), "labeled_at", "label_id", ANSWERS)
@@ -81,7 +92,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_split, p3_found, p3_agreement, p3_reliability, p5_found, p5_neighbors, p6_assignment, p6_fill, p7_found, p7_items, p8_found, p8_profile)
+    for f in (p1_found, p1_split, p2_found, p3_found, p3_agreement, p3_reliability, p5_found, p5_neighbors, p6_assignment, p6_fill, p7_found, p7_items, p8_found, p8_profile)
 }
 
 _VECTORS = """
@@ -100,6 +111,21 @@ ORACLE = {
     "p1_found": r"""
 SELECT chunk_id FROM search_chunks
 WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]')) > 250""",
+    "p2_found": r"""
+WITH records AS (
+  SELECT 'document' AS record_kind, doc_key AS key, content AS text FROM source_documents
+  UNION ALL SELECT 'chunk', chunk_id, text FROM search_chunks),
+words AS (SELECT record_kind, key, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM records WHERE text IS NOT NULL),
+sets AS (
+  SELECT record_kind, key, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s
+  FROM words WHERE len(w) >= 50),
+posts AS (SELECT record_kind, key, len(s) AS n, unnest(s) AS t FROM sets),
+rare AS (SELECT record_kind, t FROM posts GROUP BY ALL HAVING count(*) > 1),
+both_in AS (
+  SELECT a.record_kind, a.key AS key_a, b.key AS key_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM posts a JOIN rare USING (record_kind, t) JOIN posts b ON a.record_kind = b.record_kind AND a.t = b.t AND a.key < b.key
+  WHERE least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT record_kind, key_a, key_b FROM both_in WHERE c >= 0.6 * (na + nb - c)""",
     "p3_agreement": r"""
 WITH sheets AS (
   SELECT item_id, lower(trim(annotator)) AS annotator, lower(trim(tier)) AS tier, target_correct, anchor_natural,

@@ -113,7 +113,7 @@ def sentences(block: str) -> list[str]:
     return [s for s in _END.split(" ".join(lines)) if s]
 
 
-def is_english(words: list[str], least: float = 0.2) -> bool:
+def is_english(words: list[str], least: float = 0.15) -> bool:
     """Whether English function words make up `least` of the words and more than those of any other language."""
     if not words:
         return False
