@@ -1,12 +1,12 @@
 """Query registry over the driver's tables."""
 
-from weaveline.plans import references
+from weaveline.plans import graphs, pairs, references, textstats
 
-_MODULES = [references]
+_MODULES = [pairs, graphs, textstats, references]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["p4_found"](spark, sf_dir)
+    return QUERIES["missing_links"](spark, sf_dir)
