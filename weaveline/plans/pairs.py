@@ -101,17 +101,17 @@ def y9_document_vectors(spark, sf):
 
 
 def f3_local_density(spark, sf):
-    return K.local_density(j5_knn_by_view(spark, sf)).select("unit", F.round("density", 8).alias("density"))
+    return K.local_density(j5_knn_by_view(spark, sf)).select("unit", F.round("density", 12).alias("density"))
 
 
 def f4_hubness(spark, sf):
     s = Stage(spark, sf)
-    return P.hubness(s.units, s.density).select("doc", F.round("hubness", 8).alias("hubness"))
+    return P.hubness(s.units, s.density).select("doc", F.round("hubness", 12).alias("hubness"))
 
 
 def f12_csls(spark, sf):
     s = Stage(spark, sf)
-    return K.csls(s.neighbors, s.density).select("unit", "neighbor", F.round("csls", 8).alias("csls"))
+    return K.csls(s.neighbors, s.density).select("unit", "neighbor", F.round("csls", 12).alias("csls"))
 
 
 def f15_consistency(spark, sf):
@@ -138,7 +138,7 @@ def f2_bounded_pairs(spark, sf):
 
 
 def f5_pair_features(spark, sf):
-    return Stage(spark, sf).features().select("source", "target", *[F.round(F.col(c).cast("double"), 7).alias(c) for c in FEATURES])
+    return Stage(spark, sf).features().select("source", "target", *[F.round(F.col(c).cast("double"), 12).alias(c) for c in FEATURES])
 
 
 def missing_links(spark, sf):
@@ -146,7 +146,7 @@ def missing_links(spark, sf):
     s = Stage(spark, sf).scored()
     id_ = R.proposal_id(F.col("source"), F.col("target"), F.col("direction"), VERSION)
     keep = ["score", "relatedness", "usefulness", "missingness", "quality"]
-    return s.select(id_.alias("id"), "source", "target", "direction", *[F.round(c, 7).alias(c) for c in keep])
+    return s.select(id_.alias("id"), "source", "target", "direction", *[F.round(c, 12).alias(c) for c in keep])
 
 
 def proposals(spark, sf):
@@ -249,8 +249,8 @@ bridged AS (SELECT *, cs * CASE WHEN graph_distance <= 2 THEN 0 WHEN graph_dista
 final AS (SELECT source, target, {_CL('0.35 * cs + 0.30 * bc + 0.15 * sbn + 0.10 * lx + 0.10 * br - 0.10 * hub - 0.20 * dup - 0.10 * red')} AS score, {_CL('0.4 * ds + 0.4 * bc + 0.2 * tr')} AS relatedness,
   {_CL('0.5 + 0.25 * sbn + 0.25 * br - 0.25 * hub - 0.5 * dup')} AS usefulness, least(greatest(0.3 + 0.175 * (graph_distance - 2), 0.1), 1.0) AS missingness,
   CASE WHEN NOT EXISTS (SELECT 1 FROM kept k WHERE k.source = b.source AND k.target = b.target AND k.view = 'section') THEN 'undirected' WHEN forward - backward > 0.02 THEN 'source-to-target' WHEN backward - forward > 0.02 THEN 'target-to-source' ELSE 'undirected' END AS direction FROM bridged b),
-props AS MATERIALIZED (SELECT 'sha256:' || sha256('["' || source || '","' || target || '","' || direction || '","{VERSION}"]') AS id, source, target, direction, round(score, 7) AS score, round(relatedness, 7) AS relatedness, round(usefulness, 7) AS usefulness,
-  round(missingness, 7) AS missingness, round(relatedness * usefulness, 7) AS quality FROM final)"""
+props AS MATERIALIZED (SELECT 'sha256:' || sha256('["' || source || '","' || target || '","' || direction || '","{VERSION}"]') AS id, source, target, direction, round(score, 12) AS score, round(relatedness, 12) AS relatedness, round(usefulness, 12) AS usefulness,
+  round(missingness, 12) AS missingness, round(relatedness * usefulness, 12) AS quality FROM final)"""
 DECISIONS = """
 reviews AS (SELECT id, 1 AS seq, 'reject' AS decision, 'too_generic' AS reason FROM props WHERE length(source) % 3 = 0
   UNION ALL SELECT id, 2, CASE WHEN h < 5 THEN 'accept' WHEN h < 8 THEN 'reject' ELSE 'defer' END, NULL FROM (SELECT id, target, ('0x' || substr(id, 8, 6))::BIGINT % 10 AS h FROM props) WHERE length(target) % 2 = 0),
@@ -270,18 +270,18 @@ ORACLE = {
     "j9_search": "SELECT b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM embeddings a, embeddings b WHERE a.vec_id = (SELECT min(vec_id) FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 10",
     "x21_item_similarity": "SELECT b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim, row_number() OVER (ORDER BY round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id = (SELECT min(vec_id) FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 10",
     "j5_knn_by_view": _NN + "SELECT view, unit, neighbor, sim, rank FROM nn",
-    "e3_normalized": f"WITH e AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE {_FINITE}) SELECT id, 1.0 AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 9) AS first FROM e",
+    "e3_normalized": f"WITH e AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE {_FINITE}) SELECT id, 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 9) AS first FROM e",
     "e8_cosine": f"WITH e AS (SELECT id, chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE {_FINITE}) SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM e a JOIN e b USING (chunk_id) WHERE a.id < b.id",
     "y9_document_vectors": _UNITS + "SELECT doc, min(unit) AS unit, round(arg_min(v[1], unit), 9) AS first FROM units WHERE view = 'document' GROUP BY doc",
-    "f3_local_density": _NN + "SELECT unit, round(density, 8) AS density FROM density",
-    "f4_hubness": graphs.recursive(C.UNITS, NN, HUB) + "SELECT doc, round(hubness, 8) AS hubness FROM hub",
-    "f12_csls": _NN + "SELECT nn.unit, neighbor, round(2 * sim - coalesce(a.density, 0) - coalesce(b.density, 0), 8) AS csls FROM nn LEFT JOIN density a ON a.unit = nn.unit LEFT JOIN density b ON b.unit = neighbor",
+    "f3_local_density": _NN + "SELECT unit, round(density, 12) AS density FROM density",
+    "f4_hubness": graphs.recursive(C.UNITS, NN, HUB) + "SELECT doc, round(hubness, 12) AS hubness FROM hub",
+    "f12_csls": _NN + "SELECT nn.unit, neighbor, round(2 * sim - coalesce(a.density, 0) - coalesce(b.density, 0), 12) AS csls FROM nn LEFT JOIN density a ON a.unit = nn.unit LEFT JOIN density b ON b.unit = neighbor",
     "f15_consistency": "SELECT id FROM chunk_vectors WHERE chunk_id NOT IN (SELECT chunk_id FROM search_chunks)",
     "j6_unit_matches": _MATCH + "SELECT * FROM matches",
     "j8_unblocked": _MATCH + "SELECT * FROM free",
     "f1_kept_matches": _MATCH + "SELECT source, target, src_unit, tgt_unit, view, place FROM kept",
     "f2_bounded_pairs": _MATCH + "SELECT source, target, best FROM bounded",
-    "f5_pair_features": _FEATS + "SELECT source, target, " + ", ".join(f"round({c}::DOUBLE, 7) AS {c}" for c in FEATURES) + " FROM feats",
+    "f5_pair_features": _FEATS + "SELECT source, target, " + ", ".join(f"round({c}::DOUBLE, 12) AS {c}" for c in FEATURES) + " FROM feats",
     "missing_links": _PROPS + "SELECT * FROM props",
     "a13_confidence": _REVIEWED.rstrip() + """,
 d AS (SELECT id, quality, (decision = 'accept')::DOUBLE AS ok, ntile(10) OVER (ORDER BY quality DESC, id) AS decile FROM latest JOIN props USING (id) WHERE decision IN ('accept', 'reject')),

@@ -82,10 +82,10 @@ def x12_tag_collisions(spark, sf):
 
 
 def x13_untagged_mentions(spark, sf):
-    d = docs(spark, sf)
-    tags = d.select(X.tag_key(F.col("category")).alias("tag")).filter("tag is not null").distinct()
-    tagged = d.select(F.col("doc_id").alias("doc"), X.tag_key(F.col("category")).alias("tag"))
-    return S.untagged_mentions(d, "doc_id", "text", tags, tagged)
+    d = table(spark, sf, "source_documents")
+    listed = F.from_json("metadata", "tags array<string>")["tags"]
+    tagged = d.select(F.col("doc_key").alias("doc"), F.explode(listed).alias("tag")).select("doc", X.tag_key(F.col("tag")).alias("tag")).distinct()
+    return S.untagged_mentions(d, "doc_key", "content", tagged.select("tag").distinct(), tagged)
 
 
 def x15_index_stats(spark, sf):
@@ -217,9 +217,10 @@ SELECT word, df, array_to_string(docs, ',') AS docs FROM df WHERE df >= 2 AND df
     "x11_category_counts": "SELECT category, count(*) AS n FROM documents WHERE category IS NOT NULL GROUP BY category ORDER BY n DESC, category LIMIT 20",
     "x11_sparse_sources": "SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) < 5",
     "x12_tag_collisions": f"SELECT {_TAGKEY} AS key, string_agg(DISTINCT category, '|' ORDER BY category) AS variants, count(*) AS n FROM documents WHERE category IS NOT NULL GROUP BY 1 HAVING count(DISTINCT category) > 1",
-    "x13_untagged_mentions": rf"""WITH d AS (SELECT doc_id AS doc, {_TAGKEY} AS tag, ' ' || array_to_string(regexp_extract_all(lower(text), '{_W}'), ' ') || ' ' AS body FROM documents),
-tags AS (SELECT DISTINCT tag, ' ' || array_to_string(regexp_extract_all(tag, '{_W}'), ' ') || ' ' AS run FROM d WHERE tag IS NOT NULL)
-SELECT DISTINCT d.doc, t.tag FROM d JOIN tags t ON contains(d.body, t.run) WHERE d.tag IS DISTINCT FROM t.tag AND trim(t.run) <> ''""",
+    "x13_untagged_mentions": rf"""WITH t AS (SELECT doc_key AS doc, trim(regexp_replace(replace(lower(unnest(from_json(metadata, '{{"tags": ["VARCHAR"]}}').tags)), '-', ' '), '{_SP}+', ' ', 'g')) AS tag FROM source_documents WHERE metadata IS NOT NULL AND json_valid(metadata)),
+d AS (SELECT doc_key AS doc, ' ' || array_to_string(regexp_extract_all(lower(content), '{_W}'), ' ') || ' ' AS body FROM source_documents),
+tags AS (SELECT DISTINCT tag, ' ' || array_to_string(regexp_extract_all(tag, '{_W}'), ' ') || ' ' AS run FROM t)
+SELECT DISTINCT d.doc, g.tag FROM d JOIN tags g ON contains(d.body, g.run) WHERE trim(g.run) <> '' AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc = d.doc AND t.tag = g.tag)""",
     "x14_rule_validation": rf"""WITH d AS (SELECT *, coalesce({_STRIP('title')}, '') = '' AS e1, coalesce({_STRIP('category')}, '') = '' AS e2, coalesce({_STRIP('text')}, '') = '' AS e3,
   len(list_filter(string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '```.*?(```|$)', '', 'gs'), chr(10)), lambda x: starts_with(x, '# '))) > 1 AS e4,
   len(regexp_extract_all(text, '```')) % 2 = 1 AS e5, updated_at > ingested_at AS e6 FROM documents)
