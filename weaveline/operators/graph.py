@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weaveline.scratch import materialize
+from weaveline.scratch import hot_keys, materialize
 
 
 def undirected(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
@@ -86,18 +86,43 @@ def hops(adjacency: DataFrame, starts: DataFrame, most: int = 5) -> DataFrame:
     return reached
 
 
-def pair_distances(adjacency: DataFrame, pairs: DataFrame, most: int = 5, unreachable: float = 6.0) -> DataFrame:
+def pair_distances(adjacency: DataFrame, pairs: DataFrame, most: int = 5, unreachable: float = 6.0, hub_share: int = 1_000) -> DataFrame:
     """(source, target, graph_distance) of given pairs: hops up to `most`, else `unreachable`; 0 for a pair of one node.
 
-    Both ends walk half of the way, and meet: so a hub is expanded from fewer
-    nodes and at most `most` / 2 levels deep.
+    A shortest path passes a hub or it doesn't.  Hubs, the under `hub_share`
+    nodes that hold more than 1/hub_share of all ends, are walked from once
+    each, which gives the best way over a hub; the rest of the graph, where
+    neighbourhoods are small, is walked from both ends of a pair by turns, and
+    only for pairs that have no shorter way yet.  A pair of distance t meets in
+    a node at ceil(t / 2) from its source and t // 2 from its target.
     """
-    ends = materialize(pairs.select("source", "target").distinct(), "pairs")
-    near = hops(adjacency, ends.select(F.col("source").alias("start")), (most + 1) // 2)
-    far = hops(adjacency, ends.select(F.col("target").alias("start")), most // 2)
-    met = ends.join(near.select(F.col("start").alias("source"), "node", F.col("hops").alias("h1")), "source").join(far.select(F.col("start").alias("target"), "node", F.col("hops").alias("h2")), ["target", "node"])
-    found = met.groupBy("source", "target").agg(F.min(F.col("h1") + F.col("h2")).alias("d"))
-    return ends.join(found, ["source", "target"], "left").select("source", "target", F.coalesce(F.col("d").cast("double"), F.lit(unreachable)).alias("graph_distance"))
+    ends = hot_keys(adjacency.select("a"), ["a"], hub_share).select(F.col("a").alias("start"))
+    hubs = F.broadcast(materialize(ends, "hubs"))
+    inner = adjacency.join(hubs.select(F.col("start").alias("a")), "a", "left_anti").join(hubs.select(F.col("start").alias("b")), "b", "left_anti").select("a", "b")
+    far_hubs = materialize(hops(adjacency, hubs, most), "hub-distances")
+    left = materialize(pairs.select("source", "target").distinct(), "pairs")
+    found = left.filter("source = target").withColumn("graph_distance", F.lit(0.0))
+    left = left.filter("source <> target")
+    side = lambda c, h: far_hubs.select("start", F.col("node").alias(c), F.col("hops").alias(h))
+    over = left.join(side("source", "h1"), "source").join(side("target", "h2"), ["start", "target"]).groupBy("source", "target").agg(F.min(F.col("h1") + F.col("h2")).alias("over"))
+    left = materialize(left.join(over, ["source", "target"], "left"), "pairs")
+    seen = {c: left.filter("over is null or over > 1").select(F.col(c).alias("start"), F.col(c).alias("node")).distinct() for c in ("source", "target")}
+    edge = dict(seen)
+    for t in range(1, most + 1):
+        found = found.unionByName(left.filter(F.col("over") <= t).select("source", "target", F.col("over").cast("double").alias("graph_distance")))
+        left = left.filter(F.col("over").isNull() | (F.col("over") > t))
+        c = "source" if t % 2 else "target"
+        step = edge[c].join(left.select(F.col(c).alias("start")).distinct(), "start", "left_semi").select("start", F.col("node").alias("a")).join(inner, "a").select("start", F.col("b").alias("node")).distinct()
+        edge[c] = materialize(step.join(seen[c], ["start", "node"], "left_anti"), "frontier")
+        seen[c] = seen[c].unionByName(edge[c])
+        near = edge["source"].select(F.col("start").alias("source"), "node")
+        far = edge["target"].select(F.col("start").alias("target"), "node")
+        met = materialize(left.join(near, "source").join(far, ["target", "node"], "left_semi").select("source", "target").distinct(), "met")
+        found = found.unionByName(met.withColumn("graph_distance", F.lit(float(t))))
+        left = materialize(left.join(met, ["source", "target"], "left_anti"), "pairs")
+        if left.isEmpty():
+            break
+    return found.unionByName(left.select("source", "target", F.lit(float(unreachable)).alias("graph_distance")))
 
 
 def common_neighbors(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weaveline.functions import text as X
+from weaveline.scratch import bounded_broadcast, materialize
 
 
 def inverted_index(docs: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -62,8 +63,9 @@ def cooccurrence(docs: DataFrame, key: str, text: str, vocab: DataFrame, reach:
 
 def ppmi(counts: DataFrame, eps: float = 1e-10) -> DataFrame:
     """(a, b, n, ppmi) with max(0, log2(n total / (row column))), pairs above 0 only."""
+    counts = materialize(counts, "counts")
     total = counts.agg(F.sum("n").alias("total"))  # one row
-    margin = counts.groupBy("a").agg(F.sum("n").alias("m"))
+    margin, _ = bounded_broadcast(materialize(counts.groupBy("a").agg(F.sum("n").alias("m")), "margins"))
     joined = counts.join(margin, "a").join(margin.select(F.col("a").alias("b"), F.col("m").alias("m_b")), "b").join(F.broadcast(total))
     value = F.greatest(F.lit(0.0), F.log2(F.col("n") * F.col("total") / ((F.col("m") + eps) * (F.col("m_b") + eps))))
     return joined.select("a", "b", "n", value.alias("ppmi")).filter("ppmi > 0")
