@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weaveline.operators import audit
 from weaveline.scratch import materialize
 
 #: Pseudo-answers at the field's mean accuracy that smooth an annotator's own.
@@ -118,18 +119,5 @@ def consensus(votes: DataFrame, weights: DataFrame, *, least: int = 3) -> DataFr
 
 
 def agreement(votes: DataFrame) -> DataFrame:
-    """Chance-corrected agreement for missing ratings (nominal alpha) per field: (field, n_units, n_ratings, observed, expected, alpha).
-
-    Units with fewer than two ratings do not count; alpha is null without any
-    pairable unit and 1 where a single answer occurs.
-    """
-    cells = votes.groupBy("field", "item", "answer").agg(F.count("*").cast("double").alias("n"))
-    units = cells.groupBy("field", "item").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq")).filter("m > 1")
-    seen = units.groupBy("field").agg(F.count("*").alias("n_units"), F.sum("m").alias("total"), F.sum((F.col("m") * F.col("m") - F.col("sq")) / (F.col("m") - 1)).alias("apart"))
-    kept = cells.join(units.select("field", "item"), ["field", "item"], "left_semi").groupBy("field", "answer").agg(F.sum("n").alias("n"))
-    chance = kept.groupBy("field").agg(F.sum(F.col("n") * F.col("n")).alias("sq"))
-    observed = F.col("apart") / F.col("total")
-    expected = (F.col("total") * F.col("total") - F.col("sq")) / (F.col("total") * (F.col("total") - 1))
-    return seen.join(chance, "field").select(
-        "field", "n_units", F.col("total").cast("long").alias("n_ratings"), observed.alias("observed"), expected.alias("expected"), F.when(expected == 0, 1.0).otherwise(1 - observed / expected).alias("alpha")
-    )
+    """Chance-corrected agreement for missing ratings per field: see `audit.alpha`."""
+    return audit.alpha(votes)

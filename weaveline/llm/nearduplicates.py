@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weaveline.operators.graph import connected_components
 from weaveline.scratch import bounded_broadcast, materialize, spread
 
 #: Counters of the document-frequency sketch, whatever the size of the corpus.
@@ -296,3 +297,19 @@ def expanded_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     copies = materialize(members.join(members.groupBy("kind", "rep").agg(F.count("*").alias("n")).filter("n > 1"), ["kind", "rep"]).drop("n"), "copies")
     inside = copies.select("kind", "rep", F.col("key").alias("key_a")).join(copies.select("kind", "rep", F.col("key").alias("key_b")), ["kind", "rep"]).filter("key_a < key_b").select("kind", "key_a", "key_b")
     return across.unionByName(inside)
+
+
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Every record's group: (kind, key, group_key, rep, n_links).
+
+    A group is a component of the links between different texts and of copies;
+    `group_key` is its smallest key, `rep` the smallest key with the record's
+    own set of shingles, `n_links` the number of other texts that one is linked
+    to.  Records without a partner are groups of their own.
+    """
+    node = lambda c: F.concat_ws("|", F.col("kind"), F.col(c).cast("string"))
+    cc = connected_components(links.select(node("rep_a").alias("a"), node("rep_b").alias("b")))
+    counted = links.select("kind", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("n_links"))
+    placed = members.withColumn("node", node("rep")).join(cc, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = placed.groupBy("component").agg(F.min("key").alias("group_key"))
+    return placed.join(smallest, "component").join(counted, ["kind", "rep"], "left").select("kind", "key", "group_key", "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))

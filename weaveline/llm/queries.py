@@ -30,6 +30,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearduplicates.expanded_pairs(links, members).withColumnRenamed("kind", "record_kind")
 
 
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    links, members = nearduplicates.near_duplicates(_records(spark, sf), width=3, threshold=0.6, measure="set", least_words=50)
+    return nearduplicates.groups(links, members)
+
+
 def _votes(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "audit_items").select(F.col("id").alias("item")).distinct()
     votes = consensus.latest_votes(table(spark, sf, "audit_labels"), "item_id", "annotator", list(ANSWERS), "labeled_at", "label_id", ANSWERS)
@@ -92,7 +97,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_split, p2_found, p3_found, p3_agreement, p3_reliability, p5_found, p5_neighbors, p6_assignment, p6_fill, p7_found, p7_items, p8_found, p8_profile)
+    for f in (p1_found, p1_split, p2_found, p2_groups, p3_found, p3_agreement, p3_reliability, p5_found, p5_neighbors, p6_assignment, p6_fill, p7_found, p7_items, p8_found, p8_profile)
 }
 
 _VECTORS = """
