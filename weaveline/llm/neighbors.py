@@ -142,7 +142,7 @@ def nearest(
     Equal vectors form a class that is searched once and offers its k + 1
     smallest keys, so copies cost no search however many they are.  Each class
     is put into its nearest partition with four-bit codes and asks its `probes`
-    nearest partitions (twice the square root of their number unless given);
+    nearest partitions (2.5 times the square root of their number unless given);
     a block scans its codes, keeps a query's best `rerank` and scores those
     exactly.  A partition over `block_rows` is cut
     into blocks on both sides, every pair of which is one task, so no task
@@ -177,7 +177,7 @@ def nearest(
     x = unit_rows(sample["v"])
     cells = int(min(most_cells, max(1, round(n**0.5 / 2)), max(1, len(x) // 4)))
     centroids, quantizer = train_cells(x, cells), Quantizer.fit(x[:book_rows])
-    probes = min(probes or int(np.ceil(2 * cells**0.5)), len(centroids))
+    probes = min(probes or int(np.ceil(2.5 * cells**0.5)), len(centroids))
 
     indexed = T.StructType(
         [T.StructField("grp", T.StringType()), T.StructField("near", T.ArrayType(T.IntegerType())), T.StructField("rep", key_type), T.StructField("v", T.BinaryType()), T.StructField("code", T.BinaryType())]
