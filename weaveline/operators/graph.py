@@ -117,9 +117,10 @@ def pair_distances(adjacency: DataFrame, pairs: DataFrame, most: int = 5, unreac
         seen[c] = seen[c].unionByName(edge[c])
         near = edge["source"].select(F.col("start").alias("source"), "node")
         far = edge["target"].select(F.col("start").alias("target"), "node")
-        met = materialize(left.join(near, "source").join(far, ["target", "node"], "left_semi").select("source", "target").distinct(), "met")
-        found = found.unionByName(met.withColumn("graph_distance", F.lit(float(t))))
-        left = materialize(left.join(met, ["source", "target"], "left_anti"), "pairs")
+        met = left.join(near, "source").join(far, ["target", "node"], "left_semi").select("source", "target", F.lit(True).alias("met")).distinct()
+        told = materialize(left.join(met, ["source", "target"], "left"), "pairs")
+        found = found.unionByName(told.filter("met").select("source", "target", F.lit(float(t)).alias("graph_distance")))
+        left = told.filter("met is null").drop("met")
         if left.isEmpty():
             break
     return found.unionByName(left.select("source", "target", F.lit(float(unreachable)).alias("graph_distance")))
