@@ -133,12 +133,11 @@ class Sampler:
             r = self.r[(x & low).astype(np.int64)]
             b = self.b[((x >> np.uint64(16)) & low).astype(np.int64)]
             t = np.floor(log_weights / r + b)
-            cost = self.log_c[((x >> np.uint64(32)) & low).astype(np.int64)] - r * (t - b) - r
-            raw = cost.view(np.uint32)  # float order as unsigned order
-            raw = np.where(raw >> np.uint32(31), ~raw, raw | np.uint32(0x80000000))
-            name = (mix(x ^ t.astype(np.int64).view(np.uint64)) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+            # costs lie over -64, so with 64 added their bits sort as they do
+            raw = (self.log_c[((x >> np.uint64(32)) & low).astype(np.int64)] - r * (t - b + np.float32(1)) + np.float32(64)).view(np.uint32)
+            name = (x * _M1 + t.astype(np.int64).view(np.uint64) * _M3) >> np.uint64(32)
             best = np.full(records * bins, np.uint64(0xFFFFFFFFFFFFFFFF))
-            np.minimum.at(best, base + (x >> np.uint64(60)).astype(np.int64) % bins, (raw.astype(np.uint64) << np.uint64(32)) | name)
+            np.minimum.at(best, base + ((x >> np.uint64(60)) % np.uint64(bins)).astype(np.int64), (raw.astype(np.uint64) << np.uint64(32)) | name)
             best = best.reshape(records, bins)
             empty = best == np.uint64(0xFFFFFFFFFFFFFFFF)
             for step in range(1, bins):
@@ -187,6 +186,7 @@ def signatures(records: DataFrame, weights: np.ndarray, width: int, least_words:
                 logs = log_idf[(features & np.uint64(SKETCH - 1)).astype(np.int64)]
                 logs = np.where(tf > 1, logs + np.log1p(np.log(tf)), logs).astype(np.float32)
                 bands = band_hashes(sampler.sign(features, logs, np.repeat(np.arange(len(found)), sizes), len(found)), rows)
+                bands += np.array([xxhash.xxh3_64_intdigest(str(k)) for k in part["kind"][keep]], np.uint64).view(np.int64)[:, None]
                 sets = [xxhash.xxh3_128_intdigest(s[0].tobytes()) for s in found]
                 ids = np.array([[(s >> 64) & 0xFFFFFFFFFFFFFFFF, s & 0xFFFFFFFFFFFFFFFF] for s in sets], np.uint64).view(np.int64)
                 yield pd.DataFrame({"kind": part["kind"][keep].values, "key": part["key"][keep].values, "set_a": ids[:, 0], "set_b": ids[:, 1], "n_shingles": sizes.astype(np.int32), "bands": list(bands)})
@@ -235,8 +235,9 @@ def near_duplicates(
     members = signed.select(*sets, "key").join(reps, sets).select("kind", "rep", "key")
     texts = materialize(signed.join(reps, sets).filter("key = rep").select("kind", "rep", "n_shingles", "bands"), "classes")
     posts = texts.select("kind", "rep", F.explode("bands").alias("bucket"))
-    shared = materialize(posts.groupBy("kind", "bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    met = materialize(posts.join(shared, ["kind", "bucket"]), "bucket-members")
+    # a bucket's hash holds the kind, so that one number is the key
+    shared = materialize(posts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    met = materialize(posts.join(shared, "bucket"), "bucket-members")
     few, wide = met.filter(F.col("n") <= wide_bucket), met.filter(F.col("n") > wide_bucket)
     a, b = few.select("kind", "bucket", F.col("rep").alias("rep_a")), few.select("kind", "bucket", F.col("rep").alias("rep_b"))
     pairs = materialize(a.join(b, ["kind", "bucket"]).filter("rep_a < rep_b").select("kind", "rep_a", "rep_b").distinct(), "pairs")
