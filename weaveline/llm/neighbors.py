@@ -171,9 +171,9 @@ def nearest(
     if n == 0:
         return spark.createDataFrame([], neighbors)
     every = max(1, n // train_rows)
-    sample = distinct.filter(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("rep", "v").orderBy("rep").limit(train_rows).toPandas()
+    sample = distinct.filter(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("rep", "v").orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(train_rows).toPandas()
     if len(sample) < 32:
-        sample = distinct.select("rep", "v").orderBy("rep").limit(train_rows).toPandas()
+        sample = distinct.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(train_rows).toPandas()
     x = unit_rows(sample["v"])
     cells = int(min(most_cells, max(1, round(n**0.5 / 2)), max(1, len(x) // 4)))
     centroids, quantizer = train_cells(x, cells), Quantizer.fit(x[:book_rows])
