@@ -114,7 +114,7 @@ def untagged_mentions(docs: DataFrame, key: str, text: str, tags: DataFrame, tag
     (doc, tag).
     """
     keyed = tags.select("tag", F.array_join(X.words(F.col("tag")), " ").alias("run")).filter("run <> ''").withColumn("width", F.size(F.split("run", " ")))
-    widths = [r["width"] for r in keyed.select("width").distinct().orderBy("width").limit(8).collect()]
+    widths = [r["width"] for r in keyed.select("width").distinct().orderBy("width").collect()]  # at most the words of the longest tag
     grams = docs.select(F.col(key).alias("doc"), X.words(F.col(text)).alias("w"))
     runs = None
     for width in widths:
