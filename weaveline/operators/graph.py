@@ -105,7 +105,12 @@ def pair_distances(adjacency: DataFrame, pairs: DataFrame, most: int = 5, unreac
     left = left.filter("source <> target")
     side = lambda c, h: far_hubs.select("start", F.col("node").alias(c), F.col("hops").alias(h))
     over = left.join(side("source", "h1"), "source").join(side("target", "h2"), ["start", "target"]).groupBy("source", "target").agg(F.min(F.col("h1") + F.col("h2")).alias("over"))
-    left = materialize(left.join(over, ["source", "target"], "left"), "pairs")
+    nodes = adjacency.select("a").distinct()
+    joined = lambda c: nodes.select(F.col("a").alias(c), F.lit(True).alias(f"{c}_joined"))
+    left = materialize(left.join(over, ["source", "target"], "left").join(joined("source"), "source", "left").join(joined("target"), "target", "left"), "pairs")
+    alone = F.col("source_joined").isNull() | F.col("target_joined").isNull()  # an end without an edge is never reached
+    found = found.unionByName(left.filter(alone).select("source", "target", F.lit(float(unreachable)).alias("graph_distance")))
+    left = left.filter(~alone).select("source", "target", "over")
     seen = {c: left.filter("over is null or over > 1").select(F.col(c).alias("start"), F.col(c).alias("node")).distinct() for c in ("source", "target")}
     edge = dict(seen)
     for t in range(1, most + 1):
