@@ -55,8 +55,8 @@ def occurrences(docs: DataFrame, text: str, mentions: DataFrame) -> DataFrame:
     placed = docs.select(pieces(F.col(text)).alias("p")).filter("p is not null")
     found = None
     for width in widths:
-        at = F.sequence(F.lit(1), F.size("p") - (width - 1))
-        runs = placed.filter(F.size("p") >= width).select(F.explode(F.transform(at, lambda i: F.struct(F.element_at("p", i).alias("head"), F.array_join(F.slice("p", i, F.lit(width)), "").alias("run")))).alias("x")).select("x.head", "x.run").filter(F.col("head") != " ")
+        at = F.filter(F.sequence(F.lit(1), F.size("p") - (width - 1)), lambda i: F.element_at("p", i) != " ")
+        runs = placed.filter(F.size("p") >= width).select(F.explode(F.transform(at, lambda i: F.struct(F.element_at("p", i).alias("head"), F.array_join(F.slice("p", i, F.lit(width)), "").alias("run")))).alias("x")).select("x.head", "x.run")
         part = runs.join(heads.filter(F.col("width") == width).select("head"), "head", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
         found = part if found is None else found.unionByName(part)
     if found is None:

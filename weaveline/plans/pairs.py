@@ -55,7 +55,7 @@ class Stage:
 
 
 def j5_knn_by_view(spark, sf):
-    return K.exact_top_k(C.units(spark, sf), "unit", "v", NEIGHBORS, "view").select(F.col("part").alias("view"), "unit", "neighbor", "sim", "rank")
+    return K.exact_top_k(materialize(C.units(spark, sf), "units"), "unit", "v", NEIGHBORS, "view").select(F.col("part").alias("view"), "unit", "neighbor", "sim", "rank")
 
 
 def j1_knn_exact(spark, sf):

@@ -42,15 +42,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by `keys` if the input has fewer partitions than there are cores.
+    """Repartition by `keys` where costly Python work would meet too few partitions.
 
-    A table stored as one small file would otherwise feed one Python worker.
-    Inputs with enough splits pass through without a shuffle.
+    A table stored as one small file would feed one Python worker, and so would
+    a shuffle whose few bytes adaptive execution puts together.  Inputs with
+    enough splits pass through without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    shuffled = "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString()
+    if not shuffled and df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, *[F.col(k) for k in keys])
+    n = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))) if shuffled else cores
+    return df.repartition(n, *[F.col(k) for k in keys])
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None, chars: int = 32_000_000) -> tuple[DataFrame, bool]:
