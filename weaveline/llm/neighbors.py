@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weaveline.functions.vectors import usable
 from weaveline.scratch import bounded_broadcast, hot_keys, materialize, spread
 
 #: The index is fitted on at most so many distinct vectors, chosen by hash; every vector is indexed.
@@ -126,13 +127,6 @@ def unpack_codes(packed: np.ndarray, blocks: int) -> np.ndarray:
     return out[:, :blocks]
 
 
-def usable(vectors: DataFrame, vector: str, dims: int) -> DataFrame:
-    """Rows whose vector has `dims` finite numbers, not all zero."""
-    v = F.col(vector)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.filter(v.isNotNull() & (F.size(v) == dims)).filter(~bad & F.exists(v, lambda x: x != 0))
-
-
 def nearest(
     vectors: DataFrame, key: str, vector: str, within: list[str], *, k: int = 5, dims: int = 96, probes: int | None = None, rerank: int = 24,
     train_rows: int = TRAIN_ROWS, book_rows: int = BOOK_ROWS, most_cells: int = MOST_CELLS, block_rows: int = BLOCK_ROWS,
