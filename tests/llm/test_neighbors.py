@@ -52,6 +52,24 @@ def test_blocks_of_a_hot_partition_change_nothing(spark):
     assert whole == cut == {(i, j) for i, near in _brute(np.arange(300), x.astype(float), 5).items() for j in near}
 
 
+def test_one_direction_at_many_lengths_loses_no_neighbour(spark):
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=96)
+    x = np.concatenate([hot * rng.uniform(0.1, 30, (400, 1)), hot + 0.2 * rng.normal(size=(40, 96)), rng.normal(size=(760, 96))]).astype(np.float32)
+    ids = rng.permutation(1200)
+    for block_rows in (K.BLOCK_ROWS, 90):
+        got = {}
+        for r in K.nearest(_frame(spark, ids, x, ["v"] * 1200), "id", "embedding", ["view_name"], block_rows=block_rows).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append(r["neighbor"])
+        unit = K.unit_rows(x)
+        cosines = np.round(unit @ unit.T, 12)
+        np.fill_diagonal(cosines, -9)
+        want = {i: [ids[j] for j in np.lexsort((ids, -row))[:5]] for i, row in zip(ids, cosines)}
+        assert all(got[i] == want[i] for i in ids[:400])
+        near = ids[400:440]
+        assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in near]) >= 0.95
+
+
 def test_codes_round_trip_and_parallel_residual_shrinks():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 16, (50, 7))

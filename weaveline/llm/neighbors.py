@@ -23,6 +23,8 @@ MOST_CELLS = 1_000
 BLOCK_ROWS = 4_096
 #: Anisotropic threshold: residuals count by how they change scores of at least this cosine.
 THRESHOLD = 0.2
+#: Rough scores that differ by less are equal: what the order of additions may change in four-byte sums.
+ROUGH_EQUAL = 1e-5
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -137,8 +139,10 @@ def nearest(
     smallest keys, so copies cost no search however many they are.  Each class
     is put into its nearest partition with four-bit codes and asks its `probes`
     nearest partitions (2.5 times the square root of their number unless given);
-    a block scans its codes, keeps a query's best `rerank` and scores those
-    exactly.  A partition over `block_rows` is cut
+    a block scans its codes and scores exactly a query's best `rerank` and every
+    code that ties with the last of them, so vectors of equal codes (one
+    direction at many lengths) are told apart by cosine and key, however many
+    they are.  A partition over `block_rows` is cut
     into blocks on both sides, every pair of which is one task, so no task
     grows with a hot partition and no vector is left out.
 
@@ -201,23 +205,33 @@ def nearest(
     blocks = quantizer.books.shape[0]
 
     def scan(block: pd.DataFrame) -> pd.DataFrame:
-        b, q = block[~block["asks"]], block[block["asks"]]
+        b, q = block[~block["asks"]].sort_values("rep"), block[block["asks"]]  # the first of equal scores has the smaller key
         if not len(b) or not len(q):
             return pd.DataFrame(columns=scored.names)
         codes = unpack_codes(np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1), blocks)
         looked_up = quantizer.lookup(codes)
         base, ask = (unit_rows(np.frombuffer(b"".join(side["v"]), np.float32).reshape(len(side), dims)) for side in (b, q))
         held_ids, ask_ids, found = b["rep"].to_numpy(), q["rep"].to_numpy(), []
+        m, most = min(rerank, len(codes)), min(k, len(codes))
         for i in range(0, len(ask), 512):
-            rough = ask[i : i + 512].astype(np.float32) @ looked_up
-            m = min(rerank, len(codes))
-            best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-            exact = np.round(np.einsum("qd,qmd->qm", ask[i : i + 512], base[best]), 12)
-            ids = held_ids[best]
-            exact = np.where(ids == ask_ids[i : i + 512, None], -np.inf, exact)
-            order = np.lexsort((ids, -exact), axis=1)[:, :k] if ids.dtype != object else np.argsort(-exact, axis=1, kind="stable")[:, :k]
+            mine, asked = ask[i : i + 512], ask_ids[i : i + 512]
+            rough = mine.astype(np.float32) @ looked_up
+            best = np.sort(np.argpartition(-rough, m - 1, axis=1)[:, :m], axis=1)
+            exact = np.round(np.einsum("qd,qmd->qm", mine, base[best]), 12)
+            exact[held_ids[best] == asked[:, None]] = -np.inf
+            order = np.argsort(-exact, axis=1, kind="stable")[:, :most]
             r = np.arange(len(exact))[:, None]
-            found.append(pd.DataFrame({"rep": np.repeat(ask_ids[i : i + 512], order.shape[1]), "other": ids[r, order].reshape(-1), "cosine": exact[r, order].reshape(-1)}))
+            at, cosine = best[r, order], exact[r, order]
+            reach = rough >= np.take_along_axis(rough, best, 1).min(1, keepdims=True) - ROUGH_EQUAL
+            tied = np.flatnonzero(reach.sum(1) > m)
+            if len(tied):
+                scores = np.where(reach[tied], np.round(mine[tied] @ base.T, 12), -np.inf)
+                scores[held_ids[None, :] == asked[tied, None]] = -np.inf
+                for j in range(most):
+                    at[tied, j] = first = scores.argmax(1)
+                    cosine[tied, j] = scores[np.arange(len(tied)), first]
+                    scores[np.arange(len(tied)), first] = -np.inf
+            found.append(pd.DataFrame({"rep": np.repeat(asked, most), "other": held_ids[at].reshape(-1), "cosine": cosine.reshape(-1)}))
         out = pd.concat(found)
         return out[np.isfinite(out["cosine"])]
 
