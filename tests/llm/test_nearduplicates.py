@@ -45,6 +45,36 @@ def test_pairs_equal_brute_force(spark):
     assert len(got) >= 0.98 * len(want) > 50
 
 
+def test_repeated_texts_and_pairs_over_common_shingles_are_found(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"v{rng.randint(0, 10**7)}" for _ in range(n)]
+    rows = []
+    for i in range(20):
+        text = words(100)
+        rows += [("chunk", 2 * i, " ".join(text)), ("chunk", 2 * i + 1, " ".join(text * (5, 10, 20, 40)[i % 4]))]
+    common = words(130)  # a third of the documents begins alike: two of a pair have 0.61 to 0.64 of their shingles in common
+    for i in range(60):
+        rows.append(("document", i, " ".join(common + words(rng.choice((37, 38, 39))))))
+    rows += [("document", 1000 + i, " ".join(words(60))) for i in range(120)]
+    want = _brute(rows, 3, 0.6, 50)
+    got = _found(spark, rows, width=3, threshold=0.6, measure="set", least_words=50)
+    assert got <= want and len(want) > 1700
+    assert {x for x in want if x[0] == "chunk"} <= got
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_detection_at_the_threshold_does_not_depend_on_size():
+    rng = np.random.default_rng(6)
+    for both, own in ((36, 12), (150, 50)):  # 0.6 of the shingles in common
+        sets = []
+        for _ in range(1500):
+            x = rng.integers(0, 2**63, both + 2 * own, dtype=np.uint64)
+            sets += [x[: both + own], np.concatenate([x[:both], x[both + own :]])]
+        logs = np.zeros(sum(map(len, sets)), np.float32)
+        bands = N.band_hashes(N.Sampler().sign(np.concatenate(sets), logs, np.repeat(np.arange(len(sets)), both + own), len(sets)))
+        assert (bands[::2] == bands[1::2]).any(1).mean() >= 0.99
+
+
 def test_wide_buckets_lose_nothing(spark):
     rng = random.Random(3)
     head = [f"h{i}" for i in range(150)]

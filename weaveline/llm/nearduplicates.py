@@ -1,4 +1,4 @@
-"""Near-duplicate records by consistent weighted sampling over TF-IDF shingles."""
+"""Near-duplicate records by consistent sampling over shingles, weighted by TF-IDF or all alike."""
 
 from __future__ import annotations
 
@@ -161,8 +161,11 @@ def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return total.view(np.int64)
 
 
-def signatures(records: DataFrame, weights: np.ndarray, width: int, least_words: int, rows: int = ROWS) -> DataFrame:
-    """(kind, key, set_a, set_b, n_shingles, bands): equal sets of shingles have equal (set_a, set_b)."""
+def signatures(records: DataFrame, weights: np.ndarray | None, width: int, least_words: int, rows: int = ROWS) -> DataFrame:
+    """(kind, key, set_a, set_b, n_shingles, bands): equal sets of shingles have equal (set_a, set_b).
+
+    Without `weights` (IDF by counter) all shingles weigh the same, however often they occur.
+    """
     schema = T.StructType(
         [records.schema["kind"], records.schema["key"]]
         + [T.StructField(n, T.LongType()) for n in ("set_a", "set_b")]
@@ -171,7 +174,7 @@ def signatures(records: DataFrame, weights: np.ndarray, width: int, least_words:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, sampler = WordHash(), Sampler()
-        log_idf = np.log(weights)
+        log_idf = None if weights is None else np.log(weights)
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.iloc[i : i + 1000]
@@ -182,9 +185,11 @@ def signatures(records: DataFrame, weights: np.ndarray, width: int, least_words:
                     continue
                 sizes = np.array([len(s[0]) for s in found])
                 features = np.concatenate([s[0] for s in found])
-                tf = np.concatenate([s[1] for s in found])
-                logs = log_idf[(features & np.uint64(SKETCH - 1)).astype(np.int64)]
-                logs = np.where(tf > 1, logs + np.log1p(np.log(tf)), logs).astype(np.float32)
+                logs = np.zeros(len(features), np.float32)
+                if log_idf is not None:
+                    tf = np.concatenate([s[1] for s in found])
+                    logs = log_idf[(features & np.uint64(SKETCH - 1)).astype(np.int64)]
+                    logs = np.where(tf > 1, logs + np.log1p(np.log(tf)), logs).astype(np.float32)
                 bands = band_hashes(sampler.sign(features, logs, np.repeat(np.arange(len(found)), sizes), len(found)), rows)
                 bands += np.array([xxhash.xxh3_64_intdigest(str(k)) for k in part["kind"][keep]], np.uint64).view(np.int64)[:, None]
                 sets = [xxhash.xxh3_128_intdigest(s[0].tobytes()) for s in found]
@@ -214,9 +219,10 @@ def near_duplicates(
     record of `least_words` words: records with equal sets of shingles form a
     class named by its smallest key, so copies are never paired.
 
-    Consistent weighted samples of TF-IDF shingles are cut into bands; texts
-    that share a band are candidates, and candidates are verified on all their
-    shingles.  The document frequencies come from a fixed-size sketch over all
+    Consistent samples of shingles, weighted by TF-IDF for `weighted` and all
+    alike for `set`, so that they agree as often as `measure` says, are cut into
+    bands; texts that share a band are candidates, and candidates are verified
+    on all their shingles.  The document frequencies come from a fixed-size sketch over all
     records.  A bucket of more than `wide_bucket` different texts lists no
     pairs: its texts are verified block against block, so no task grows with
     the bucket and no pair in it is left out.
@@ -229,7 +235,7 @@ def near_duplicates(
     records = spread(records.select("kind", "key", "text").filter("text is not null"), "key")
     counts, docs = idf_sketch(records, width, least_words)
     idf = idf_weights(counts, docs)
-    signed = materialize(signatures(records, idf, width, least_words, rows), "signatures")
+    signed = materialize(signatures(records, idf if measure == "weighted" else None, width, least_words, rows), "signatures")
     sets = ["kind", "set_a", "set_b"]
     reps = signed.groupBy(*sets).agg(F.min("key").alias("rep"))
     members = signed.select(*sets, "key").join(reps, sets).select("kind", "rep", "key")
