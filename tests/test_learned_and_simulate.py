@@ -54,6 +54,20 @@ def test_recommendations_are_new(spark):
     assert got.join(ratings, ["user", "item"]).count() == 0 and got.groupBy("user").count().filter("count > 3").count() == 0
 
 
+def test_users_with_most_items_get_recommendations(spark):
+    rng = random.Random(3)
+    has = {u: set(rng.sample(range(620), 12)) for u in range(1, 40)} | {0: set(range(600))}
+    ratings = spark.createDataFrame([(u, i, rng.uniform(1, 9)) for u, items in has.items() for i in items], "user int, item int, n float")
+    whole = {u: [] for u in has}
+    for r in L.recommend(ratings, "user", "item", "n", 5).orderBy("user", "rank").collect():
+        whole[r["user"]].append(r["item"])
+    assert all(len(items) == 5 and not has[u] & set(items) for u, items in whole.items())
+    apart = {u: [] for u in has}
+    for r in L.recommend(ratings, "user", "item", "n", 5, most_asked=0).orderBy("user", "rank").collect():
+        apart[r["user"]].append(r["item"])
+    assert apart == whole
+
+
 def _step_by_step(jobs, name, quantum=1):
     left = {j: s for _, j, s in jobs}
     at = {j: a for a, j, _ in jobs}

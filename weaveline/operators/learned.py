@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
+from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,17 +87,51 @@ def groups_in_batches(sizes: dict[str, int], batch: int) -> list[list[str]]:
     return out
 
 
-def recommend(ratings: DataFrame, user: str, item: str, strength: str, k: int, rank: int = 16, rounds: int = 6, seed: int = 7) -> DataFrame:
+def recommend(ratings: DataFrame, user: str, item: str, strength: str, k: int, rank: int = 16, rounds: int = 6, seed: int = 7, most_asked: int = 500) -> DataFrame:
     """(user, item, rank): the k best items of each user by implicit matrix factorization, items it has left out.
 
     As the model ranks all items, k plus the most items of a user are asked
-    for, at most 500, before those it has are taken out.
+    for before those it has are taken out.  Users for whom that is more than
+    `most_asked` are ranked apart over all items they don't have.
     """
     model = ALS(userCol=user, itemCol=item, ratingCol=strength, implicitPrefs=True, rank=rank, maxIter=rounds, seed=seed, coldStartStrategy="drop").fit(ratings)
-    most = ratings.groupBy(user).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    flat = model.recommendForAllUsers(min(k + most, 500)).select(user, F.posexplode("recommendations").alias("i", "r")).select(user, F.col(f"r.{item}").alias(item), "i")
+    owned = materialize(ratings.groupBy(user).agg(F.count("*").alias("n")), "owned-items")
+    light, heavy = owned.filter(F.col("n") + k <= most_asked), owned.filter(F.col("n") + k > most_asked).select(user)
+    crowded = heavy.count()
+    most = light.agg(F.max("n")).first()[0] or 0
+    asked = model.recommendForUserSubset(light.select(user), k + most) if crowded else model.recommendForAllUsers(k + most)
+    flat = asked.select(user, F.posexplode("recommendations").alias("i", "r")).select(user, F.col(f"r.{item}").alias(item), "i")
     fresh = flat.join(ratings.select(user, item), [user, item], "left_anti")
-    return fresh.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy("i", item))).filter(F.col("rank") <= k).drop("i")
+    out = fresh.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy("i", item))).filter(F.col("rank") <= k).drop("i")
+    if not crowded:
+        return out
+    best = _best_unowned(model, ratings.select(user, item).join(heavy, user, "left_semi"), user, item, k, crowded)
+    return out.unionByName(best.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("score"), item))).filter(F.col("rank") <= k).drop("score"))
+
+
+def _best_unowned(model: ALSModel, owned: DataFrame, user: str, item: str, k: int, users: int, user_block: int = 256, item_block: int = 4_096) -> DataFrame:
+    """(user, item, score): of every block of items the k best ones that each of `users` users of `owned` (user, item) lacks; ties by item."""
+    users_of, items_of = (F.lit(max(1, -(-n // size))) for n, size in ((users, user_block), (model.itemFactors.count(), item_block)))
+    place = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("int")), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asks = model.userFactors.join(owned.select(F.col(user).cast("int").alias("id")).distinct(), "id", "left_semi").select(place("id", users_of).alias("ub"), every(items_of).alias("ib"), F.lit(True).alias("asks"), "id", "features")
+    held = model.itemFactors.select(every(users_of).alias("ub"), place("id", items_of).alias("ib"), F.lit(False).alias("asks"), "id", "features")
+    has = owned.select(F.col(user).cast("int").alias("u"), F.col(item).cast("int").alias("i")).distinct().select(place("u", users_of).alias("ub"), place("i", items_of).alias("ib"), "u", "i")
+
+    def score(block: pd.DataFrame, had: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id")
+        u, i = block[block["asks"]], block[~block["asks"]]
+        if not len(u) or not len(i):
+            return pd.DataFrame({user: [], item: [], "score": []})
+        scores = np.stack(u["features"]).astype(np.float64) @ np.stack(i["features"]).astype(np.float64).T
+        ids, kinds = u["id"].to_numpy(), i["id"].to_numpy()
+        scores[np.searchsorted(ids, had["u"]), np.searchsorted(kinds, had["i"])] = -np.inf
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(scores, top, 1)
+        out = pd.DataFrame({user: np.repeat(ids, top.shape[1]), item: kinds[top].reshape(-1), "score": best.reshape(-1)})
+        return out[np.isfinite(out["score"])]
+
+    return asks.unionByName(held).groupBy("ub", "ib").cogroup(has.groupBy("ub", "ib")).applyInPandas(score, f"`{user}` int, `{item}` int, score double")
 
 
 def smoothed_features(weights: DataFrame, features: DataFrame, hops: int = 2) -> DataFrame:
