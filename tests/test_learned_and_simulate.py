@@ -8,7 +8,9 @@ from weaveline.operators import graph as G
 from weaveline.operators import learned as L
 from weaveline.operators import linear
 from weaveline.operators import simulate as Q
+from weaveline.operators import spans as S
 from weaveline.operators.splits import three_way
+from weaveline.plans import learned as LP
 
 
 def test_training_rows(spark):
@@ -68,6 +70,32 @@ def test_users_with_most_items_get_recommendations(spark):
     assert apart == whole
 
 
+def _corpus(spark, path, documents, relationships, items):
+    flags = "lang string, metadata string, source_ref string, arrived_at timestamp, deleted_at timestamp, is_excluded boolean, is_generated boolean, is_archived boolean"
+    rows = [(i, d, *x, *[None] * 8) for i, (d, x) in enumerate(documents.items())]
+    spark.createDataFrame(rows, f"doc_key long, id string, title string, content string, {flags}").write.parquet(f"{path}/source_documents.parquet")
+    spark.createDataFrame(relationships, "rel_id long, source_id string, target_id string, kind string, span_start long, span_end long, anchor_text string").write.parquet(f"{path}/relationships.parquet")
+    spark.createDataFrame(items, "id string, source_document_id string, anchor_text string, span_start long, span_end long, region_kind string").write.parquet(f"{path}/audit_items.parquet")
+
+
+def test_recall_gate_asks_for_proposed_spans_without_explicit_links(spark, tmp_path):
+    body = "The [[walk|random walk]] meets plain words, and a gradient follows.\n"
+    span = lambda text: (body.index(text), body.index(text) + len(text))
+    documents = {"a": ("A note", body), "walk": ("Random walk", "Steps.\n"), "g": ("Gradient", "Slopes.\n")}
+    relationships = [(1, "a", "walk", "explicit-link", *span("[[walk|random walk]]"), "random walk"), (2, "a", "g", "citation", *span("gradient"), "gradient")]
+    items = [("linked", "a", "random walk", *span("[[walk|random walk]]"), "prose"), ("unknown", "a", "plain words", *span("plain words"), "prose"), ("cited", "a", "gradient", *span("gradient"), "prose"), ("listed", "a", "random walk", *span("[[walk|random walk]]"), "list")]
+    _corpus(spark, tmp_path, documents, relationships, items)
+    r = LP.y12_recall_gate(spark, str(tmp_path)).first()
+    assert (r["exact_recall"], r["overlap_recall"], r["n_items"]) == (pytest.approx(1 / 3), pytest.approx(1 / 3), 3)
+
+
+def test_anchors_are_narrowed_to_what_is_shown(spark):
+    docs = spark.createDataFrame([("d", "x [[caches|cache]] [loss](loss.md) y")], "doc string, body string")
+    items = spark.createDataFrame([("wiki", "d", 2, 18, "cache"), ("markdown", "d", 19, 34, "loss"), ("other", "d", 2, 18, "Cache!"), ("gone", "e", 2, 18, "cache"), ("none", "d", 2, 18, None)], "item string, doc string, start long, end long, anchor string")
+    got = {r["item"]: (r["start"], r["end"]) for r in S.narrowed(items, docs).collect()}
+    assert got == {"wiki": (11, 16), "markdown": (20, 24), "other": (2, 18), "gone": (2, 18), "none": (2, 18)}
+
+
 def _step_by_step(jobs, name, quantum=1):
     left = {j: s for _, j, s in jobs}
     at = {j: a for a, j, _ in jobs}

@@ -260,12 +260,16 @@ def i17_budgets(spark, sf):
     return C.docs(spark, sf).select("id", I.budget(F.size(X.split_space(F.col("content")))).alias("budget"))
 
 
+def _dictionary(spark, sf, counts, common):
+    phrases = _phrases(spark, sf, counts)
+    per = common.groupBy("mention").agg(F.count("*").alias("n_targets"), F.max("commonness").alias("top_commonness"))
+    return A.eligible(counts, phrases).join(phrases.select("mention", "linked"), "mention").join(per, "mention")
+
+
 def _drafts(spark, sf):
     counts = _counts(spark, sf)
-    phrases = _phrases(spark, sf, counts)
     common = A.commonness(counts)
-    per = common.groupBy("mention").agg(F.count("*").alias("n_targets"), F.max("commonness").alias("top_commonness"))
-    dictionary = A.eligible(counts, phrases).join(phrases.select("mention", "linked"), "mention").join(per, "mention")
+    dictionary = _dictionary(spark, sf, counts, common)
     d = C.docs(spark, sf)
     links = _link_spans(spark, sf).select("doc", "start", "end")
     features = materialize(S.span_features(S.proposed_spans(S.word_grams(d, "id", "content"), dictionary, links)), "span-features")

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from weaveline.functions import vectors as V
+from weaveline.operators import anchors as N
 from weaveline.operators import audit as A
 from weaveline.operators import evaluate as E
 from weaveline.operators import graph as G
@@ -60,10 +61,16 @@ def y7_link_regions(spark, sf):
 
 
 def y12_recall_gate(spark, sf):
-    """Recall of links' own spans by the candidate generator when these links are taken away."""
-    grams = S.word_grams(C.docs(spark, sf), "id", "content").select("doc", "start", "end")
-    gold = inline._link_spans(spark, sf).select(F.col("span_id").alias("item"), "doc", "start", "end")
-    return S.span_recall(gold, grams)
+    """Recall of audited prose anchors by the proposed spans when explicit links with spans are taken away."""
+    counts = inline._counts(spark, sf)
+    dictionary = inline._dictionary(spark, sf, counts, N.commonness(counts))
+    d = C.docs(spark, sf)
+    left = table(spark, sf, "relationships").filter(~F.col("kind").eqNullSafe("explicit-link") & F.expr("span_start is not null and span_end > span_start"))
+    left = left.select(F.col("source_id").alias("doc"), F.col("span_start").alias("start"), F.col("span_end").alias("end"))
+    proposed = materialize(S.proposed_spans(S.word_grams(d, "id", "content", in_links=True), dictionary, left).select("doc", "start", "end"), "proposed")
+    items = table(spark, sf, "audit_items").filter("region_kind = 'prose' and span_start is not null and span_end is not null")
+    gold = items.select(F.col("id").alias("item"), F.col("source_document_id").alias("doc"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("anchor_text").alias("anchor"))
+    return S.span_recall(S.narrowed(gold, d.select(F.col("id").alias("doc"), F.col("content").alias("body"))), proposed)
 
 
 def i21_naturalness_head(spark, sf):
