@@ -89,6 +89,14 @@ def test_recall_gate_asks_for_proposed_spans_without_explicit_links(spark, tmp_p
     assert (r["exact_recall"], r["overlap_recall"], r["n_items"]) == (pytest.approx(1 / 3), pytest.approx(1 / 3), 3)
 
 
+def test_links_under_related_headings_are_related_notes(spark, tmp_path):
+    body = "# Top\n\nSee [[x]] here.\n\n## Related notes:\n\n- [[y]] first\n\nAlso [[z]].\n\n##\n\nAfter [[w]].\n\n## RELATED\n\n- [[v]]\n"
+    span = lambda text: (body.index(text), body.index(text) + len(text))
+    links = [(i, "a", t, "explicit-link", *span(f"[[{t}]]"), t) for i, t in enumerate("xyzwv")]
+    _corpus(spark, tmp_path, {"a": ("A", body)}, links, [("i", "a", "x", 0, 1, "prose")])
+    assert {r["kind"]: r["n"] for r in LP.y7_link_regions(spark, str(tmp_path)).collect()} == {"prose": 2, "related_notes": 3}
+
+
 def test_anchors_are_narrowed_to_what_is_shown(spark):
     docs = spark.createDataFrame([("d", "x [[caches|cache]] [loss](loss.md) y")], "doc string, body string")
     items = spark.createDataFrame([("wiki", "d", 2, 18, "cache"), ("markdown", "d", 19, 34, "loss"), ("other", "d", 2, 18, "Cache!"), ("gone", "e", 2, 18, "cache"), ("none", "d", 2, 18, None)], "item string, doc string, start long, end long, anchor string")

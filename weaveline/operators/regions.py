@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weaveline.operators import markdown as M
+from weaveline.operators.chunking import grouped
 from weaveline.scratch import spread
 
 _REGION = [
@@ -40,6 +42,26 @@ def region_table(docs: DataFrame, key: str, text: str, title: str | None = None,
     return source.mapInPandas(parse, schema)
 
 
+def related_regions(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, start, end) of the regions whose last heading is `Related` or `Related notes`, whatever its letter case and punctuation.
+
+    Headings and regions that sections leave out (code, metadata) are none of them.
+    """
+    source = spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).filter(F.lower(text).contains("related")), "doc")
+    schema = T.StructType([T.StructField("doc", docs.schema[key].dataType), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, body in b.itertuples(index=False):
+                for path, group in grouped([vars(r) for r in M.regions(body)]):
+                    if path and re.sub(r"[^a-z0-9]+", " ", path[-1].lower()).strip() in ("related", "related notes"):
+                        rows += [(doc, r["start"], r["end"]) for r in group]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return source.mapInPandas(find, schema)
+
+
 def link_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, start, end, style, target, anchor, display) of every link outside code, in document order by `start`."""
     source = spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).filter(F.col(text).isNotNull() & F.col(text).contains("[")), "doc")
