@@ -9,6 +9,7 @@ from weaveline.operators import inline as I
 from weaveline.operators import knn as K
 from weaveline.operators import ranking as R
 from weaveline.operators import spans as S
+from weaveline.plans import evaluation as EV
 
 
 def test_recovery_by_hand(spark):
@@ -166,3 +167,12 @@ def test_span_joins(spark):
     assert {r["span_id"] for r in S.not_overlapping(spans, masks).collect()} == {2, 3}
     r = S.span_recall(spans.selectExpr("span_id as item", "doc", "start", "end").limit(0), spans).first()
     assert (r["exact_recall"], r["n_items"]) == (0.0, 0)
+
+
+def test_a_customer_with_hundreds_of_parts_is_ranked_whole(spark, tmp_path):
+    # parts 1 to 300 are bought by customer 1 in order, the last one, of place 300, is the customer's first unowned
+    lines = [(1, p, p, f"2024-{1 + p // 300:02d}-01") for p in range(1, 301)] + [(2, p, p, "2024-01-01") for p in range(1, 300)]
+    spark.createDataFrame([(1, 1), (2, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    r = EV.x19_seen_masked_recall(spark, str(tmp_path)).first()
+    assert (r["recall_at_10"], r["mrr"], r["queries"]) == (1.0, 1.0, 2)

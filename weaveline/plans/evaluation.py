@@ -14,7 +14,7 @@ from weaveline.plans import corpus as C
 from weaveline.plans import graphs
 from weaveline.plans import pairs as PP
 from weaveline.plans.tables import table
-from weaveline.scratch import materialize
+from weaveline.scratch import bounded_broadcast, materialize
 
 FIELDS = ["target_correct", "anchor_natural", "placement_valid", "tier"]
 
@@ -219,13 +219,19 @@ def x18_leave_last_out(spark, sf):
 
 
 def x19_seen_masked_recall(spark, sf):
-    """Recall@10 of a customer's last part in the list of most bought parts, the customer's other parts left out."""
+    """Recall@10 of a customer's last part in the list of most bought parts, the customer's other parts left out.
+
+    A part beyond place 10 + n can't be among the first 10 of a customer with n parts, so the list ends there for the largest n.
+    """
     line = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), "l_shipdate", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").alias("o"))
     last = line.groupBy("user").agg(F.max_by("item", "o").alias("item"))
-    popular = line.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").limit(200).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "item"))).select("item", "place")
+    owned = materialize(line.select("user", F.col("item").alias("had")).distinct(), "owned")
+    most = owned.groupBy("user").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    popular = line.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item").limit(most + 10).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "item"))).select("item", "place")
     # a held item moves up by the better placed items that its customer has already
-    asked = last.join(F.broadcast(popular), "item")
-    better = line.select("user", F.col("item").alias("had")).distinct().join(F.broadcast(popular.select(F.col("item").alias("had"), F.col("place").alias("had_place"))), "had")
+    popular = materialize(popular, "popular")
+    asked = last.join(bounded_broadcast(popular)[0], "item")
+    better = owned.join(bounded_broadcast(popular.select(F.col("item").alias("had"), F.col("place").alias("had_place")))[0], "had")
     moved = asked.join(better, "user").filter("had_place < place").groupBy("user").agg(F.count("*").alias("up"))
     ranks = asked.join(moved, "user", "left").select(F.col("user").alias("query"), "item", (F.col("place") - F.coalesce("up", F.lit(0))).alias("rank")).filter("rank <= 10")
     r = E.retrieval_metrics(ranks, last.select(F.col("user").alias("query"), "item"), (10,))
