@@ -186,3 +186,10 @@ def test_stream_of_documents_and_windows(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("tumbling_test").collect()) == [1, 2]
     assert sorted(r["n"] for r in W.sessions(events, "ts", "10 minutes", "user").collect()) == [1, 2]
     assert W.latest_by(events, "user", "ts", "kind").first()["ts"] == D(2025, 1, 1, 0, 50)
+
+
+def test_reports_say_what_they_leave_out(spark):
+    drafts = spark.createDataFrame([("n", i, i + 1, "t", 0.5, None, i + 1) for i in range(5)], "source string, start int, end int, target string, score double, reason string, rank int")
+    assert "3 more accepted ones" in sinks.inline_markdown(drafts, limit=2) and "not listed" not in sinks.inline_markdown(drafts, limit=5)
+    proposals = drafts.select("source", "target", "rank", "score")
+    assert "3 more of lower rank" in sinks.proposals_markdown(proposals, limit=2) and "not listed" not in sinks.proposals_markdown(proposals)

@@ -42,7 +42,7 @@ def excerpt(text, most: int = 240):
 
 
 def proposals_markdown(proposals: DataFrame, titles: DataFrame | None = None, limit: int = 500) -> str:
-    """A report of the best `limit` proposals, grouped by source in order of their best rank."""
+    """A report of the best `limit` proposals, grouped by source in order of their best rank, and how many more there are."""
     rows = proposals.orderBy("rank").limit(limit).collect()  # the report's size
     if not rows:
         return "# Proposed links\n\nThe run was successful and found nothing to propose.\n"
@@ -58,11 +58,13 @@ def proposals_markdown(proposals: DataFrame, titles: DataFrame | None = None, li
             out.append(f"- [ ] {r['rank']}. {esc(names.get(r['target']) or r['target'])} (score {r['score']:.3f})")
             out += [f"  - {esc(k)}: {v:.4f}" for k, v in sorted(r.asDict().items()) if isinstance(v, float) and not k.endswith("_norm") and k != "score"]
         out.append("")
+    if len(rows) == limit and (more := proposals.count() - limit):
+        out += [f"{more} more of lower rank are not listed.", ""]
     return "\n".join(out)
 
 
 def inline_markdown(drafts: DataFrame, limit: int = 500) -> str:
-    """Accepted drafts by note, and rejected ones counted by reason."""
+    """The best `limit` accepted drafts by note, how many more there are, and rejected ones counted by reason."""
     rows = drafts.filter("rank is not null").orderBy("rank").limit(limit).collect()
     counts = drafts.filter("rank is null").groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason").collect()
     out = ["# Inline proposals", ""]
@@ -71,6 +73,8 @@ def inline_markdown(drafts: DataFrame, limit: int = 500) -> str:
         notes.setdefault(r["source"], []).append(r)
     for source, items in sorted(notes.items()):
         out += [f"## {source}", "", *[f"- {r['start']}-{r['end']} to {r['target']} ({r['score']:.3f})" for r in items], ""]
+    if len(rows) == limit and (more := drafts.filter("rank is not null").count() - limit):
+        out += [f"{more} more accepted ones of lower rank are not listed.", ""]
     if not rows:
         out += ["Nothing was accepted.", ""]
     return "\n".join([*out, *[f"- {r['reason']}: {r['n']}" for r in counts], ""])
