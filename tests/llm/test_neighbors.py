@@ -82,3 +82,52 @@ def test_codes_round_trip_and_parallel_residual_shrinks():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id long, embedding array<float>, view_name string")
     assert K.nearest(empty, "id", "embedding", ["view_name"]).collect() == []
+
+
+def test_a_small_group_beside_a_large_one_has_whole_lists(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6012, 96)).astype(np.float32)
+    groups = ["large"] * 6000 + ["small"] * 12
+    got = {}
+    for r in K.nearest(_frame(spark, range(6012), x, groups), "id", "embedding", ["view_name"]).collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert all(len(got[i]) == 5 for i in range(6012))
+    want = _brute(np.arange(6000, 6012), x[6000:].astype(float), 5)
+    assert all(set(got[i]) == set(w) for i, w in want.items())
+
+
+def test_chunks_of_codes_and_blocks_of_queries_change_nothing(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 96)).astype(np.float32)
+    frame = _frame(spark, range(400), x, ["v"] * 400)
+    run = lambda **o: {(r["id"], r["neighbor"]) for r in K.nearest(frame, "id", "embedding", ["view_name"], rerank=40, **o).collect()}
+    assert run(whole_rows=1, probes=99) == run(whole_rows=1, probes=99, ask_rows=60, block_rows=20, chunk_rows=50) == run()
+
+
+def test_queries_that_meet_too_few_scan_all_cells(spark):
+    rng = np.random.default_rng(9)
+    lone = rng.normal(size=(900, 96))
+    x = np.concatenate([lone, -10 * np.ones((3, 96)) + 0.1 * rng.normal(size=(3, 96))]).astype(np.float32)
+    got = {}
+    for r in K.nearest(_frame(spark, range(903), x, ["v"] * 903), "id", "embedding", ["view_name"], whole_rows=1, probes=1).collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert all(len(got[i]) == 5 for i in range(903))
+
+
+def test_table_scan_ranks_as_the_decoded_products():
+    rng = np.random.default_rng(10)
+    x = K.unit_rows(rng.normal(size=(3000, 96)))
+    q = K.Quantizer.fit(x)
+    packed, scores = K.pack_codes(q.encode(x)), np.empty((40, 3000), np.uint16)
+    K.scan_codes(q.tables(x[:40]), packed, scores)
+    true = x[:40] @ q.decode(q.encode(x)).T
+    assert all(np.corrcoef(a, b)[0, 1] > 0.999 for a, b in zip(scores, true))
+
+
+def test_string_keys_and_ties_by_key(spark):
+    e = np.eye(96)
+    rows = [(f"k{i}", [float(y) for y in e[0] * (i + 1)], "v") for i in (7, 3, 5, 1, 9, 2, 8)] + [("z", [float(y) for y in e[1]], "v")]
+    got = {}
+    for r in K.nearest(spark.createDataFrame(rows, "id string, embedding array<float>, view_name string"), "id", "embedding", ["view_name"], k=3).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert got["k9"] == ["k1", "k2", "k3"] and got["k2"] == ["k1", "k3", "k5"] and got["z"] == ["k1", "k2", "k3"]

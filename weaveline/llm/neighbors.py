@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,18 +14,22 @@ from pyspark.sql import types as T
 from weaveline.functions.vectors import usable
 from weaveline.scratch import bounded_broadcast, hot_keys, materialize, spread
 
-#: The index is fitted on at most so many distinct vectors, chosen by hash; every vector is indexed.
-TRAIN_ROWS = 20_000
+#: The index is fitted on so many distinct vectors, chosen by hash, or on four a partition if these are more, but never on more than MOST_TRAIN; every vector is indexed.
+TRAIN_ROWS, MOST_TRAIN = 20_000, 200_000
 #: Of these, the code books see at most so many.
 BOOK_ROWS = 8_000
-#: Most partitions; below it, half the square root of the number of distinct vectors.
-MOST_CELLS = 1_000
-#: Rows of a cell, of either side, that one task scans; larger cells are cut into blocks.
-BLOCK_ROWS = 4_096
+#: Groups of so many distinct vectors are scanned whole.
+WHOLE_ROWS = 4_096
+#: Queries of a task, codes of a block, and codes a task scans.
+ASK_ROWS, BLOCK_ROWS, CHUNK_ROWS = 16_384, 4_096, 524_288
+#: Queries whose tables are added together.
+TILE = 64
+#: Rough scores a query whose codes go to exact scoring, with all that tie with the last.
+RERANK = 48
 #: Anisotropic threshold: residuals count by how they change scores of at least this cosine.
 THRESHOLD = 0.2
-#: Rough scores that differ by less are equal: what the order of additions may change in four-byte sums.
-ROUGH_EQUAL = 1e-5
+#: Numbers of a score matrix that the driver or an index task holds at once.
+_CELLS_AT_ONCE = 8_000_000
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -32,23 +37,50 @@ def unit_rows(vectors) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def nearest_cells(x: np.ndarray, centroids: np.ndarray, most: int) -> np.ndarray:
+    """(rows, most) numbers of the centroids of highest product, best first."""
+    step, out = max(1, _CELLS_AT_ONCE // len(centroids)), []
+    for i in range(0, len(x), step):
+        score = x[i : i + step].astype(np.float32) @ centroids.T
+        some = np.argpartition(-score, most - 1, axis=1)[:, :most]
+        out.append(np.take_along_axis(some, np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out).astype(np.int32) if out else np.empty((0, most), np.int32)
+
+
 def train_cells(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Unit centroids of spherical k-means; an empty cell takes the row that fits its centroid worst."""
+    """Unit centroids of spherical k-means; an empty cell takes a row that fits its centroid badly."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(cells, len(x)), replace=False)].astype(np.float32)
     x = x.astype(np.float32)
     for _ in range(rounds):
-        score = x @ c.T
-        at = score.argmax(1)
+        at = nearest_cells(x, c, 1)[:, 0]
         total = np.zeros_like(c)
         np.add.at(total, at, x)
         empty = np.flatnonzero(np.bincount(at, minlength=len(c)) == 0)
         if len(empty):
-            total[empty] = x[np.argsort(score.max(1))[: len(empty)]]
+            total[empty] = x[np.argsort(np.einsum("nd,nd->n", x, c[at]))[: len(empty)]]
         c = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
     return c
 
 
+def cell_places(centroids: np.ndarray) -> np.ndarray:
+    """A place in a line for every cell, near cells near each other: halves along the main axis, again and again."""
+    order: list[int] = []
+    stack = [np.arange(len(centroids))]
+    while stack:
+        part = stack.pop()
+        if len(part) < 3:
+            order.extend(part.tolist())
+            continue
+        away = centroids[part] - centroids[part].mean(0)
+        axis = np.linalg.svd(away, full_matrices=False)[2][0]
+        part = part[np.argsort(away @ axis, kind="stable")]
+        stack += [part[len(part) // 2 :], part[: len(part) // 2]]
+    places = np.empty(len(centroids), np.int64)
+    places[order] = np.arange(len(centroids))
+    return places
+
+
 class Quantizer:
     """Product codes of 16 centres a block of `width` numbers, fitted with a loss that weighs the residual along the vector more.
 
@@ -106,13 +138,31 @@ class Quantizer:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([self.books[j][codes[:, j]] for j in range(len(self.books))], axis=1)
 
-    def lookup(self, codes: np.ndarray) -> np.ndarray:
-        """Centres looked up for all codes; queries @ lookup sums, for each query, its table of 16 products a block at the codes.
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """(bytes a code, 256, queries) sums of the two table entries that a byte of packed codes names.
 
-        The tables are linear in the query, so one matrix product does the scan
-        of a whole block of queries several times faster than adding tables.
+        A query's table of a block has 16 entries, its products with the
+        centres, scaled to one byte each by one factor a query.
         """
-        return np.ascontiguousarray(self.decode(codes).astype(np.float32).T)
+        m, _, width = self.books.shape
+        products = np.einsum("qmw,mcw->mcq", queries.reshape(len(queries), m, width).astype(np.float32), self.books.astype(np.float32))
+        products -= products.min(1, keepdims=True)
+        small = np.round(products * (255 / np.maximum(products.max((0, 1)), 1e-30))).astype(np.uint8).astype(np.uint16)
+        if m % 2:
+            small = np.concatenate([small, np.zeros_like(small[:1])])
+        return (small[1::2][:, :, None] + small[::2][:, None]).reshape(len(small) // 2, 256, len(queries))
+
+
+def scan_codes(tables: np.ndarray, packed: np.ndarray, out: np.ndarray, rows: int = 2048) -> None:
+    """Rough scores of packed codes into `out` (queries, codes): for each byte of the codes, the tables' entries are looked up and added for all queries at once."""
+    spare = np.empty((rows, tables.shape[2]), np.uint16)
+    for i in range(0, len(packed), rows):
+        at = packed[i : i + rows].T.astype(np.intp)
+        total, more = np.take(tables[0], at[0], axis=0), spare[: at.shape[1]]
+        for j in range(1, len(tables)):
+            np.take(tables[j], at[j], axis=0, out=more, mode="clip")
+            total += more
+        out[:, i : i + rows] = total.T
 
 
 def pack_codes(codes: np.ndarray) -> np.ndarray:
@@ -130,55 +180,62 @@ def unpack_codes(packed: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, key: str, vector: str, within: list[str], *, k: int = 5, dims: int = 96, probes: int | None = None, rerank: int = 24,
-    train_rows: int = TRAIN_ROWS, book_rows: int = BOOK_ROWS, most_cells: int = MOST_CELLS, block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, key: str, vector: str, within: list[str], *, k: int = 5, dims: int = 96, probes: int | None = None, rerank: int = RERANK, train_rows: int = TRAIN_ROWS,
+    book_rows: int = BOOK_ROWS, whole_rows: int = WHOLE_ROWS, ask_rows: int = ASK_ROWS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The k most similar vectors of every usable one with equal `within` columns: (key, neighbor, cosine, rank).
 
     Equal vectors form a class that is searched once and offers its k + 1
-    smallest keys, so copies cost no search however many they are.  Each class
-    is put into its nearest partition with four-bit codes and asks its `probes`
-    nearest partitions (2.5 times the square root of their number unless given);
-    a block scans its codes and scores exactly a query's best `rerank` and every
-    code that ties with the last of them, so vectors of equal codes (one
-    direction at many lengths) are told apart by cosine and key, however many
-    they are.  A partition over `block_rows` is cut
-    into blocks on both sides, every pair of which is one task, so no task
-    grows with a hot partition and no vector is left out.
-
-    Centroids and code books are fitted on the driver on at most `train_rows`
-    vectors chosen by hash (numbers: train_rows x dims); all vectors are
-    indexed.  Unusable vectors are neither asked nor found; null `within`
-    values form a value of their own.  Ties go to the smaller key.  A vector
-    whose group has fewer than k others gets as many as there are.
+    smallest keys.  Each class is put into its nearest of about half the square
+    root of n cells, with a four-bit code for every two numbers.  Queries of
+    near cells of a group share a task, to which the codes of the cells they
+    probe are sent (3.5 times the square root of the number of cells unless
+    given; all cells for groups of up to `whole_rows`).  The task adds up each
+    query's tables at the codes and keeps its best `rerank` and every code that
+    ties with the last of them; then only the vectors that some query of the
+    task kept are fetched and scored exactly.  A query that met fewer than k
+    others, though its group has them, scans all its group's cells.
+
+    Tasks are cut by blocks of queries and chunks of codes, so none grows with
+    a hot cell and no vector is left out.  Of more than k vectors of one
+    direction (to 1e-7 a number, so cosine 1 to 12 digits) one is searched, as
+    the list is the same for all: their smallest keys.
+
+    Centroids and code books are fitted on the driver on a sample by hash of at
+    most 200,000 vectors; all vectors are indexed.  Beyond 10^10 vectors cells
+    no longer grow in number.  Unusable vectors are neither asked nor found;
+    null `within` values form a value of their own.  Ties go to the smaller
+    key.  A vector whose group has fewer than k others gets as many as there are.
     """
     spark = vectors.sparkSession
     key_type = vectors.schema[key].dataType
     rows = usable(vectors, vector, dims).select(
-        F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"), F.to_json(F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(within)])).alias("grp")
-    ).select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(17), "v").alias("h2"))
+        F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"), F.xxhash64(F.to_json(F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(within)]))).alias("grp")
+    )
     cls = ["grp", "h1", "h2"]
-    members = materialize(rows.select(*cls, "id"), "vector-members")
+    members = materialize(rows.select("grp", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(17), "v").alias("h2"), "id"), "vector-members")
     top = members.withColumn("r", F.row_number().over(Window.partitionBy(*cls).orderBy("id"))).filter(F.col("r") <= k + 1)
     offers = materialize(top, "vector-offers")  # a class's smallest keys
     reps = offers.filter("r = 1").select(*cls, F.col("id").alias("rep"))
-    distinct = rows.groupBy(*cls).agg(F.min("id").alias("rep"), F.first("v").alias("v")).select("grp", "rep", "v")
-    distinct = materialize(distinct, "vectors")
-    n = distinct.count()
+    n = reps.count()
     neighbors = T.StructType([T.StructField(key, key_type), T.StructField("neighbor", key_type), T.StructField("cosine", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     if n == 0:
         return spark.createDataFrame([], neighbors)
-    every = max(1, n // train_rows)
-    sample = distinct.filter(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("rep", "v").orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(train_rows).toPandas()
-    if len(sample) < 32:
-        sample = distinct.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(train_rows).toPandas()
-    x = unit_rows(sample["v"])
-    cells = int(min(most_cells, max(1, round(n**0.5 / 2)), max(1, len(x) // 4)))
-    centroids, quantizer = train_cells(x, cells), Quantizer.fit(x[:book_rows])
-    probes = min(probes or int(np.ceil(2.5 * cells**0.5)), len(centroids))
+    copies, _ = bounded_broadcast(materialize(members.join(reps, cls).filter("id <> rep").select("id"), "vector-copies"))
+    distinct = rows.join(copies, "id", "left_anti").withColumnRenamed("id", "rep")
+    cells = max(1, round(n**0.5 / 2))
+    wanted = min(MOST_TRAIN, max(train_rows, 4 * cells))
+    drawn = distinct.filter(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // wanted))) == 0).select("rep", "v")
+    x = unit_rows(drawn.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(wanted).toPandas()["v"])
+    if len(x) < 32:
+        x = unit_rows(distinct.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(wanted).toPandas()["v"])
+    centroids = train_cells(x, min(cells, max(1, len(x) // 4)))
+    cells, places, quantizer = len(centroids), cell_places(centroids), Quantizer.fit(x[:book_rows])
+    probes = min(probes or int(np.ceil(3.5 * cells**0.5)), cells)
 
     indexed = T.StructType(
-        [T.StructField("grp", T.StringType()), T.StructField("near", T.ArrayType(T.IntegerType())), T.StructField("rep", key_type), T.StructField("v", T.BinaryType()), T.StructField("code", T.BinaryType())]
+        [T.StructField("grp", T.LongType()), T.StructField("rep", key_type), T.StructField("near", T.ArrayType(T.IntegerType())), T.StructField("place", T.LongType())]
+        + [T.StructField("direction", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("asked", T.BinaryType())]
     )
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,64 +243,136 @@ def nearest(
             for i in range(0, len(batch), 2000):
                 b = batch.iloc[i : i + 2000]
                 u = unit_rows(b["v"])
-                near = np.argsort(-(u.astype(np.float32) @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pd.DataFrame({"grp": b["grp"].values, "near": list(near), "rep": b["rep"].values, "v": [np.asarray(r, np.float32).tobytes() for r in b["v"]], "code": [r.tobytes() for r in pack_codes(quantizer.encode(u))]})
-
-    posts = materialize(spread(distinct, "rep").mapInPandas(index, indexed), "vector-index")
-    at = ["grp", "cell"]
-    held = posts.select("grp", F.col("near")[0].alias("cell"), F.lit(False).alias("asks"), "rep", "v", "code", F.xxhash64("rep").alias("h"))
-    asks = posts.select("grp", F.explode("near").alias("cell"), F.lit(True).alias("asks"), "rep", "v", F.lit(None).cast("binary").alias("code"), F.xxhash64("rep").alias("h"))
-    sizes = held.select(*at, "asks").unionByName(asks.select(*at, "asks")).groupBy(*at).agg(
-        *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("asks") == side, 1).otherwise(0)) / block_rows)).cast("int").alias(name) for side, name in ((False, "held_blocks"), (True, "ask_blocks"))]
+                near = nearest_cells(u, centroids, probes)
+                way = [xxhash.xxh3_64_intdigest(r.tobytes()) for r in np.round(u * 1e7).astype(np.int32)]
+                asked = np.round(u * (127 / np.abs(u).max(1, keepdims=True))).astype(np.int8)  # ranks don't depend on the scale
+                yield pd.DataFrame(
+                    {"grp": b["grp"].values, "rep": b["rep"].values, "near": list(near), "place": places[near[:, 0]], "direction": np.array(way, np.uint64).view(np.int64)}
+                    | {"code": [r.tobytes() for r in pack_codes(quantizer.encode(u))], "asked": [r.tobytes() for r in asked]}
+                )
+
+    posts = materialize(spread(distinct, "rep").select("grp", "rep", "v").mapInPandas(index, indexed), "vector-index")
+    sizes, _ = bounded_broadcast(materialize(posts.groupBy("grp").agg(F.count("*").alias("in_group")), "group-sizes"))
+    shared, _ = bounded_broadcast(materialize(posts.groupBy("grp", "direction").agg(F.count("*").alias("c"), F.min("rep").alias("ask")).filter(F.col("c") > k).drop("c"), "directions"))
+    part = F.floor(F.col("place") * F.ceil(F.col("in_group") / ask_rows) / cells).cast("int")
+    placed = posts.join(sizes, "grp").join(shared, ["grp", "direction"], "left").withColumn("part", part).withColumn("cell", F.col("near")[0])
+    asks = placed.filter(F.col("ask").isNull() | (F.col("ask") == F.col("rep"))).withColumn("whole", F.col("in_group") <= whole_rows).select("grp", "part", "rep", "near", "asked", "whole", "in_group")
+
+    # codes in blocks: one row holds up to about `block_rows` of a cell, by key
+    held = placed.select("grp", "cell", "rep", "code")
+    counts = materialize(held.groupBy("grp", "cell").agg(F.count("*").alias("codes")), "cell-sizes")
+    small_counts, _ = bounded_broadcast(counts)
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("codes") / block_rows).cast("int")).cast("int")
+    blocks = held.join(small_counts, ["grp", "cell"]).withColumn("block", block).groupBy("grp", "cell", "block").agg(F.array_sort(F.collect_list(F.struct("rep", "code"))).alias("x"))
+    blocks = materialize(blocks.select("grp", "cell", "block", F.col("x.rep").alias("ids"), F.unhex(F.concat_ws("", F.transform("x.code", F.hex))).alias("codes")), "code-blocks")
+
+    task = ["grp", "part", "ask_block", "chunk"]
+    kept = T.StructType(
+        [T.StructField("grp", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("ask_block", T.IntegerType()), T.StructField("rep", key_type)]
+        + [T.StructField("in_group", T.LongType()), T.StructField("chunks", T.IntegerType()), T.StructField("others", T.ArrayType(key_type)), T.StructField("rough", T.ArrayType(T.IntegerType()))]
     )
-    sizes, _ = bounded_broadcast(materialize(sizes, "cell-sizes"))
-    held = held.join(sizes, at).withColumn("held", F.pmod("h", "held_blocks")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)))
-    asks = asks.join(sizes, at).withColumn("ask", F.pmod("h", "ask_blocks")).withColumn("held", F.explode(F.sequence(F.lit(0), F.col("held_blocks") - 1)))
-    task = [*at, "held", "ask"]
-    pick = lambda d: d.select(*at, F.col("held").cast("int").alias("held"), F.col("ask").cast("int").alias("ask"), "asks", "rep", "v", "code")
+    width = (dims // 2 + 1) // 2
+
+    def scan(key: tuple, asked: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
+        """Each query's best codes of the chunk, and in a row without query all vectors that the task wants."""
+        if not len(asked) or not len(codes):
+            return pd.DataFrame(columns=kept.names)
+        packed = [np.frombuffer(c, np.uint8).reshape(-1, width) for c in codes["codes"]]
+        ids, at_cell = [np.asarray(i) for i in codes["ids"]], codes["cell"].to_numpy()
+        near = [np.asarray(x) for x in asked["near"]]
+        asked = asked.iloc[np.argsort([x[0] for x in near], kind="stable")]
+        whole, found, rough, wanted = bool(asked["whole"].iloc[0]), [], [], [asked["rep"].to_numpy()]
+        split = int(asked["chunks"].iloc[0]) > 1
+        for i in range(0, len(asked), TILE):
+            tile = asked.iloc[i : i + TILE]
+            at = np.arange(len(at_cell)) if whole else np.flatnonzero(np.isin(at_cell, np.unique(np.concatenate([np.asarray(x) for x in tile["near"]]))))
+            if not len(at):
+                found += [ids[0][:0]] * len(tile)
+                rough += [np.empty(0, np.int32)] * len(tile)
+                continue
+            tables = quantizer.tables(np.frombuffer(b"".join(tile["asked"]), np.int8).reshape(len(tile), dims))
+            scores = np.empty((len(tile), sum(len(packed[b]) for b in at)), np.uint16)
+            end = 0
+            for b in at:
+                scan_codes(tables, packed[b], scores[:, end : end + len(packed[b])])
+                end += len(packed[b])
+            cut = max(end - rerank, 0)
+            least = np.partition(scores, cut, axis=1)[:, cut]
+            q, c = np.nonzero(scores >= least[:, None])
+            others, ends = np.concatenate([ids[b] for b in at])[c], np.searchsorted(q, np.arange(1, len(tile)))
+            found += np.split(others, ends)
+            rough += np.split(scores[q, c].astype(np.int32), ends)
+            wanted.append(pd.unique(others))
+        head = {"grp": key[0], "part": key[1], "ask_block": key[2]}
+        lists = pd.DataFrame({"rep": asked["rep"].to_numpy(), "in_group": asked["in_group"].to_numpy(), "chunks": asked["chunks"].to_numpy(), "others": found, "rough": rough if split else None})
+        want = pd.DataFrame({"rep": [None], "in_group": 0, "chunks": lists["chunks"].iloc[0], "others": [pd.unique(np.concatenate(wanted))], "rough": None})
+        return pd.concat([lists.astype({"rep": object}), want]).assign(**head)[kept.names]
+
+    def survivors(asks: DataFrame, name: str) -> DataFrame:
+        """`kept` rows of all queries."""
+        near = asks.filter("not whole").select("grp", "part", F.explode("near").alias("cell")).distinct().join(counts, ["grp", "cell"])
+        every = asks.filter("whole").select("grp", "part").distinct().join(small_counts, "grp")
+        routes = materialize(near.select("grp", "part", "cell", "codes").unionByName(every.select("grp", "part", "cell", "codes")), f"{name}-routes")
+        cuts = asks.groupBy("grp", "part").agg(F.ceil(F.count("*") / ask_rows).cast("int").alias("ask_blocks"))
+        cuts, _ = bounded_broadcast(materialize(cuts.join(routes.groupBy("grp", "part").agg(F.ceil(F.sum("codes") / chunk_rows).cast("int").alias("chunks")), ["grp", "part"]), f"{name}-cuts"))
+        routes, _ = bounded_broadcast(routes.drop("codes"))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        sent = blocks.join(routes, ["grp", "cell"]).join(cuts, ["grp", "part"]).withColumn("chunk", F.pmod(F.xxhash64("cell", "block"), F.col("chunks")).cast("int")).withColumn("ask_block", numbers("ask_blocks"))
+        asked = asks.join(cuts, ["grp", "part"]).withColumn("ask_block", F.pmod(F.xxhash64("rep"), F.col("ask_blocks")).cast("int")).withColumn("chunk", numbers("chunks"))
+        left = asked.select(*task, "rep", "near", "asked", "whole", "in_group", "chunks").groupBy(*task)
+        lists = materialize(left.cogroup(sent.select(*task, "cell", "ids", "codes").groupBy(*task)).applyInPandas(scan, kept), name)
+        if lists.filter("chunks > 1").limit(1).count():  # the best of all chunks, ties kept
+            each = lists.filter("chunks > 1 and rep is not null").select(*[c for c in kept.names if c not in ("others", "rough")], F.explode(F.arrays_zip("others", "rough")).alias("x"))
+            best = each.withColumn("r", F.rank().over(Window.partitionBy("rep").orderBy(F.desc("x.rough")))).filter(F.col("r") <= rerank)
+            merged = best.groupBy("grp", "part", "ask_block", "rep", "in_group", "chunks").agg(F.collect_list("x.others").alias("others"), F.lit(None).cast("array<int>").alias("rough"))
+            lists = materialize(lists.filter("chunks = 1 or rep is null").unionByName(merged.select(*kept.names)), f"{name}-merged")
+        return lists
+
     scored = T.StructType([T.StructField("rep", key_type), T.StructField("other", key_type), T.StructField("cosine", T.DoubleType())])
-    blocks = quantizer.books.shape[0]
 
-    def scan(block: pd.DataFrame) -> pd.DataFrame:
-        b, q = block[~block["asks"]].sort_values("rep"), block[block["asks"]]  # the first of equal scores has the smaller key
-        if not len(b) or not len(q):
+    def exact(key: tuple, lists: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
+        """The k best others of each query's list."""
+        if not len(lists) or not len(fetched):
             return pd.DataFrame(columns=scored.names)
-        codes = unpack_codes(np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1), blocks)
-        looked_up = quantizer.lookup(codes)
-        base, ask = (unit_rows(np.frombuffer(b"".join(side["v"]), np.float32).reshape(len(side), dims)) for side in (b, q))
-        held_ids, ask_ids, found = b["rep"].to_numpy(), q["rep"].to_numpy(), []
-        m, most = min(rerank, len(codes)), min(k, len(codes))
-        for i in range(0, len(ask), 512):
-            mine, asked = ask[i : i + 512], ask_ids[i : i + 512]
-            rough = mine.astype(np.float32) @ looked_up
-            best = np.sort(np.argpartition(-rough, m - 1, axis=1)[:, :m], axis=1)
-            exact = np.round(np.einsum("qd,qmd->qm", mine, base[best]), 12)
-            exact[held_ids[best] == asked[:, None]] = -np.inf
-            order = np.argsort(-exact, axis=1, kind="stable")[:, :most]
-            r = np.arange(len(exact))[:, None]
-            at, cosine = best[r, order], exact[r, order]
-            reach = rough >= np.take_along_axis(rough, best, 1).min(1, keepdims=True) - ROUGH_EQUAL
-            tied = np.flatnonzero(reach.sum(1) > m)
-            if len(tied):
-                scores = np.where(reach[tied], np.round(mine[tied] @ base.T, 12), -np.inf)
-                scores[held_ids[None, :] == asked[tied, None]] = -np.inf
-                for j in range(most):
-                    at[tied, j] = first = scores.argmax(1)
-                    cosine[tied, j] = scores[np.arange(len(tied)), first]
-                    scores[np.arange(len(tied)), first] = -np.inf
-            found.append(pd.DataFrame({"rep": np.repeat(asked, most), "other": held_ids[at].reshape(-1), "cosine": cosine.reshape(-1)}))
-        out = pd.concat(found)
-        return out[np.isfinite(out["cosine"])]
-
-    met = pick(held).unionByName(pick(asks)).groupBy(*task).applyInPandas(scan, scored)
-    best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
-    closest = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("rep", "other", "cosine")
+        fetched = fetched.sort_values("rep")
+        ids = pd.Index(fetched["rep"])
+        u = unit_rows(fetched["v"])
+        mine, out = ids.get_indexer(lists["rep"]), []
+        others = [np.asarray(x) for x in lists["others"]]
+        sizes = np.array([len(x) for x in others])
+        bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // 65_536, prepend=-1)).tolist() + [len(others)]
+        for start, end in zip(bounds, bounds[1:]):
+            if not sizes[start:end].sum():
+                continue
+            q, o = np.repeat(mine[start:end], sizes[start:end]), ids.get_indexer(np.concatenate(others[start:end]))
+            q, o = q[q != o], o[q != o]
+            cosine = np.concatenate([np.round(np.einsum("pd,pd->p", u[q[i : i + 65_536]], u[o[i : i + 65_536]]), 12) for i in range(0, len(q), 65_536)] or [np.empty(0)])
+            order = np.lexsort((o, -cosine, q))
+            q, o, cosine = q[order], o[order], cosine[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            top = place < k
+            out.append(pd.DataFrame({"rep": fetched["rep"].to_numpy()[q[top]], "other": fetched["rep"].to_numpy()[o[top]], "cosine": cosine[top]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=scored.names)
+
+    lists = survivors(asks, "kept-codes")
+    short = lists.filter(F.col("rep").isNotNull() & (F.size("others") < F.least(F.lit(k + 1), "in_group"))).select("rep")
+    if short.limit(1).count():
+        again = survivors(materialize(asks.join(short, "rep", "left_semi").withColumn("whole", F.lit(True)), "short-lists"), "kept-codes-of-all-cells")
+        lists = lists.join(short, "rep", "left_anti").unionByName(again.withColumn("part", -1 - F.col("part")))
+    at = ["grp", "part", "ask_block"]
+    wanted = lists.filter("rep is null").select(*at, F.explode("others").alias("rep")).distinct()
+    wanted, _ = bounded_broadcast(materialize(wanted, "wanted"), 500_000)
+    fetched = distinct.select("rep", "v").join(wanted, "rep").select(*at, "rep", "v")
+    closest = lists.filter("rep is not null").select(*at, "rep", "others").groupBy(*at).cogroup(fetched.groupBy(*at)).applyInPandas(exact, scored)
     # from classes to keys: at most k classes of k + 1 keys and the class itself
     offer = materialize(offers.join(reps, cls).select("rep", "id"), "vector-offers-by-class")
     own = offer.select("rep", F.col("id").alias("neighbor"), F.lit(1.0).alias("cosine"))
     others = closest.join(offer.select(F.col("rep").alias("other"), F.col("id").alias("neighbor")), "other").select("rep", "neighbor", "cosine")
     ranked = own.unionByName(others).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "neighbor"))).filter(F.col("r") <= k + 1).drop("r")
     lists = ranked.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbor"))).alias("list"))  # at most k + 1
+    lent = placed.filter("ask is not null and ask <> rep").select("rep", "ask")
+    lists = materialize(lists, "neighbor-lists")
+    lists = lists.join(lent.select("rep"), "rep", "left_anti").unionByName(lent.join(lists.withColumnRenamed("rep", "ask"), "ask").select("rep", "list"))
     lists = lists.join(reps, "rep")
     hot = hot_keys(members.select(*cls), cls)
     salted = members.join(hot, cls, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
