@@ -25,7 +25,7 @@ ASK_ROWS, BLOCK_ROWS, CHUNK_ROWS = 16_384, 4_096, 524_288
 #: Queries whose tables are added together.
 TILE = 64
 #: Rough scores a query whose codes go to exact scoring, with all that tie with the last.
-RERANK = 48
+RERANK = 40
 #: Anisotropic threshold: residuals count by how they change scores of at least this cosine.
 THRESHOLD = 0.2
 #: Numbers of a score matrix that the driver or an index task holds at once.
@@ -189,7 +189,7 @@ def nearest(
     smallest keys.  Each class is put into its nearest of about half the square
     root of n cells, with a four-bit code for every two numbers.  Queries of
     near cells of a group share a task, to which the codes of the cells they
-    probe are sent (3.5 times the square root of the number of cells unless
+    probe are sent (3 times the square root of the number of cells unless
     given; all cells for groups of up to `whole_rows`).  The task adds up each
     query's tables at the codes and keeps its best `rerank` and every code that
     ties with the last of them; then only the vectors that some query of the
@@ -231,7 +231,7 @@ def nearest(
         x = unit_rows(distinct.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(wanted).toPandas()["v"])
     centroids = train_cells(x, min(cells, max(1, len(x) // 4)))
     cells, places, quantizer = len(centroids), cell_places(centroids), Quantizer.fit(x[:book_rows])
-    probes = min(probes or int(np.ceil(3.5 * cells**0.5)), cells)
+    probes = min(probes or int(np.ceil(3 * cells**0.5)), cells)
 
     indexed = T.StructType(
         [T.StructField("grp", T.LongType()), T.StructField("rep", key_type), T.StructField("near", T.ArrayType(T.IntegerType())), T.StructField("place", T.LongType())]
@@ -291,14 +291,12 @@ def nearest(
                 rough += [np.empty(0, np.int32)] * len(tile)
                 continue
             tables = quantizer.tables(np.frombuffer(b"".join(tile["asked"]), np.int8).reshape(len(tile), dims))
-            scores = np.empty((len(tile), sum(len(packed[b]) for b in at)), np.uint16)
-            end = 0
-            for b in at:
-                scan_codes(tables, packed[b], scores[:, end : end + len(packed[b])])
-                end += len(packed[b])
+            met = np.concatenate([packed[b] for b in at])
+            scores, end = np.empty((len(tile), len(met)), np.uint16), len(met)
+            scan_codes(tables, met, scores)
             cut = max(end - rerank, 0)
             least = np.partition(scores, cut, axis=1)[:, cut]
-            q, c = np.nonzero(scores >= least[:, None])
+            q, c = np.divmod(np.flatnonzero(scores >= least[:, None]), end)
             others, ends = np.concatenate([ids[b] for b in at])[c], np.searchsorted(q, np.arange(1, len(tile)))
             found += np.split(others, ends)
             rough += np.split(scores[q, c].astype(np.int32), ends)
