@@ -68,3 +68,14 @@ def test_agreement_by_hand(spark):
     r = C.agreement(spark.createDataFrame(rows, "item string, field string, annotator string, answer string")).first()
     assert (r["n_units"], r["n_ratings"]) == (4, 8)
     assert r["alpha"] == pytest.approx(1 - 0.5 / (32 / 56))
+
+
+def test_all_ways_of_a_round_agree(spark):
+    rng = random.Random(3)
+    votes = [(f"i{i}", f, a, rng.choice("abc" if f == "x" else "yn")) for i in range(40) for f in ("x", "y") for a in "pqrst" if rng.random() < 0.7]
+    votes += [("hot", "x", f"w{j}", rng.choice("abc")) for j in range(60)]
+    df = spark.createDataFrame(votes, "item string, field string, annotator string, answer string")
+    run = lambda **o: {(r["annotator"], r["field"]): (r["n_judged"], round(r["accuracy"], 8), round(r["weight"], 6), r["stable"]) for r in C.reliability(df, **o).collect()}
+    rows, mixed, joined = run(), run(most_votes=30), run(most_named=0)
+    assert rows == mixed == joined and all(v[3] for v in rows.values())
+    assert not any(v[3] for v in run(rounds=2, tolerance=0.0).values())
