@@ -125,3 +125,22 @@ def test_groups(spark):
     rows = [("chunk", 7, " ".join(base)), ("chunk", 3, " ".join(near)), ("chunk", 9, " ".join(base)), ("chunk", 1, " ".join(f"q{i}" for i in range(100))), ("document", 3, " ".join(base))]
     got = {(r["kind"], r["key"]): (r["group_key"], r["rep"], r["n_links"]) for r in N.groups(*N.near_duplicates(spark.createDataFrame(rows, "kind string, key long, text string"), width=3, threshold=0.6)).collect()}
     assert got == {("chunk", 7): (3, 7, 1), ("chunk", 9): (3, 7, 1), ("chunk", 3): (3, 3, 1), ("chunk", 1): (1, 1, 0), ("document", 3): (3, 3, 0)}
+
+
+def test_copies_in_parts_are_all_paired(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 4)
+    base = [f"a{i}" for i in range(100)]
+    rows = [("chunk", i, " ".join(base)) for i in range(13)] + [("chunk", 20 + i, " ".join(base[:95] + ["z"] * 5)) for i in range(9)]
+    assert _found(spark, rows, width=3, threshold=0.6, measure="set", least_words=50) == _brute(rows, 3, 0.6, 50)
+
+
+def test_detection_at_the_threshold_under_the_worst_weights():
+    rng = np.random.default_rng(6)
+    logs, sets, sizes = [], [], []
+    low = np.log(np.float32(N.SET_FLOOR))
+    for _ in range(1500):  # 0.6 of the shingles in common, all of the lowest weight, the others of the highest
+        x = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        sets += [x[:48], np.concatenate([x[:36], x[48:]])]
+        logs += [np.repeat([low, 0], [36, 12])] * 2
+    bands = N.band_hashes(N.Sampler().sign(np.concatenate(sets), np.concatenate(logs).astype(np.float32), np.repeat(np.arange(3000), 48), 3000))
+    assert (bands[::2] == bands[1::2]).any(1).mean() >= 0.99

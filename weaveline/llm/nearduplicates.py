@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weaveline.operators.graph import connected_components
-from weaveline.scratch import bounded_broadcast, materialize, spread
+from weaveline.scratch import bounded_broadcast, materialize, salted_join, spread
 
 #: Counters of the document-frequency sketch, whatever the size of the corpus.
 SKETCH = 1 << 18
 _SKETCH_PART = 1 << 12
-#: Passes, and bins a pass, of a signature; ROWS samples make a band.
-PASSES, BINS, ROWS = 12, 16, 4
+#: Passes, and bins a pass, of a signature; ROWS samples make a band, so there are 48 bands.
+PASSES, BINS, ROWS = 9, 16, 3
+#: Least IDF weight of a shingle, that of one in every record; 1 is the weight of one in a single record.
+WEIGHTED_FLOOR, SET_FLOOR = 0.5, 0.7
 #: Distinct texts of a bucket beyond which its pairs are verified block by block instead of listed.
 WIDE_BUCKET = 200
 #: Distinct texts a block.
-BLOCK = 256
+BLOCK = 512
+#: Copies of a text that one task pairs with other rows.
+COPIES = 1_024
 
 _WORD = re.compile(r"\w+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -63,8 +67,8 @@ def idf_sketch(records: DataFrame, width: int, least_words: int) -> tuple[np.nda
     """(document frequency by counter, documents) over all records.
 
     Every partition counts into SKETCH counters and sends them as binary parts;
-    these are summed in two levels, so neither a task nor the driver holds more
-    than a fixed size.
+    these are summed in levels of 64 each, so neither a task nor the driver
+    holds more than a fixed size, however many partitions there are.
     """
     parts = SKETCH // _SKETCH_PART
     schema = "part int, share int, counts binary, docs long"
@@ -79,14 +83,21 @@ def idf_sketch(records: DataFrame, width: int, least_words: int) -> tuple[np.nda
         if docs:
             from pyspark import TaskContext
 
-            share = TaskContext.get().partitionId() % 64
+            share = TaskContext.get().partitionId()
             yield pd.DataFrame({"part": range(parts), "share": share, "counts": [p.tobytes() for p in counters.reshape(parts, -1)], "docs": [docs] + [0] * (parts - 1)})
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         counts = sum(np.frombuffer(c, np.int64) for c in group["counts"])
         return pd.DataFrame({"part": [int(group["part"].iloc[0])], "share": [0], "counts": [counts.tobytes()], "docs": [int(group["docs"].sum())]})
 
-    summed = records.select("text").mapInPandas(count, schema).groupBy("part", "share").applyInPandas(total, schema).groupBy("part").applyInPandas(total, schema)
+    def total_of(group: pd.DataFrame) -> pd.DataFrame:
+        return total(group).assign(share=[int(group["share"].iloc[0]) // 64])
+
+    summed, partitions = records.select("text").mapInPandas(count, schema), records.rdd.getNumPartitions()
+    while partitions > 64:
+        summed = summed.groupBy("part", F.floor(F.col("share") / 64)).applyInPandas(total_of, schema)
+        partitions = -(-partitions // 64)
+    summed = summed.groupBy("part").applyInPandas(total, schema)
     out, docs = np.zeros((parts, _SKETCH_PART), np.int64), 0
     for row in summed.collect():  # SKETCH counters
         out[row["part"]] = np.frombuffer(row["counts"], np.int64)
@@ -94,15 +105,15 @@ def idf_sketch(records: DataFrame, width: int, least_words: int) -> tuple[np.nda
     return out.reshape(-1), docs
 
 
-def idf_weights(counts: np.ndarray, docs: int) -> np.ndarray:
-    """Damped IDF by counter, from 1/2 (in every record) to 1 (in one).
+def idf_weights(counts: np.ndarray, docs: int, floor: float = WEIGHTED_FLOOR) -> np.ndarray:
+    """Damped IDF by counter, from `floor` (in every record) to 1 (in one).
 
     A counter's mean load by other shingles is taken off.  Damping bounds what
     weighting does to a pair: a share s of common shingles becomes at least
-    s / (2 - s) by weight.
+    floor s / (floor s + 1 - s) by weight: 0.43 for 0.6 at a floor of 0.5, 0.51 at 0.7.
     """
     df = np.maximum(counts - counts.sum() / len(counts), 1.0)
-    return (0.5 + 0.5 * np.log1p(docs / df) / np.log1p(max(docs, 1))).clip(0.5, 1.0).astype(np.float32)
+    return (floor + (1 - floor) * np.log1p(docs / df) / np.log1p(max(docs, 1))).clip(floor, 1.0).astype(np.float32)
 
 
 class Sampler:
@@ -161,10 +172,10 @@ def band_hashes(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return total.view(np.int64)
 
 
-def signatures(records: DataFrame, weights: np.ndarray | None, width: int, least_words: int, rows: int = ROWS) -> DataFrame:
+def signatures(records: DataFrame, weights: np.ndarray, width: int, least_words: int, rows: int = ROWS, counted: bool = True) -> DataFrame:
     """(kind, key, set_a, set_b, n_shingles, bands): equal sets of shingles have equal (set_a, set_b).
 
-    Without `weights` (IDF by counter) all shingles weigh the same, however often they occur.
+    A shingle weighs its IDF (`weights` by counter), times 1 + ln of its occurrences if they are `counted`.
     """
     schema = T.StructType(
         [records.schema["kind"], records.schema["key"]]
@@ -174,7 +185,7 @@ def signatures(records: DataFrame, weights: np.ndarray | None, width: int, least
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, sampler = WordHash(), Sampler()
-        log_idf = None if weights is None else np.log(weights)
+        log_idf = np.log(weights)
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.iloc[i : i + 1000]
@@ -185,10 +196,9 @@ def signatures(records: DataFrame, weights: np.ndarray | None, width: int, least
                     continue
                 sizes = np.array([len(s[0]) for s in found])
                 features = np.concatenate([s[0] for s in found])
-                logs = np.zeros(len(features), np.float32)
-                if log_idf is not None:
+                logs = log_idf[(features & np.uint64(SKETCH - 1)).astype(np.int64)]
+                if counted:
                     tf = np.concatenate([s[1] for s in found])
-                    logs = log_idf[(features & np.uint64(SKETCH - 1)).astype(np.int64)]
                     logs = np.where(tf > 1, logs + np.log1p(np.log(tf)), logs).astype(np.float32)
                 bands = band_hashes(sampler.sign(features, logs, np.repeat(np.arange(len(found)), sizes), len(found)), rows)
                 bands += np.array([xxhash.xxh3_64_intdigest(str(k)) for k in part["kind"][keep]], np.uint64).view(np.int64)[:, None]
@@ -219,10 +229,12 @@ def near_duplicates(
     record of `least_words` words: records with equal sets of shingles form a
     class named by its smallest key, so copies are never paired.
 
-    Consistent samples of shingles, weighted by TF-IDF for `weighted` and all
-    alike for `set`, so that they agree as often as `measure` says, are cut into
-    bands; texts that share a band are candidates, and candidates are verified
-    on all their shingles.  The document frequencies come from a fixed-size sketch over all
+    Consistent samples of shingles, weighted by TF-IDF for `weighted` and by IDF
+    alone for `set` (a set has no counts), are cut into bands; texts that share a
+    band are candidates, and candidates are verified on all their shingles.  For
+    sets the IDF is damped so that a pair at 0.6 has at least 0.51 by weight and
+    so shares one of the 48 bands with probability 0.998 or more, whatever the
+    weights.  The document frequencies come from a fixed-size sketch over all
     records.  A bucket of more than `wide_bucket` different texts lists no
     pairs: its texts are verified block against block, so no task grows with
     the bucket and no pair in it is left out.
@@ -234,12 +246,15 @@ def near_duplicates(
         raise ValueError("measure must be set or weighted")
     records = spread(records.select("kind", "key", "text").filter("text is not null"), "key")
     counts, docs = idf_sketch(records, width, least_words)
-    idf = idf_weights(counts, docs)
-    signed = materialize(signatures(records, idf if measure == "weighted" else None, width, least_words, rows), "signatures")
+    idf = idf_weights(counts, docs, SET_FLOOR if measure == "set" else WEIGHTED_FLOOR)
+    signed = materialize(signatures(records, idf, width, least_words, rows, measure == "weighted"), "signatures")
     sets = ["kind", "set_a", "set_b"]
-    reps = signed.groupBy(*sets).agg(F.min("key").alias("rep"))
-    members = signed.select(*sets, "key").join(reps, sets).select("kind", "rep", "key")
-    texts = materialize(signed.join(reps, sets).filter("key = rep").select("kind", "rep", "n_shingles", "bands"), "classes")
+    counted = materialize(signed.groupBy(*sets).agg(F.min("key").alias("rep"), F.count("*").alias("n")), "sets")
+    copied, _ = bounded_broadcast(counted.filter("n > 1").select(*sets, "rep"))
+    copies = materialize(salted_join(signed.select(*sets, "key"), copied, sets, "key").select("kind", "rep", "key"), "copies")
+    members = counted.filter("n = 1").select("kind", "rep", F.col("rep").alias("key")).unionByName(copies)
+    others, _ = bounded_broadcast(copies.filter("rep <> key").select("kind", "key"))
+    texts = signed.join(others, ["kind", "key"], "left_anti").select("kind", F.col("key").alias("rep"), "n_shingles", "bands")
     posts = texts.select("kind", "rep", F.explode("bands").alias("bucket"))
     # a bucket's hash holds the kind, so that one number is the key
     shared = materialize(posts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
@@ -255,7 +270,7 @@ def near_duplicates(
         known = WordHash()
         for batch in batches:
             found = [shingles(t, known, width, least_words) for t in batch["text"]]
-            yield pd.DataFrame({"kind": batch["kind"], "rep": batch["key"], "shingles": [s[0].tobytes() for s in found], "tf": [np.minimum(s[1], 65535).astype(np.uint16).tobytes() for s in found]})
+            yield pd.DataFrame({"kind": batch["kind"], "rep": batch["key"], "shingles": [s[0].tobytes() for s in found], "tf": [s[1].astype(np.uint32).tobytes() for s in found]})
 
     asked = pairs.select("kind", F.col("rep_a").alias("key")).union(pairs.select("kind", F.col("rep_b"))).union(wide.select("kind", F.col("rep"))).distinct()
     asked, _ = bounded_broadcast(materialize(asked, "asked"), 500_000)
@@ -268,7 +283,7 @@ def near_duplicates(
         for batch in batches:
             out = []
             for kind, ra, rb, sa, ta, sb, tb in batch.itertuples(index=False):
-                got = (kind, ra, rb, *_weighted(np.frombuffer(sa, np.uint64), np.frombuffer(ta, np.uint16), np.frombuffer(sb, np.uint64), np.frombuffer(tb, np.uint16), idf))
+                got = (kind, ra, rb, *_weighted(np.frombuffer(sa, np.uint64), np.frombuffer(ta, np.uint32), np.frombuffer(sb, np.uint64), np.frombuffer(tb, np.uint32), idf))
                 if got[at] >= threshold - 1e-12:
                     out.append(got)
             yield pd.DataFrame(out, columns=linked.names)
@@ -278,31 +293,47 @@ def near_duplicates(
 
     def verify_block(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["left"]], group[~group["left"]]
-        sets = {side: [(r.rep, np.frombuffer(r.shingles, np.uint64), np.frombuffer(r.tf, np.uint16)) for r in part.itertuples()] for side, part in (("l", left), ("r", right))}
-        out, kind = [], group["kind"].iloc[0]
+        sets = {side: [(r.rep, np.frombuffer(r.shingles, np.uint64), np.frombuffer(r.tf, np.uint32)) for r in part.itertuples()] for side, part in (("l", left), ("r", right))}
+        out, kind, within = [], group["kind"].iloc[0], group["l"].iloc[0] == group["r"].iloc[0]
         for ra, sa, ta in sets["l"]:
             for rb, sb, tb in sets["r"]:
-                if ra < rb and (measure == "weighted" or min(len(sa), len(sb)) >= (threshold - 1e-12) * max(len(sa), len(sb))):
-                    got = (kind, ra, rb, *_weighted(sa, ta, sb, tb, idf))
+                if (ra < rb or not within) and (measure == "weighted" or min(len(sa), len(sb)) >= (threshold - 1e-12) * max(len(sa), len(sb))):
+                    got = (kind, min(ra, rb), max(ra, rb), *_weighted(sa, ta, sb, tb, idf))
                     if got[at] >= threshold - 1e-12:
                         out.append(got)
         return pd.DataFrame(out, columns=linked.names)
 
     blocks = wide.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    lefts = blocks.withColumn("l", F.col("own")).withColumn("r", every).withColumn("left", F.lit(True))
-    rights = blocks.withColumn("r", F.col("own")).withColumn("l", every).withColumn("left", F.lit(False))
+    upper, lower = F.explode(F.sequence("own", F.col("blocks") - 1)), F.explode(F.sequence(F.lit(0), "own"))  # every two blocks meet once
+    lefts = blocks.withColumn("l", F.col("own")).withColumn("r", upper).withColumn("left", F.lit(True))
+    rights = blocks.withColumn("r", F.col("own")).withColumn("l", lower).withColumn("left", F.lit(False))
     tasks = lefts.select("kind", "bucket", "l", "r", "left", "rep").unionByName(rights.select("kind", "bucket", "l", "r", "left", "rep"))
     blocked = tasks.join(laid, ["kind", "rep"]).groupBy("kind", "bucket", "l", "r").applyInPandas(verify_block, linked)
     return materialize(listed.unionByName(blocked).dropDuplicates(["kind", "rep_a", "rep_b"]), "links"), members
 
 
 def expanded_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Every pair of records (kind, key_a, key_b), copies included, smaller key first."""
-    one, two = (members.select("kind", F.col("rep").alias(f"rep_{s}"), F.col("key").alias(f"k_{s}")) for s in "ab")
-    across = links.select("kind", "rep_a", "rep_b").join(one, ["kind", "rep_a"]).join(two, ["kind", "rep_b"]).select("kind", F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b"))
-    copies = materialize(members.join(members.groupBy("kind", "rep").agg(F.count("*").alias("n")).filter("n > 1"), ["kind", "rep"]).drop("n"), "copies")
-    inside = copies.select("kind", "rep", F.col("key").alias("key_a")).join(copies.select("kind", "rep", F.col("key").alias("key_b")), ["kind", "rep"]).filter("key_a < key_b").select("kind", "key_a", "key_b")
+    """Every pair of records (kind, key_a, key_b), copies included, smaller key first.
+
+    The copies of a text are cut into parts of about COPIES by hash, and parts
+    are paired with parts, so no task lists all pairs of a text with many copies.
+    """
+    parts = members.groupBy("kind", "rep").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts"), (F.count("*") > 1).alias("copied"))
+    parts = materialize(parts, "copy-parts").filter("copied or parts > 1").drop("copied")
+    few, _ = bounded_broadcast(parts)
+    sized = members.join(few, ["kind", "rep"], "left").withColumn("copied", F.col("parts").isNotNull()).na.fill({"parts": 1})
+    cut = sized.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    side = lambda s: cut.select("kind", F.col("rep").alias(f"rep_{s}"), F.col("part").alias(f"part_{s}"), F.col("key").alias(f"k_{s}"))
+    asked = links.select("kind", "rep_a", "rep_b")
+    for s in "ab":
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        asked = asked.join(few.withColumnRenamed("rep", f"rep_{s}"), ["kind", f"rep_{s}"], "left").withColumn(f"part_{s}", every).drop("parts")
+    met = asked.join(side("a"), ["kind", "rep_a", "part_a"]).join(side("b"), ["kind", "rep_b", "part_b"])
+    across = met.select("kind", F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b"))
+    copies = materialize(cut.filter("copied").select("kind", "rep", "parts", "part", "key"), "copies")
+    left = copies.select("kind", "rep", "part", F.col("key").alias("key_a"))
+    right = copies.select("kind", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("key").alias("key_b"))
+    inside = left.join(right, ["kind", "rep", "part"]).filter("key_a < key_b").select("kind", "key_a", "key_b")
     return across.unionByName(inside)
 
 
