@@ -19,9 +19,9 @@ from weaveline.scratch import bounded_broadcast, materialize, salted_join, sprea
 SKETCH = 1 << 18
 _SKETCH_PART = 1 << 12
 #: Passes, and bins a pass, of a signature; ROWS samples make a band, so there are 48 bands.
-PASSES, BINS, ROWS = 9, 16, 3
+PASSES, BINS, ROWS = 12, 16, 4
 #: Least IDF weight of a shingle, that of one in every record; 1 is the weight of one in a single record.
-WEIGHTED_FLOOR, SET_FLOOR = 0.5, 0.7
+WEIGHTED_FLOOR, SET_FLOOR = 0.5, 0.85
 #: Distinct texts of a bucket beyond which its pairs are verified block by block instead of listed.
 WIDE_BUCKET = 200
 #: Distinct texts a block.
@@ -110,7 +110,7 @@ def idf_weights(counts: np.ndarray, docs: int, floor: float = WEIGHTED_FLOOR) ->
 
     A counter's mean load by other shingles is taken off.  Damping bounds what
     weighting does to a pair: a share s of common shingles becomes at least
-    floor s / (floor s + 1 - s) by weight: 0.43 for 0.6 at a floor of 0.5, 0.51 at 0.7.
+    floor s / (floor s + 1 - s) by weight: 0.43 for 0.6 at a floor of 0.5, 0.56 at 0.85.
     """
     df = np.maximum(counts - counts.sum() / len(counts), 1.0)
     return (floor + (1 - floor) * np.log1p(docs / df) / np.log1p(max(docs, 1))).clip(floor, 1.0).astype(np.float32)
@@ -232,8 +232,8 @@ def near_duplicates(
     Consistent samples of shingles, weighted by TF-IDF for `weighted` and by IDF
     alone for `set` (a set has no counts), are cut into bands; texts that share a
     band are candidates, and candidates are verified on all their shingles.  For
-    sets the IDF is damped so that a pair at 0.6 has at least 0.51 by weight and
-    so shares one of the 48 bands with probability 0.998 or more, whatever the
+    sets the IDF is damped so that a pair at 0.6 has at least 0.56 by weight and
+    so shares one of the 48 bands with probability 0.993 or more, whatever the
     weights.  The document frequencies come from a fixed-size sketch over all
     records.  A bucket of more than `wide_bucket` different texts lists no
     pairs: its texts are verified block against block, so no task grows with
