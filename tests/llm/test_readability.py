@@ -60,3 +60,29 @@ def test_levels_of_a_table(spark):
     assert R.reading_levels(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", model).collect() == []
     with pytest.raises(ValueError):
         R.fit_levels(graded.limit(0), "sample_id", "text", "grade")
+
+OTHER = {
+    "de": "Der schnelle Fuchs springt über den faulen Hund, und wir sehen ihm dabei zu. Das Verfahren sortiert die Werte, bevor es sie speichert. Danach prüft jede Einheit ihre eigenen Ergebnisse. ",
+    "nl": "De snelle vos springt over de luie hond en wij kijken ernaar. Het systeem sorteert de waarden voordat het ze opslaat. Daarna controleert elke eenheid zijn eigen uitkomsten. ",
+}
+
+
+def test_languages_are_learned_despite_wrong_labels(spark):
+    rows = [(i, EASY * 3 + HARD, "EN" if i % 5 else "de") for i in range(40)] + [(100 + i, OTHER["de"] * 4, "de-DE") for i in range(30)]
+    rows += [(200 + i, OTHER["nl"] * 4, " nl") for i in range(30)] + [(300, None, "en"), (301, "x", None), (302, "", "en"), (303, "rare words", "zz")]
+    learned = R.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert learned.labels == ["de", "en", "nl"]
+    assert learned.of(R.prose_words("We sort the values before each unit stores its own results."), {}) == "en"
+    assert learned.of(R.prose_words("Wir speichern die Werte, bevor jede Einheit sie sortiert."), {}) == "de"
+    assert learned.of(R.prose_words("Wij controleren de waarden voordat het systeem ze sorteert."), {}) == "nl"
+    assert learned.of([], {}) is None
+    model = R.LevelModel.fit([EASY * 6, HARD * 6] * 5, [1, 5] * 5)
+    docs = spark.createDataFrame([(1, EASY * 8), (2, OTHER["nl"] * 8), (3, OTHER["de"] * 8)], "doc_id long, text string")
+    assert [r["doc_id"] for r in R.reading_levels(docs, "doc_id", "text", model, languages=learned).collect()] == [1]
+
+
+def test_all_pairs_count_and_long_formulas_are_no_prose():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["cat", "dog", "runs", "far"], 30)) + "." for _ in range(900)] + [HARD] * 900
+    assert R.LevelModel.fit(texts, [1] * 900 + [5] * 900).level(R.running_prose(HARD)) > 4  # 810,000 pairs
+    assert R.prose_words("before $" + "x + y " * 80 + "$ after") == ["before", "after"]

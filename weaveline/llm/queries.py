@@ -83,8 +83,11 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    model = readability.fit_levels(table(spark, sf, "graded_samples"), "sample_id", "text", "grade")
-    return readability.reading_levels(table(spark, sf, "documents"), "doc_id", "text", model)
+    documents, graded = table(spark, sf, "documents"), table(spark, sf, "graded_samples")
+    model = readability.fit_levels(graded, "sample_id", "text", "grade")
+    passages = readability.graded_texts(graded, "sample_id", "text")
+    languages = readability.fit_languages(documents, "doc_id", "text", "lang", {"en": passages})
+    return readability.reading_levels(documents, "doc_id", "text", model, languages=languages)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +17,12 @@ from weaveline.scratch import spread
 
 #: Most graded rows the model is fitted on, by hash order.
 TRAIN_ROWS = 5_000
+#: Rows a label, by hash order, that language profiles are learned from, and labels, by number of rows.
+LANGUAGE_ROWS, LANGUAGES = 400, 16
 #: Texts with fewer words of running prose get no level.
 LEAST_WORDS = 80
 
-# Frequent function words by language.
+# Frequent function words by language, for texts that come without labelled rows to learn languages from.
 FUNCTION_WORDS = {
     "en": "a about after all an and any are as at be because before but by can do each for from had has have he her his how i if in into is it its may more my no not now of on one or our out so some such than that the their then there these they this to too under until up was we were what when where which while who will with without you your",
     "fr": "au aux avec avant ce ces cet cette chaque comme dans de des du elle en est et il ils je jusqu la le les leur lorsque mais ne nous on ou par pas plus pour puis quand que qui sans se ses si son sont sur un une vers y",
@@ -29,7 +31,7 @@ FUNCTION_WORDS = {
 }
 _LANGUAGE = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 
-# Word classes of the syntax features.
+# Word classes of the syntax features.
 SUBORDINATORS = frozenset("although because if provided rather since than though unless until whereas whether while".split())
 RELATIVES = frozenset("that which who whose whom".split())
 LINKERS = frozenset("and but here now so then too yet".split())
@@ -48,7 +50,7 @@ _TABLE = re.compile(r"^[ \t>]*\|[^\n]*$|^[^\n|]*\|[^\n|]*\|[^\n]*$|^[ \t]*:?-{3,
 _RULE = re.compile(r"^[ \t]*(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", re.M)
 _INDENTED = re.compile(r"^(?: {4,}|\t)[^\n]*(?:[=(){};]|\w_\w)[^\n]*$", re.M)
 _CODE = re.compile(r"(`+)[^`\n]+\1")
-_MATH = re.compile(r"\$[^$\n]{1,200}\$|\\\([^\n]*?\\\)")
+_MATH = re.compile(r"\$[^$\n]+\$|\\\([^\n]*?\\\)")
 _IMAGE = re.compile(r"!\[\[[^\]\n]*\]\]|!\[[^\]\n]*\]\([^)\n]*\)")
 _WIKI = re.compile(r"\[\[(?:[^\]|\n]*\|)?(?:[^\]|\n]*/)?([^\]|\n/]*)\]\]")
 _LINK = re.compile(r"\[([^\]\n]*)\](?:\([^)\n]*\)|\[[^\]\n]*\])")
@@ -122,6 +124,87 @@ def is_english(words: list[str], least: float = 0.15) -> bool:
     return share["en"] >= least and share["en"] > max(v for k, v in share.items() if k != "en")
 
 
+class Languages:
+    """Naive Bayes over the character n-grams (1 to 4, with word ends) of words, learned from labelled texts whose labels may be wrong."""
+
+    def __init__(self, labels: list[str], grams: dict[str, int], logs: np.ndarray):
+        self.labels, self.grams, self.logs = labels, grams, logs
+
+    @staticmethod
+    def fit(texts: list[list[str]], labels: list[str], rounds: int = 3, smoothing: float = 0.5) -> "Languages":
+        """Fit on lower-cased words; after each round texts take the label they are given, so wrong ones stop counting."""
+        names = sorted(set(labels))
+        at = np.array([names.index(x) for x in labels])
+        bags = [Counter(words) for words in texts]
+        vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
+        grams: dict[str, int] = {}
+        parts = [np.array([grams.setdefault(g, len(grams)) for g in word_grams(w)]) for w in vocabulary]
+        sizes, flat = np.array([len(p) for p in parts]), np.concatenate(parts)
+        rows = [(np.array([vocabulary[w] for w in b], int), np.array(list(b.values()), float)) for b in bags]
+        for _ in range(rounds):
+            counts = np.zeros((len(names), len(grams)))
+            for k in range(len(names)):
+                words = np.zeros(len(vocabulary))
+                for (w, n), label in zip(rows, at):
+                    if label == k:
+                        words[w] += n
+                counts[k] = np.bincount(flat, np.repeat(words, sizes), len(grams))
+            logs = np.log((counts + smoothing) / (counts.sum(1, keepdims=True) + smoothing * (len(grams) + 1))).T
+            model = Languages(names, grams, np.vstack([logs, np.log(smoothing / (counts.sum(1) + smoothing * (len(grams) + 1)))]).astype(np.float32))
+            by_word = np.add.reduceat(logs[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            new = np.array([int((by_word[w] * n[:, None]).sum(0).argmax()) if len(w) else a for (w, n), a in zip(rows, at)])
+            if (new == at).all():
+                break
+            at = new
+        return model
+
+    def word(self, word: str) -> np.ndarray:
+        """Log-likelihood of a word by label."""
+        get, other = self.grams.get, len(self.grams)
+        return self.logs[[get(g, other) for g in word_grams(word)]].sum(0)
+
+    def of(self, words: list[str], known: dict[str, np.ndarray]) -> str | None:
+        """Label of a text by its lower-cased words, `known` remembering words; None without words."""
+        total = np.zeros(len(self.labels))
+        for w, n in Counter(words).items():
+            if w not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[w] = self.word(w)
+            total += n * known[w]
+        return self.labels[int(total.argmax())] if words else None
+
+
+def word_grams(word: str) -> list[str]:
+    marked = f" {word[:64]} "  # longer runs are no words of a language
+    return [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
+
+
+def prose_words(text: str) -> list[str]:
+    return _WORD.findall("\n".join(running_prose(text)).lower())
+
+
+def fit_languages(labelled: DataFrame, key: str, text: str, label: str, also: dict[str, list[str]] | None = None, rows: int = LANGUAGE_ROWS) -> Languages:
+    """Language profiles learned on the driver from at most `rows` texts a label, of the LANGUAGES most frequent labels; `also` adds texts by label.
+
+    Labels are taken by their first two letters without case; rows without
+    label or text don't count, and labels of fewer than three rows neither.
+    """
+    named = labelled.select(F.col(key).alias("k"), F.lower(F.substring(F.trim(label), 1, 2)).alias("label")).filter(F.col("label").rlike("^[a-z]{2}$") & F.col(text).isNotNull())
+    usual = named.groupBy("label").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "label").limit(LANGUAGES)
+    order = Window.partitionBy("label").orderBy(F.xxhash64("k"), "k")
+    chosen = named.join(F.broadcast(usual), "label").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows).select("k", "label")
+    got = labelled.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").orderBy("label", F.xxhash64("k"), "k", "t").toPandas()  # at most LANGUAGES x rows
+    texts, labels = [prose_words(t) for t in got["t"]], got["label"].tolist()
+    for name, more in (also or {}).items():
+        texts += [prose_words(t) for t in more]
+        labels += [name] * len(more)
+    kept = [i for i, t in enumerate(texts) if t]
+    if not kept:
+        raise ValueError("labelled texts with prose are needed")
+    return Languages.fit([texts[i] for i in kept], [labels[i] for i in kept])
+
+
 #: Names of the features, in the order of `surface_features`; the vocabulary difficulty comes last.
 FEATURES = ["log_sentence", "word_length", "long", "very_long", "syllables", "subordinators", "relatives", "linkers", "be", "of", "prepositions", "the", "clauses", "participles", "nominals", "adverbs", "short_sentences", "difficulty"]
 
@@ -196,16 +279,17 @@ class LevelModel:
         x = np.asarray(x)
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
         z = (x - mean) / scale
-        i, j = np.nonzero(y[:, None] > y[None, :])
-        if len(i) > 400_000:
-            keep = np.linspace(0, len(i) - 1, 400_000).astype(int)
-            i, j = i[keep], j[keep]
-        d = z[i] - z[j]
-        w = np.zeros(d.shape[1])
+        w, pairs = np.zeros(z.shape[1]), sum(int((y < g).sum()) for g in y)
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-            grad = d.T @ (1 - p) / len(d) - ridge * 1e-2 * w
-            hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * 1e-2 * np.eye(len(w))
+            grad, hess = -ridge * 1e-2 * w, ridge * 1e-2 * np.eye(len(w))
+            for g in np.unique(y):  # all pairs, a block of upper texts at a time
+                below, upper = z[y < g], z[y == g]
+                step = max(1, 200_000 // max(len(below), 1))
+                for i in range(0, len(upper) if len(below) else 0, step):
+                    d = (upper[i : i + step, None] - below[None]).reshape(-1, len(w))
+                    p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+                    grad = grad + d.T @ (1 - p) / pairs
+                    hess = hess + (d * (p * (1 - p))[:, None]).T @ d / pairs
             step = np.linalg.solve(hess, grad)
             w += step
             if np.abs(step).max() < 1e-6:
@@ -245,10 +329,16 @@ def fit_levels(graded: DataFrame, key: str, text: str, grade: str, train_rows: i
     return LevelModel.fit(rows["t"].tolist(), rows["g"].tolist())
 
 
-def reading_levels(texts: DataFrame, key: str, text: str, model: LevelModel, *, lowest: int = 1, highest: int = 5, least_words: int = LEAST_WORDS) -> DataFrame:
+def graded_texts(graded: DataFrame, key: str, text: str, rows: int = LANGUAGE_ROWS) -> list[str]:
+    """At most `rows` texts, by hash order."""
+    return [r["t"] for r in graded.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
+
+
+def reading_levels(texts: DataFrame, key: str, text: str, model: LevelModel, *, languages: Languages | None = None, english: str = "en", lowest: int = 1, highest: int = 5, least_words: int = LEAST_WORDS) -> DataFrame:
     """Level of each English text with at least `least_words` words of prose: (key, grade, level, prose_words).
 
-    The language is that of the prose, whatever a column says.  Each row is
+    The language is that of the prose, whatever a column says: by the learned
+    profiles of `languages`, or by function words without them.  Each row is
     settled by itself, without a shuffle.  Null, empty, short and non-English
     texts have no row; repeated rows each have one; other columns are ignored.
     """
@@ -256,12 +346,13 @@ def reading_levels(texts: DataFrame, key: str, text: str, model: LevelModel, *,
     schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("grade", T.IntegerType()), T.StructField("level", T.DoubleType()), T.StructField("prose_words", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, np.ndarray] = {}
         for batch in batches:
             rows = []
             for k, t in zip(batch["key"], batch["text"]):
                 blocks = running_prose(t)
                 words = _WORD.findall("\n".join(blocks).lower())
-                if len(words) < least_words or not is_english(words):
+                if len(words) < least_words or not (languages.of(words, known) == english if languages else is_english(words)):
                     continue
                 level = model.level(blocks)
                 rows.append((k, int(min(max(np.floor(level + 0.5), lowest), highest)), level, len(words)))
