@@ -72,10 +72,10 @@ def test_languages_are_learned_despite_wrong_labels(spark):
     rows += [(200 + i, OTHER["nl"] * 4, " nl") for i in range(30)] + [(300, None, "en"), (301, "x", None), (302, "", "en"), (303, "rare words", "zz")]
     learned = R.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
     assert learned.labels == ["de", "en", "nl"]
-    assert learned.of(R.prose_words("We sort the values before each unit stores its own results."), {}) == "en"
-    assert learned.of(R.prose_words("Wir speichern die Werte, bevor jede Einheit sie sortiert."), {}) == "de"
-    assert learned.of(R.prose_words("Wij controleren de waarden voordat het systeem ze sorteert."), {}) == "nl"
-    assert learned.of([], {}) is None
+    assert learned.of(R.prose_words("We sort the values before each unit stores its own results.")) == "en"
+    assert learned.of(R.prose_words("Wir speichern die Werte, bevor jede Einheit sie sortiert.")) == "de"
+    assert learned.of(R.prose_words("Wij controleren de waarden voordat het systeem ze sorteert.")) == "nl"
+    assert learned.of([]) is None
     model = R.LevelModel.fit([EASY * 6, HARD * 6] * 5, [1, 5] * 5)
     docs = spark.createDataFrame([(1, EASY * 8), (2, OTHER["nl"] * 8), (3, OTHER["de"] * 8)], "doc_id long, text string")
     assert [r["doc_id"] for r in R.reading_levels(docs, "doc_id", "text", model, languages=learned).collect()] == [1]

@@ -129,6 +129,8 @@ class Languages:
 
     def __init__(self, labels: list[str], grams: dict[str, int], logs: np.ndarray):
         self.labels, self.grams, self.logs = labels, grams, logs
+        self.known: dict[str, int] = {}
+        self.matrix = np.empty((1024, len(labels)), np.float32)
 
     @staticmethod
     def fit(texts: list[list[str]], labels: list[str], rounds: int = 3, smoothing: float = 0.5) -> "Languages":
@@ -158,21 +160,27 @@ class Languages:
             at = new
         return model
 
-    def word(self, word: str) -> np.ndarray:
-        """Log-likelihood of a word by label."""
+    def _row(self, word: str) -> int:
+        """Place of a word's log-likelihoods by label in the matrix of words met so far."""
+        at = len(self.known)
+        if at == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
         get, other = self.grams.get, len(self.grams)
-        return self.logs[[get(g, other) for g in word_grams(word)]].sum(0)
-
-    def of(self, words: list[str], known: dict[str, np.ndarray]) -> str | None:
-        """Label of a text by its lower-cased words, `known` remembering words; None without words."""
-        total = np.zeros(len(self.labels))
-        for w, n in Counter(words).items():
-            if w not in known:
-                if len(known) > 500_000:
-                    known.clear()
-                known[w] = self.word(w)
-            total += n * known[w]
-        return self.labels[int(total.argmax())] if words else None
+        self.matrix[at] = self.logs[[get(g, other) for g in word_grams(word)]].sum(0)
+        self.known[word] = at
+        return at
+
+    def of(self, words: list[str]) -> str | None:
+        """Label of a text by its lower-cased words, None without words."""
+        if not words:
+            return None
+        if len(self.known) > 500_000:
+            self.known.clear()
+        counts, get = Counter(words), self.known.get
+        rows = [get(w) for w in counts]
+        if None in rows:
+            rows = [self._row(w) if r is None else r for w, r in zip(counts, rows)]
+        return self.labels[int((np.fromiter(counts.values(), np.float32, len(rows)) @ self.matrix[rows]).argmax())]
 
 
 def word_grams(word: str) -> list[str]:
@@ -346,13 +354,12 @@ def reading_levels(texts: DataFrame, key: str, text: str, model: LevelModel, *,
     schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("grade", T.IntegerType()), T.StructField("level", T.DoubleType()), T.StructField("prose_words", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
         for batch in batches:
             rows = []
             for k, t in zip(batch["key"], batch["text"]):
                 blocks = running_prose(t)
                 words = _WORD.findall("\n".join(blocks).lower())
-                if len(words) < least_words or not (languages.of(words, known) == english if languages else is_english(words)):
+                if len(words) < least_words or not (languages.of(words) == english if languages else is_english(words)):
                     continue
                 level = model.level(blocks)
                 rows.append((k, int(min(max(np.floor(level + 0.5), lowest), highest)), level, len(words)))
