@@ -22,6 +22,8 @@ _DROPPED_RE = re.compile("[­​-‍⁠﻿]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Copies of the test side where it is too large to broadcast; a passage that a third of the corpus holds then meets so many tasks.
 SALTS = 32
+#: Characters of test items that every task may hold.
+BROADCAST_CHARS = 32_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -71,23 +73,13 @@ def fingerprints(texts: DataFrame, key: str, text: str, *, shared: int = 12, k:
         raise ValueError("k must be from 1 to shared")
     source = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null"), "key")
     schema = T.StructType([T.StructField("key", texts.schema[key].dataType), T.StructField("fp", T.LongType())])
-    window = shared - k + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for batch in batches:
             keys, fps = [], []
             for key_, t in zip(batch["key"], batch["text"]):
-                words = words_of(t)
-                if len(words) < shared:
-                    continue
-                if len(known) > 500_000:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = xxhash.xxh3_64_intdigest(w)
-                grams = gram_hashes(np.fromiter((known[w] for w in words), np.uint64, len(words)), k)
-                found = np.unique(grams[winnow(grams, window)].view(np.int64))
+                found = fingerprints_of(words_of(t), shared, k, known)
                 keys.append(np.full(len(found), key_))
                 fps.append(found)
             yield pd.DataFrame({"key": np.concatenate(keys) if keys else [], "fp": np.concatenate(fps) if fps else np.empty(0, np.int64)})
@@ -95,6 +87,19 @@ def fingerprints(texts: DataFrame, key: str, text: str, *, shared: int = 12, k:
     return source.mapInPandas(run, schema)
 
 
+def fingerprints_of(words: list[str], shared: int, k: int, known: dict[str, int]) -> np.ndarray:
+    """Distinct winnowed fingerprints of a text's words, none under `shared` words; `known` remembers words' hashes."""
+    if len(words) < shared:
+        return np.empty(0, np.int64)
+    if len(known) > 500_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    grams = gram_hashes(np.fromiter((known[w] for w in words), np.uint64, len(words)), k)
+    return np.unique(grams[winnow(grams, shared - k + 1)].view(np.int64))
+
+
 def longest_shared_run(a: list[str], b: list[str], shared: int) -> int:
     """Words of the longest run that `a` and `b` have in common, 0 if under `shared`: seeds of `shared` words in both, extended to the right."""
     seeds: dict[tuple, list[int]] = {}
@@ -115,11 +120,14 @@ def longest_shared_run(a: list[str], b: list[str], shared: int) -> int:
 def leaks(corpus: DataFrame, tests: DataFrame, *, doc_key: str, doc_text: str, item_key: str, item_text: str, shared: int = 12, k: int = 8, broadcast_rows: int = 200_000) -> DataFrame:
     """Documents that share at least `shared` consecutive words with a test item: (doc_key, item_key, run_words).
 
-    Winnowed fingerprints of both sides are joined on their hash; the test side
-    is broadcast only if counted to have at most `broadcast_rows` rows, else it
-    is repeated over salts so that a passage in a third of the corpus is spread.
-    Each pair that meets is settled by extending shared words over both whole
-    texts, so hash clashes drop out.  `run_words` is the longest common run.
+    Winnowed fingerprints of both sides are joined on their hash.  If the test
+    side is counted to have at most `broadcast_rows` fingerprints and 32 million
+    characters, every task holds it sorted and settles a corpus text as it reads
+    it, so the corpus is tokenized once and never shuffled.  Beyond that both
+    sides are shuffled by fingerprint, the test side repeated over salts so that
+    a passage in a third of the corpus is spread.  Each pair that meets is
+    settled by extending shared words over both whole texts, so hash clashes
+    drop out.  `run_words` is the longest common run.
 
     Null, empty and short texts (under `shared` words) match nothing.  Repeated
     corpus rows and items that overlap each give their own pair.  Columns other
@@ -127,25 +135,20 @@ def leaks(corpus: DataFrame, tests: DataFrame, *, doc_key: str, doc_text: str, i
     """
     items = tests.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).filter("item_text is not null")
     test_fp = materialize(fingerprints(items, "item", "item_text", shared=shared, k=k).select(F.col("key").alias("item"), "fp"), "test-fingerprints")
+    schema = T.StructType([T.StructField(doc_key, corpus.schema[doc_key].dataType), T.StructField(item_key, tests.schema[item_key].dataType), T.StructField("run_words", T.IntegerType())])
+
+    n_fps, (n_items, chars) = test_fp.count(), items.agg(F.count("*"), F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()
+    if max(n_fps, n_items) <= broadcast_rows and chars <= BROADCAST_CHARS:
+        return _leaks_in_one_pass(corpus, doc_key, doc_text, items.toPandas(), test_fp.toPandas(), shared, k, schema)
     train_fp = fingerprints(corpus, doc_key, doc_text, shared=shared, k=k).select(F.col("key").alias("doc"), "fp")
-    test_side, small = bounded_broadcast(test_fp, broadcast_rows)
-    if small:
-        met = train_fp.join(test_side, "fp")
-    else:
-        met = train_fp.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(
-            test_side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "salt"]
-        )
+    met = train_fp.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(
+        test_fp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["fp", "salt"]
+    )
     pairs = materialize(met.select("doc", "item").distinct(), "leak-candidates")
-    docs = corpus.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("doc_text")).join(pairs.select("doc").distinct(), "doc", "left_semi")
-    item_side, small = bounded_broadcast(items, broadcast_rows, "item_text")
-    both = pairs.join(docs, "doc")
-    if small:
-        both = both.join(item_side, "item")
-    else:
-        both = both.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(
-            item_side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["item", "salt"]
-        )
-    schema = T.StructType([T.StructField(doc_key, corpus.schema[doc_key].dataType), T.StructField(item_key, tests.schema[item_key].dataType), T.StructField("run_words", T.IntegerType())])
+    asked, _ = bounded_broadcast(pairs.select("doc").distinct())
+    docs = corpus.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("doc_text")).join(asked, "doc", "left_semi")
+    both = pairs.join(docs.hint("merge"), "doc").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    both = both.join(items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["item", "salt"])
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,6 +167,38 @@ def leaks(corpus: DataFrame, tests: DataFrame, *, doc_key: str, doc_text: str, i
     return both.mapInPandas(extend, schema)
 
 
+def _leaks_in_one_pass(corpus: DataFrame, doc_key: str, doc_text: str, items: pd.DataFrame, test_fp: pd.DataFrame, shared: int, k: int, schema: T.StructType) -> DataFrame:
+    """`leaks` against test items that every task can hold."""
+    items = items.drop_duplicates()
+    test_fp = test_fp.drop_duplicates().sort_values("fp", kind="stable")
+    by_item = items.groupby("item").indices
+    pairs = [(fp, row) for fp, item in zip(test_fp["fp"], test_fp["item"]) for row in by_item[item]]
+    sent = corpus.sparkSession.sparkContext.broadcast((np.array([fp for fp, _ in pairs], np.int64), np.array([row for _, row in pairs], np.int64), items["item"].tolist(), items["item_text"].tolist()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fps, owners, names, texts = sent.value
+        known: dict[str, int] = {}
+        item_words: dict[int, list[str]] = {}
+        for batch in batches:
+            rows = []
+            for d, t in zip(batch["key"], batch["text"]):
+                words = words_of(t)
+                found = fingerprints_of(words, shared, k, known)
+                start, end = np.searchsorted(fps, found), np.searchsorted(fps, found, "right")
+                best: dict = {}
+                for at in {int(owners[j]) for a, b in zip(start[start < end], end[start < end]) for j in range(a, b)}:
+                    if at not in item_words:
+                        item_words[at] = words_of(texts[at])
+                    n = longest_shared_run(words, item_words[at], shared)
+                    if n:
+                        best[names[at]] = max(n, best.get(names[at], 0))
+                rows += [(d, item, n) for item, n in best.items()]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    source = spread(corpus.select(F.col(doc_key).alias("key"), F.col(doc_text).alias("text")).filter("text is not null"), "key")
+    return source.mapInPandas(run, schema)
+
+
 def leaked_items(found: DataFrame, item_key: str) -> DataFrame:
     """Leaked test items: (item_key, n_docs, longest_run)."""
     return found.groupBy(item_key).agg(F.count("*").alias("n_docs"), F.max("run_words").alias("longest_run"))

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weaveline.scratch import materialize, spread, worker_cache
+from weaveline.scratch import bounded_broadcast, materialize, spread, worker_cache
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern of that vocabulary (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Rows of one length that a single task ranks.
 RANK_ROWS = 500_000
+#: Ranks of a length by which planned runs and pieces meet.
+SPAN_RANKS = 100_000
 
 
 def load_encoding(vocabulary: str = VOCABULARY):
@@ -133,9 +135,13 @@ def pack(texts: DataFrame, key: str, text: str, *, capacity: int = 2048, vocabul
     by = Window.partitionBy("length", "part").orderBy("key", "piece")
     ranked = placed.join(F.broadcast(first), ["length", "part"]).withColumn("rank", F.col("before") + F.row_number().over(by) - 1)
     out = ["key", "piece", "n_pieces", "token_start", "token_end"]
+    # runs by the spans of ranks they meet, so that a join beyond the broadcast bound has no hot length
+    spans = plan.withColumn("span", F.explode(F.sequence(F.floor(F.col("rank_from") / SPAN_RANKS), F.floor((F.col("rank_to") - 1) / SPAN_RANKS))))
+    runs, _ = bounded_broadcast(materialize(spans, "plan"))
     taken = (
-        ranked.alias("r")
-        .join(F.broadcast(plan).alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+        ranked.withColumn("span", F.floor(F.col("rank") / SPAN_RANKS))
+        .join(runs, ["length", "span"])
+        .filter((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
         .select(*out, (F.col("rank") + F.col("shift")).alias("container_id"), "container_offset")
     )
     empty = pieces.filter("length = 0").select(*out, F.lit(None).cast("long").alias("container_id"), F.lit(None).cast("long").alias("container_offset"))
