@@ -81,7 +81,7 @@ def _corpus(spark, path, documents, relationships, items):
 def test_recall_gate_asks_for_proposed_spans_without_explicit_links(spark, tmp_path):
     body = "The [[walk|random walk]] meets plain words, and a gradient follows.\n"
     span = lambda text: (body.index(text), body.index(text) + len(text))
-    documents = {"a": ("A note", body), "walk": ("Random walk", "Steps.\n"), "g": ("Gradient", "Slopes.\n")}
+    documents = {"a": ("A page", body), "walk": ("Random walk", "Steps.\n"), "g": ("Gradient", "Slopes.\n")}
     relationships = [(1, "a", "walk", "explicit-link", *span("[[walk|random walk]]"), "random walk"), (2, "a", "g", "citation", *span("gradient"), "gradient")]
     items = [("linked", "a", "random walk", *span("[[walk|random walk]]"), "prose"), ("unknown", "a", "plain words", *span("plain words"), "prose"), ("cited", "a", "gradient", *span("gradient"), "prose"), ("listed", "a", "random walk", *span("[[walk|random walk]]"), "list")]
     _corpus(spark, tmp_path, documents, relationships, items)
@@ -89,12 +89,12 @@ def test_recall_gate_asks_for_proposed_spans_without_explicit_links(spark, tmp_p
     assert (r["exact_recall"], r["overlap_recall"], r["n_items"]) == (pytest.approx(1 / 3), pytest.approx(1 / 3), 3)
 
 
-def test_links_under_related_headings_are_related_notes(spark, tmp_path):
-    body = "# Top\n\nSee [[x]] here.\n\n## Related notes:\n\n- [[y]] first\n\nAlso [[z]].\n\n##\n\nAfter [[w]].\n\n## RELATED\n\n- [[v]]\n"
+def test_links_under_related_headings_are_related(spark, tmp_path):
+    body = "# Top\n\nSee [[x]] here.\n\n## Related pages:\n\n- [[y]] first\n\nAlso [[z]].\n\n##\n\nAfter [[w]].\n\n## RELATED\n\n- [[v]]\n"
     span = lambda text: (body.index(text), body.index(text) + len(text))
     links = [(i, "a", t, "explicit-link", *span(f"[[{t}]]"), t) for i, t in enumerate("xyzwv")]
     _corpus(spark, tmp_path, {"a": ("A", body)}, links, [("i", "a", "x", 0, 1, "prose")])
-    assert {r["kind"]: r["n"] for r in LP.y7_link_regions(spark, str(tmp_path)).collect()} == {"prose": 2, "related_notes": 3}
+    assert {r["kind"]: r["n"] for r in LP.y7_link_regions(spark, str(tmp_path)).collect()} == {"prose": 2, "related": 3}
 
 
 def test_anchors_are_narrowed_to_what_is_shown(spark):

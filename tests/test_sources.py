@@ -20,8 +20,8 @@ CORPUS = {
     "drafts/wip.md": "---\ndraft: true\n---\nwip\n",
     "generated/auto.md": "<!-- Generated -->\nauto\n",
     "archive/old.md": "---\nstatus: archived\n---\nold\n",
-    "templates/note.md": "---\ntitle: T\n---\n",
-    "notes.txt": "not markdown",
+    "templates/page.md": "---\ntitle: T\n---\n",
+    "plain.txt": "not markdown",
 }
 
 
@@ -37,7 +37,7 @@ def tree(tmp_path_factory):
 
 def test_scan(spark, tree):
     rows = {r["id"]: r for r in scan.read_markdown(spark, tree, scan.MarkdownOptions.of(exclude=["templates/**"])).collect()}
-    assert set(rows) == {n[:-3] for n in CORPUS if n.endswith(".md")} - {"templates/note"}
+    assert set(rows) == {n[:-3] for n in CORPUS if n.endswith(".md")} - {"templates/page"}
     assert {k: rows[k]["title"] for k in ("index", "systems/dynamo", "plain")} == {"index": "Start", "systems/dynamo": "Dynamo", "plain": "plain"}
     assert (rows["index"]["tags"], rows["systems/consistency"]["tags"], rows["index"]["aliases"]) == (["a", "b"], ["single"], ["Home"])
     flags = {k: (r["is_excluded"], r["is_generated"], r["is_archived"]) for k, r in rows.items()}

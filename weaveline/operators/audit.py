@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Tiers from best to worst, region kinds that serve the graph only.
+# Tiers from best to worst, region kinds (up to a `_`) that serve the graph only.
 TIERS = ("a", "b", "c", "d")
-GRAPH_ONLY = ("related_notes", "heading", "table", "code")
+GRAPH_ONLY = ("related", "heading", "table", "code")
 
 
 def latest_sheets(labels: DataFrame, item: str, annotator: str, at: str, key: str, fields: list[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def agreement_report(votes: DataFrame) -> DataFrame:
 def derived_tier(target_correct: Column, anchor_natural: Column, placement_valid: Column, region: Column) -> Column:
     """d for a wrong target, c at best in regions that serve the graph only, a with a natural anchor validly placed, else b; null without a judged target."""
     good = F.coalesce(anchor_natural & placement_valid, F.lit(False))
-    return F.when(target_correct.isNull(), None).when(~target_correct, "d").when(region.isin(*GRAPH_ONLY), "c").when(good, "a").otherwise("b")
+    return F.when(target_correct.isNull(), None).when(~target_correct, "d").when(F.substring_index(region, "_", 1).isin(*GRAPH_ONLY), "c").when(good, "a").otherwise("b")
 
 
 def consensus_tier(votes: DataFrame) -> DataFrame:

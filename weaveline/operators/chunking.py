@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,68 +79,54 @@ def grouped(regions: list[dict], excluded: tuple[str, ...] = EXCLUDED) -> list[t
     return out
 
 
-def _fragments(text: str, room: int) -> list[str]:
-    """Pieces of at most `room` tokens: whole text, else paragraphs, else runs of words; a word is never split."""
-    if count_tokens(text) <= room:
-        return [text]
-    parts = [p for p in _PARAGRAPH.split(text) if p.strip()]
-    if len(parts) > 1:
-        return [f for p in parts for f in _fragments(p, room)]
-    out: list[list[str]] = [[]]
-    size = 0
-    for word in text.split():
-        n = count_tokens(word)
-        if out[-1] and size + n > room:
-            out.append([])
-            size = 0
-        out[-1].append(word)
-        size += n
-    return [" ".join(w) for w in out if w]
-
-
-def _tail(text: str, overlap: int) -> str:
-    """The longest run of last words with at most `overlap` tokens."""
-    kept: list[str] = []
-    size = 0
-    for word in reversed(text.split()):
-        n = count_tokens(word)
-        if size + n > overlap:
-            break
-        kept.append(word)
-        size += n
-    return " ".join(reversed(kept))
+def _windows(text: str, room: int, overlap: int) -> list[str]:
+    """Substrings of whole words with at most `room` tokens, each behind the last words, up to `overlap` tokens, of the one before it.
+
+    A word of more than `room` tokens is a window of its own.
+    """
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    upto = list(accumulate((count_tokens(text[a:b]) for a, b in words), initial=0))
+    cuts = [0]
+    while cuts[-1] < len(words):
+        cuts.append(max(bisect_right(upto, upto[cuts[-1]] + room) - 1, cuts[-1] + 1))
+    out = []
+    for before, i, j in zip([0, *cuts], cuts, cuts[1:]):
+        k = max(bisect_left(upto, upto[i] - overlap), before) if overlap else i
+        body = text[words[i][0] : words[j - 1][1]]
+        out.append(f"{text[words[k][0] : words[i - 1][1]]} {body}" if k < i else body)
+    return out
 
 
 def section_chunks(title: str, path: list[str], group: list[dict], target: int, most: int, overlap: int) -> list[tuple[str, list[dict]]]:
     """(text, regions) chunks of a group, each under its context of title and headings.
 
-    A group that fits `most` with its context stays whole.  Else fragments are
-    packed in order up to `target`; a new chunk after prose begins with the
-    overlap tail of the one before.
+    A group that fits `most` with its context stays whole.  Else a region that
+    doesn't fit gives its paragraphs, and a paragraph that doesn't fit gives
+    runs of words, which repeat the end of the run before in prose; then these
+    pieces are packed in order up to `target`.  Tokens add up over white space,
+    so sizes are sums.
     """
     context = " > ".join(x for x in [title.strip(), *path] if x)
-    whole = lambda body: f"{context}\n\n{body}" if context else body
-    body = "\n\n".join(r["text"].strip() for r in group)
-    if count_tokens(whole(body)) <= most:
-        return [(whole(body), group)]
-    room = max(target - count_tokens(context), 1)
-    pieces = [(f, r) for r in group for f in _fragments(r["text"].strip(), room)]
-    out: list[tuple[list[str], list[dict]]] = []
+    own = count_tokens(context)
+    fits = lambda text: own + count_tokens(text) <= most
+    under = lambda texts: "\n\n".join([context] * bool(context) + texts)
+    if own + sum(count_tokens(r["text"]) for r in group) <= most:
+        return [(under([r["text"] for r in group]), group)]
+    chunks: list[tuple[list[str], list[dict]]] = []
     size = 0
-    for text, region in pieces:
-        n = count_tokens(text)
-        if not out or size + n > room:
-            start: list[str] = []
-            if out and overlap and out[-1][1][-1]["kind"] == "prose" and region["kind"] == "prose":
-                tail = _tail(out[-1][0][-1], min(overlap, max(room - n, 0)))
-                start = [tail] if tail else []
-            out.append((start, []))
-            size = sum(count_tokens(t) for t in start)
-        out[-1][0].append(text)
-        if not out[-1][1] or out[-1][1][-1] is not region:
-            out[-1][1].append(region)
-        size += n
-    return [(whole("\n\n".join(texts)), used) for texts, used in out]
+    for r in group:
+        paragraphs = [r["text"]] if fits(r["text"]) else [p.strip() for p in _PARAGRAPH.split(r["text"]) if p.strip()]
+        repeat = overlap if r["kind"] == "prose" else 0
+        for piece in chain.from_iterable([p] if fits(p) else _windows(p, max(1, min(target, most - repeat) - own), repeat) for p in paragraphs):
+            n = count_tokens(piece)
+            if not chunks or size + n > target:
+                chunks.append(([], []))
+                size = own
+            chunks[-1][0].append(piece)
+            if not chunks[-1][1] or chunks[-1][1][-1] is not r:
+                chunks[-1][1].append(r)
+            size += n
+    return [(under(texts), used) for texts, used in chunks]
 
 
 def section_units(regions: DataFrame, titles: DataFrame, *, target: int = 200, most: int = 250, overlap: int = 30, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:

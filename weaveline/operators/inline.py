@@ -81,15 +81,15 @@ def partitioned(found: DataFrame, abstained: Column | None = None) -> DataFrame:
 
 
 def budget(words: Column, per_link: int = WORDS_PER_LINK, most: int = MOST_LINKS) -> Column:
-    """Links a note may get: one per `per_link` words, at least one, at most `most`."""
+    """Links a document may get: one per `per_link` words, at least one, at most `most`."""
     return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(words / per_link))).cast("int")
 
 
 def selected(found: DataFrame, budgets: DataFrame) -> DataFrame:
     """Eligible drafts (source, start, end, target, score) with `adjusted` and `reason`: null if chosen, else overlaps_selected_span or over_budget.
 
-    Greedy a note: relevance against the targets chosen so far; each choice
-    drops the spans it overlaps.  `budgets` is (source, budget).  A note's
+    Greedy a document: relevance against the targets chosen so far; each choice
+    drops the spans it overlaps.  `budgets` is (source, budget).  A document's
     drafts are bounded by its text.
     """
     joined = found.select("source", "start", "end", "target", "score").join(budgets.select("source", "budget"), "source", "left")
@@ -128,7 +128,7 @@ def selected(found: DataFrame, budgets: DataFrame) -> DataFrame:
 def presented(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """All drafts: accepted ones ranked by score, then the rejected, which stay with their reason and no rank."""
     ok = chosen.filter("reason is null")
-    by = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "source", "start", "end")  # accepted ones: at most ten a note
+    by = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "source", "start", "end")  # accepted ones: at most ten a document
     ranked = ok.withColumn("rank", F.row_number().over(by))
     out = chosen.filter("reason is not null").unionByName(rejected.select(*[c for c in chosen.columns if c != "adjusted"], F.lit(None).cast("double").alias("adjusted")))
     return ranked.unionByName(out.withColumn("rank", F.lit(None).cast("int")))

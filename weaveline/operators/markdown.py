@@ -5,23 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-_FRONT = re.compile(r"\A---[ \t]*\r?\n(.*?)^(?:---|\.\.\.)[ \t]*(?:\r?\n|\Z)", re.S | re.M)
-_OPEN = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*(.*)")
 _LINK = re.compile(r"(?P<image>!?)(?:\[\[(?P<wiki>[^\[\]\n]+)\]\]|\[(?P<label>[^\[\]\n]*)\]\(\s*<?(?P<href>[^()\s<>]+)>?(?:\s+[\"'][^)\n]*[\"'])?\s*\))")
 _CODE_SPAN = re.compile(r"`+[^`\n]+`+")
 _MATH_SPAN = re.compile(r"\$[^$\n]+\$")
-
-#: Patterns of a line's kind, tried in this order; the blank and the rule only end what is open.
-_LINE_KINDS = (
-    ("gap", re.compile(r"\s*$|\s{0,3}(?:(?:\*\s*){3,}|(?:-\s*){3,}|(?:_\s*){3,})$")),
-    ("code", re.compile(r" {0,3}(?:`{3,}|~{3,})")),
-    ("equation", re.compile(r"\s*\$\$")),
-    ("heading", re.compile(r" {0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$")),
-    ("quote", re.compile(r" {0,3}>")),
-    ("list", re.compile(r"\s*(?:[-*+]|\d+[.)])\s+")),
-)
-_MARKERS = {"quote": re.compile(r"^ {0,3}>\s?"), "list": re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+(?:\[[ xX]\]\s+)?")}
-_SEPARATOR = re.compile(r"\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
+_UNDERSCORED = re.compile(r"_[^_\n]+_")
+_MARKER = re.compile(r"([-*+]|\d{1,9}[.)])\s+")
 
 
 @dataclass
@@ -36,22 +24,24 @@ class Region:
 
 def front_matter(text: str) -> tuple[dict, str, int]:
     """(mapping, body, end offset) of leading YAML; ({}, "", 0) without; a malformed body keeps its span with an empty mapping."""
-    m = _FRONT.match(text)
-    if not m:
+    head, *rest = text.splitlines(keepends=True) or [""]
+    closing = next((i for i, line in enumerate(rest) if line.rstrip() in ("---", "...") and line[:1] in "-."), None)
+    if closing is None or head.rstrip() != "---" or not head.startswith("---"):
         return {}, "", 0
+    body, end = "".join(rest[:closing]), len(head) + sum(map(len, rest[: closing + 1]))
     try:
         import yaml
 
-        mapping = yaml.safe_load(m.group(1))
+        mapping = yaml.safe_load(body)
     except ImportError:
-        mapping = simple_mapping(m.group(1))
+        mapping = simple_mapping(body)
     except Exception:
         mapping = {}
-    return mapping if isinstance(mapping, dict) else {}, m.group(1).strip(), m.end()
+    return mapping if isinstance(mapping, dict) else {}, body.strip(), end
 
 
 def simple_mapping(body: str) -> dict:
-    """The subset of YAML that notes use: `key: scalar`, `key: [a, b]` and indented `- item` lists."""
+    """The subset of YAML that front matter uses: `key: scalar`, `key: [a, b]` and indented `- item` lists."""
     out: dict = {}
     key = None
     for line in body.splitlines():
@@ -70,16 +60,34 @@ def simple_mapping(body: str) -> dict:
     return out
 
 
+def _indented(line: str) -> tuple[int, str]:
+    """(blanks before, the rest) of a line; block marks stand after at most three."""
+    bare = line.lstrip(" ")
+    return len(line) - len(bare), bare
+
+
+def _fence(line: str) -> tuple[str, str] | None:
+    """(run of fence characters, what follows) of a line that opens or closes fenced code."""
+    blanks, bare = _indented(line)
+    mark = bare[: len(bare) - len(bare.lstrip(bare[:1]))] if bare[:1] in ("`", "~") else ""
+    info = bare[len(mark) :].strip()
+    return (mark, info) if blanks < 4 and len(mark) >= 3 and "`" not in info else None
+
+
+def _closes(line: str, mark: str) -> bool:
+    found = _fence(line)
+    return bool(found) and found[0].startswith(mark) and not found[1]
+
+
 def fences(text: str) -> list[tuple[int, int]]:
     """Spans of fenced code, fences included; one left open runs to the end."""
     out, at, begun, mark = [], 0, None, ""
     for line in text.splitlines(keepends=True):
         bare = line.rstrip("\r\n")
-        m = _OPEN.match(bare)
         if begun is None:
-            if m:
-                begun, mark = at, m.group(1)
-        elif m and m.group(1)[0] == mark[0] and len(m.group(1)) >= len(mark) and not m.group(2).strip():
+            if found := _fence(bare):
+                begun, mark = at, found[0]
+        elif _closes(bare, mark):
             out.append((begun, at + len(bare)))
             begun = None
         at += len(line)
@@ -135,83 +143,133 @@ def clean_inline(text: str) -> str:
 
     text = _MATH_SPAN.sub(put_by, _CODE_SPAN.sub(put_by, text))
     text = _LINK.sub(shown, text)
-    text = re.sub(r"\*\*|__", "", text)
-    text = re.sub(r"(?<!\w)_([^_\n]+)_(?!\w)", r"\1", text).replace("*", "")
+    text = _without_underscores(text.replace("**", "").replace("__", "")).replace("*", "")
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], text)
 
 
-def _kind(lines: list[tuple[int, str]], i: int) -> str:
-    text = lines[i][1]
-    for kind, pattern in _LINE_KINDS:
-        if kind == "list" and "|" in text and i + 1 < len(lines) and "|" in lines[i + 1][1] and _SEPARATOR.match(lines[i + 1][1]):
-            return "table"
-        if pattern.match(text):
-            return kind
-    return "prose"
-
-
-def _block_end(lines: list[tuple[int, str]], i: int, kind: str) -> int:
-    """Index after the last line of the block that begins at line i."""
-    n, j = len(lines), i + 1
-    if kind == "heading":
-        return j
-    if kind == "code":
-        mark = _OPEN.match(lines[i][1]).group(1)
-        while j < n:
-            m = _OPEN.match(lines[j][1])
-            j += 1
-            if m and m.group(1)[0] == mark[0] and len(m.group(1)) >= len(mark) and not m.group(2).strip():
-                break
-        return j
-    if kind == "equation":
-        first = lines[i][1].strip()
-        if len(first) >= 4 and first.endswith("$$"):
-            return j
-        while j < n and not lines[j][1].rstrip().endswith("$$"):
-            j += 1
-        return min(j + 1, n)
-    if kind == "quote":
-        while j < n and _MARKERS["quote"].match(lines[j][1]):
-            j += 1
-        return j
-    if kind == "table":
-        while j < n and lines[j][1].strip() and "|" in lines[j][1]:
-            j += 1
-        return j
-    if kind == "list":
-        last = i
-        while j < n:
-            text = lines[j][1]
-            if not text.strip():
-                k = j
-                while k < n and not lines[k][1].strip():
-                    k += 1
-                if k == n or not _MARKERS["list"].match(lines[k][1]):
-                    break
-                j = k
-            elif not (_MARKERS["list"].match(text) or text[0] in " \t"):
-                break
-            last, j = j, j + 1
-        return last + 1
-    while j < n and _kind(lines, j) == "prose":
-        j += 1
-    return j
-
-
-def _block_text(kind: str, lines: list[str]) -> str:
-    if kind == "code":
-        closed = len(lines) > 1 and _OPEN.match(lines[-1]) is not None and not _OPEN.match(lines[-1]).group(2).strip()
-        return "\n".join(lines[1 : len(lines) - closed])
-    if kind == "equation":
-        return "\n".join(x for x in "\n".join(lines).strip().removeprefix("$$").removesuffix("$$").split("\n") if x.strip()).strip()
-    if kind == "table":
-        rows = [[c.strip() for c in x.strip().strip("|").split("|")] for x in lines if not _SEPARATOR.match(x)]
-        return "\n".join(clean_inline(" | ".join(c for c in r if c)) for r in rows)
-    if kind == "list":
-        return "\n".join(y for y in (clean_inline(_MARKERS["list"].sub("", x) or x).strip() for x in lines if x.strip()) if y)
-    if kind == "quote":
-        return clean_inline("\n".join(_MARKERS["quote"].sub("", x) for x in lines))
-    return clean_inline("\n".join(lines))
+def _without_underscores(text: str) -> str:
+    """Text without pairs of underscores around a phrase that no letter, digit or underscore adjoins."""
+    at, edge = 0, lambda c: not (c.isalnum() or c == "_")
+    while m := _UNDERSCORED.search(text, at):
+        if (m.start() == 0 or edge(text[m.start() - 1])) and (m.end() == len(text) or edge(text[m.end()])):
+            text, at = text[: m.start()] + m.group()[1:-1] + text[m.end() :], m.end() - 2
+        else:
+            at = m.start() + 1
+    return text
+
+
+def _heading(line: str) -> tuple[int, str] | None:
+    blanks, bare = _indented(line)
+    level = len(bare) - len(bare.lstrip("#"))
+    if blanks > 3 or not 1 <= level <= 6 or bare[level : level + 1].strip():
+        return None
+    words = bare[level:].split()
+    if words and set(words[-1]) == {"#"}:
+        words = bare[level:].rstrip().rstrip("#").split()
+        return level, bare[level:].rstrip().rstrip("#").strip() if words else ""
+    return level, bare[level:].strip()
+
+
+def _item(line: str) -> str | None:
+    """What follows the marker of a list item."""
+    blanks, bare = _indented(line)
+    m = _MARKER.match(bare) if blanks < 4 else None
+    return bare[m.end() :] if m else None
+
+
+def _quoted(line: str) -> str | None:
+    blanks, bare = _indented(line)
+    return bare[1:].removeprefix(" ") if blanks < 4 and bare.startswith(">") else None
+
+
+def _rule(line: str) -> bool:
+    blanks, bare = _indented(line)
+    marks = "".join(bare.split())
+    return blanks < 4 and len(marks) >= 3 and marks[0] in "-*_" and len(set(marks)) == 1
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip() for c in line.strip().strip("|").split("|")]
+
+
+def _separates(line: str) -> bool:
+    """Whether the line parts a table's head from its body: two or more dashes a cell, with colons at their ends."""
+    dashes = [c.removeprefix(":").removesuffix(":") for c in _cells(line)]
+    return _indented(line)[0] < 4 and all(len(d) >= 2 and set(d) == {"-"} for d in dashes)
+
+
+def _begins(line: str, after: str | None) -> str:
+    """Kind of the block that a line begins where none is open; `after` is the next line."""
+    if not line.strip() or _rule(line):
+        return "gap"
+    if _fence(line):
+        return "code"
+    if line.strip().startswith("$$"):
+        return "equation"
+    if _heading(line):
+        return "heading"
+    if _quoted(line) is not None:
+        return "quote"
+    if "|" in line and after is not None and "|" in after and _separates(after):
+        return "table"
+    return "list" if _item(line) is not None else "prose"
+
+
+class _Block:
+    """Lines of one block while it is open, first line first."""
+
+    def __init__(self, kind: str, at: int, line: str):
+        self.kind, self.start, self.lines, self.breaks, self.blank = kind, at, [line], [], 0
+        self.mark = _fence(line)[0] if kind == "code" else ""
+        alone = line.strip()
+        self.done = kind == "heading" or (kind == "equation" and len(alone) >= 5 and alone.endswith("$$"))
+
+    def takes(self, line: str, after: str | None) -> bool:
+        """Whether the next line belongs to the block; blank lines in a list wait for the line behind them."""
+        if self.done:
+            return False
+        match self.kind:
+            case "code":
+                self.done = _closes(line, self.mark)
+                return True
+            case "equation":
+                self.done = line.rstrip().endswith("$$")
+                return True
+            case "quote":
+                return _quoted(line) is not None
+            case "table":
+                return "|" in line
+            case "list" if not line.strip():
+                self.blank += 1
+                return True
+            case "list":
+                more = _item(line) is not None or (not self.blank and line[0] in " \t")
+                self.blank = 0 if more else self.blank
+                return more
+        return _begins(line, after) == "prose"
+
+    def region(self) -> Region:
+        lines = self.lines[: len(self.lines) - self.blank]
+        if self.kind == "code":
+            closed = len(lines) > 1 and self.done
+            text = "\n".join(lines[1 : len(lines) - closed])
+        elif self.kind == "equation":
+            inner = "\n".join(lines).strip().removeprefix("$$").removesuffix("$$")
+            text = "\n".join(x for x in inner.split("\n") if x.strip()).strip()
+        elif self.kind == "table":
+            text = "\n".join(clean_inline(" | ".join(filter(None, _cells(x)))) for x in lines if not _separates(x))
+        elif self.kind == "list":
+            items = ((x if _item(x) is None else _item(x)) or x.strip() for x in lines if x.strip())
+            text = "\n".join(filter(None, map(clean_inline, items)))
+        elif self.kind == "quote":
+            text = clean_inline("\n".join(_quoted(x) for x in lines))
+        elif self.kind == "heading":
+            text = clean_inline(_heading(lines[0])[1]).strip()
+        else:
+            text = clean_inline("\n".join(lines))
+        end = self.start + sum(map(len, lines)) + sum(self.breaks[: len(lines) - 1])
+        level = _heading(lines[0])[0] if self.kind == "heading" else None
+        return Region(self.kind, self.start, end, text, level, (_fence(lines[0])[1] or None) if self.kind == "code" else None)
 
 
 def regions(text: str) -> list[Region]:
@@ -219,31 +277,27 @@ def regions(text: str) -> list[Region]:
     mapping, body, at = front_matter(text)
     out = [Region("metadata", 0, at, body)] if at else []
     title = str(mapping.get("title") or "").strip()
-    lines: list[tuple[int, str]] = []
-    for raw in text[at:].splitlines(keepends=True):
-        lines.append((at, raw.rstrip("\r\n")))
-        at += len(raw)
-    i, met = 0, False
-    while i < len(lines):
-        kind = _kind(lines, i)
-        if kind == "gap":
-            i += 1
-            continue
-        j = _block_end(lines, i, kind)
-        block = [x for _, x in lines[i:j]]
-        region = Region(kind, lines[i][0], lines[j - 1][0] + len(lines[j - 1][1]), "")
-        if kind == "heading":
-            m = _LINE_KINDS[3][1].match(block[0])
-            region.level, region.text = len(m.group(1)), clean_inline(m.group(2) or "").strip()
-            if region.level == 1 and not met and title and " ".join(region.text.split()).casefold() == " ".join(title.split()).casefold():
-                region.kind = "boilerplate"
+    raw = text[at:].splitlines(keepends=True)
+    lines = [x.rstrip("\r\n") for x in raw]
+    blocks: list[_Block] = []
+    block = None
+    for i, line in enumerate(lines):
+        after = lines[i + 1] if i + 1 < len(lines) else None
+        if block is not None and block.takes(line, after):
+            block.lines.append(line)
         else:
-            region.text = _block_text(kind, block)
-            if kind == "code":
-                region.language = _OPEN.match(block[0]).group(2).strip() or None
-        out.append(region)
-        met, i = True, j
-    return out
+            kind = _begins(line, after)
+            block = None if kind == "gap" else _Block(kind, at, line)
+            if block is not None:
+                blocks.append(block)
+        if block is not None:
+            block.breaks.append(len(raw[i]) - len(line))
+        at += len(raw[i])
+    found = [b.region() for b in blocks]
+    same = lambda x: " ".join(x.split()).casefold()
+    if found and found[0].kind == "heading" and found[0].level == 1 and title and same(found[0].text) == same(title):
+        found[0].kind = "boilerplate"
+    return out + found
 
 
 def plain_regions(text: str, title: str | None) -> list[Region]:

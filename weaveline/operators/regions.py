@@ -20,6 +20,10 @@ _REGION = [
 ]
 
 
+#: Headings, in small letters, over lists of links that serve the graph; a corpus passes its own.
+RELATED_HEADINGS = ("related", "related pages")
+
+
 def region_table(docs: DataFrame, key: str, text: str, title: str | None = None, media_type: str | None = None) -> DataFrame:
     """(doc, ordinal, kind, start, end, text, level, language) of every document with text.
 
@@ -42,8 +46,8 @@ def region_table(docs: DataFrame, key: str, text: str, title: str | None = None,
     return source.mapInPandas(parse, schema)
 
 
-def related_regions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, start, end) of the regions whose last heading is `Related` or `Related notes`, whatever its letter case and punctuation.
+def related_regions(docs: DataFrame, key: str, text: str, related: tuple[str, ...] = RELATED_HEADINGS) -> DataFrame:
+    """(doc, start, end) of the regions whose last heading is among `related`, whatever its letter case and punctuation.
 
     Headings and regions that sections leave out (code, metadata) are none of them.
     """
@@ -55,7 +59,7 @@ def related_regions(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for doc, body in b.itertuples(index=False):
                 for path, group in grouped([vars(r) for r in M.regions(body)]):
-                    if path and re.sub(r"[^a-z0-9]+", " ", path[-1].lower()).strip() in ("related", "related notes"):
+                    if path and re.sub(r"[^a-z0-9]+", " ", path[-1].lower()).strip() in related:
                         rows += [(doc, r["start"], r["end"]) for r in group]
             yield pd.DataFrame(rows, columns=schema.names)
 

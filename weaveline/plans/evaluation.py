@@ -120,9 +120,9 @@ def v10_bpref(spark, sf):
 
 
 def v11_slices(spark, sf):
-    items = table(spark, sf, "audit_items").select(F.col("id").alias("item_id"), F.col("region_kind").alias("kind"), (F.col("anchor_word_count") >= 4).alias("hard"))
+    items = table(spark, sf, "audit_items").select(F.col("id").alias("item_id"), F.substring_index("region_kind", "_", 1).alias("kind"), (F.col("anchor_word_count") >= 4).alias("hard"))
     cases = _scored(spark, sf).join(items, "item_id").select("kind", "hard", F.col("label").alias("correct"))
-    return E.slices(cases, ["prose", "list", "other", "table", "code", "related_notes", "citation", "heading"]).select("slice", "n", "correct", F.round("accuracy", 9).alias("accuracy"))
+    return E.slices(cases, ["prose", "list", "other", "table", "code", "related", "citation", "heading"]).select("slice", "n", "correct", F.round("accuracy", 9).alias("accuracy"))
 
 
 SWEEP = [i / 20 for i in range(21)]
@@ -201,7 +201,7 @@ def v24_stratified_sample(spark, sf):
 
 def v24_strata(spark, sf):
     i = table(spark, sf, "audit_items")
-    kind = F.when(F.col("source_document_id").endswith("index"), "index").otherwise("note")
+    kind = F.when(F.col("source_document_id").endswith("index"), "index").otherwise("page")
     return i.select("id", A.strata_key(F.col("region_kind"), F.col("anchor_word_count"), F.col("topic_family"), kind).alias("key"))
 
 
@@ -330,9 +330,9 @@ SELECT (SELECT round(coalesce(avg(ok) FILTER (p <= 5), 0), 9) FROM j) AS precisi
     "v10_bpref": _S + """, o AS (SELECT item_id, label, count(*) FILTER (label) OVER (PARTITION BY item_id) AS r, count(*) FILTER (NOT label) OVER (PARTITION BY item_id) AS n,
   coalesce(sum((NOT label)::INT) OVER (PARTITION BY item_id ORDER BY label_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM scored)
 SELECT item_id AS query, round(coalesce(sum(CASE WHEN label THEN CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 1 - least(above, r) / least(r, n) END END) / nullif(max(r), 0), 0), 9) AS bpref FROM o GROUP BY item_id""",
-    "v11_slices": _S + """, c AS (SELECT region_kind AS kind, anchor_word_count >= 4 AS hard, label FROM scored JOIN audit_items i ON i.id = item_id), t AS (SELECT kind AS slice, label FROM c UNION ALL SELECT 'hard_case', label FROM c WHERE hard UNION ALL SELECT 'overall', label FROM c)
+    "v11_slices": _S + """, c AS (SELECT split_part(region_kind, '_', 1) AS kind, anchor_word_count >= 4 AS hard, label FROM scored JOIN audit_items i ON i.id = item_id), t AS (SELECT kind AS slice, label FROM c UNION ALL SELECT 'hard_case', label FROM c WHERE hard UNION ALL SELECT 'overall', label FROM c)
 SELECT slice, count(label) AS n, count(*) FILTER (label) AS correct, round(coalesce(count(*) FILTER (label) / nullif(count(label), 0), 0), 9) AS accuracy
-FROM (SELECT unnest(['prose', 'list', 'other', 'table', 'code', 'related_notes', 'citation', 'heading', 'hard_case', 'overall']) AS slice) LEFT JOIN t USING (slice) GROUP BY slice""",
+FROM (SELECT unnest(['prose', 'list', 'other', 'table', 'code', 'related', 'citation', 'heading', 'hard_case', 'overall']) AS slice) LEFT JOIN t USING (slice) GROUP BY slice""",
     "v14_pr_sweep": _S + ", " + _SWEEP + " SELECT * FROM sweep",
     "v12_operating_point": _S + ", " + _SWEEP + " SELECT * FROM sweep WHERE precision >= 0.7 ORDER BY recall DESC, precision DESC, threshold LIMIT 1",
     "v13_kill_criterion": _S + ", " + _SWEEP + " SELECT threshold, recall < 0.2 OR precision < 0.7 AS killed FROM sweep WHERE precision >= 0.7 ORDER BY recall DESC, precision DESC, threshold LIMIT 1",
@@ -343,16 +343,16 @@ FROM (SELECT unnest(['prose', 'list', 'other', 'table', 'code', 'related_notes',
     "v19_kappa": f"WITH {VOTES}, {KAPPA} SELECT field, rater_a, rater_b, n, round(kappa, 9) AS kappa FROM kappa",
     "v20_alpha": f"WITH {VOTES}, {ALPHA} SELECT field, n_units, n_ratings, round(alpha, 9) AS alpha FROM alpha",
     "v21_agreement_report": f"WITH {VOTES}, {KAPPA}, {ALPHA} SELECT field, round(avg(kappa), 9) AS kappa, round(any_value(alpha), 9) AS alpha FROM kappa JOIN alpha USING (field) GROUP BY field",
-    "v22_derived_tiers": """SELECT label_id, CASE WHEN target_correct IS NULL THEN NULL WHEN NOT target_correct THEN 'd' WHEN region_kind IN ('related_notes', 'heading', 'table', 'code') THEN 'c'
+    "v22_derived_tiers": """SELECT label_id, CASE WHEN target_correct IS NULL THEN NULL WHEN NOT target_correct THEN 'd' WHEN split_part(region_kind, '_', 1) IN ('related', 'heading', 'table', 'code') THEN 'c'
   WHEN coalesce(anchor_natural AND placement_valid, false) THEN 'a' ELSE 'b' END AS tier FROM audit_labels JOIN audit_items i ON i.id = item_id""",
     "v22_consensus_tier": f"WITH {VOTES}, {TIER} SELECT item, tier FROM tiers",
     "v23_audit_report": f"""WITH {VOTES}, {KAPPA}, {TIER}, mk AS (SELECT round(min(k), 9) AS k FROM (SELECT avg(kappa) AS k FROM kappa GROUP BY field)),
 c AS (SELECT count(*) AS n_labeled, count(*) FILTER (tier = 'a') AS tier_a, count(*) FILTER (tier = 'b') AS tier_b, count(*) FILTER (tier = 'c') AS tier_c, count(*) FILTER (tier = 'd') AS tier_d FROM tiers)
 SELECT (SELECT count(*) FROM audit_items) AS n_items, c.*, k AS min_kappa, k >= 0.6 AND tier_a + tier_b >= 150 AS go FROM c, mk""",
-    "v24_strata": "SELECT id, concat_ws('|', region_kind, CASE WHEN anchor_word_count <= 1 THEN '1' WHEN anchor_word_count <= 3 THEN '2-3' ELSE '4+' END, topic_family, CASE WHEN ends_with(source_document_id, 'index') THEN 'index' ELSE 'note' END) AS key FROM audit_items",
+    "v24_strata": "SELECT id, concat_ws('|', region_kind, CASE WHEN anchor_word_count <= 1 THEN '1' WHEN anchor_word_count <= 3 THEN '2-3' ELSE '4+' END, topic_family, CASE WHEN ends_with(source_document_id, 'index') THEN 'index' ELSE 'page' END) AS key FROM audit_items",
     "x18_leave_last_out": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey",
     "x19_seen_masked_recall": """WITH line AS (SELECT o_custkey AS u, l_partkey AS item, (l_shipdate, l_orderkey, l_linenumber, l_partkey) AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey), last AS (SELECT u, arg_max(item, o) AS item FROM line GROUP BY u),
-pop AS (SELECT item, count(*) AS n FROM line GROUP BY item ORDER BY n DESC, item LIMIT 200), seen AS (SELECT DISTINCT u, item FROM line),
+pop AS (SELECT item, count(*) AS n FROM line GROUP BY item), seen AS (SELECT DISTINCT u, item FROM line),
 off AS (SELECT l.u, p.item, row_number() OVER (PARTITION BY l.u ORDER BY n DESC, p.item) AS rank FROM last l, pop p WHERE p.item = l.item OR NOT EXISTS (SELECT 1 FROM seen s WHERE s.u = l.u AND s.item = p.item)),
 r AS (SELECT l.u, min(rank) AS rank FROM last l LEFT JOIN off o ON o.u = l.u AND o.item = l.item AND rank <= 10 GROUP BY l.u)
 SELECT round(avg((rank IS NOT NULL)::INT), 9) AS recall_at_10, round(avg(coalesce(1 / rank, 0)), 9) AS mrr, count(*) AS queries FROM r""",

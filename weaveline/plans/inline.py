@@ -86,7 +86,7 @@ def s11_links(spark, sf):
 
 
 def s12_resolved_links(spark, sf):
-    d = table(spark, sf, "documents").select(F.concat_ws("/", F.coalesce("category", F.lit("notes")), F.col("doc_id").cast("string")).alias("id"), "text")
+    d = table(spark, sf, "documents").select(F.concat_ws("/", F.coalesce("category", F.lit("pages")), F.col("doc_id").cast("string")).alias("id"), "text")
     known = table(spark, sf, "source_documents").select("id").union(d.select("id"))
     return R.resolved_links(R.link_table(d, "id", "text"), known).groupBy("doc", "kind").agg(F.count("*").alias("n"))
 

@@ -55,11 +55,11 @@ def y10_audited_features(spark, sf):
 
 
 def y7_link_regions(spark, sf):
-    """The region kind of each link's span: related_notes under such a heading, else the smallest region around it, else prose."""
+    """The region kind of each link's span: related under such a heading, else the smallest region around it, else prose."""
     d = C.docs(spark, sf)
     spans = inline._link_spans(spark, sf)
     regions = materialize(R.region_table(d, "id", "content"), "regions").select("doc", "start", "end", "kind")
-    related = R.related_regions(d, "id", "content").withColumn("kind", F.lit("related_notes"))
+    related = R.related_regions(d, "id", "content").withColumn("kind", F.lit("related"))
     under = S.smallest_container(spans, related).filter("kind is not null").select("span_id", F.col("kind").alias("override")).distinct()
     kinds = S.smallest_container(spans, regions).join(under, "span_id", "left")
     return kinds.select("span_id", F.coalesce("override", "kind", F.lit("prose")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))

@@ -149,7 +149,7 @@ def s13_humanized(spark, sf):
 
 
 def x14_rule_validation(spark, sf):
-    """Notes against rules: title, category and body present, no second top heading in the body, fences balanced."""
+    """Documents against rules: title, category and body present, no second top heading in the body, fences balanced."""
     t = F.col("text")
     heads = F.size(F.filter(F.split(F.regexp_replace(X.line_ends(t), r"(?s)```.*?(```|$)", ""), "\n"), lambda x: x.startswith("# ")))
     rules = {

@@ -64,14 +64,14 @@ def proposals_markdown(proposals: DataFrame, titles: DataFrame | None = None, li
 
 
 def inline_markdown(drafts: DataFrame, limit: int = 500) -> str:
-    """The best `limit` accepted drafts by note, how many more there are, and rejected ones counted by reason."""
+    """The best `limit` accepted drafts by document, how many more there are, and rejected ones counted by reason."""
     rows = drafts.filter("rank is not null").orderBy("rank").limit(limit).collect()
     counts = drafts.filter("rank is null").groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason").collect()
     out = ["# Inline proposals", ""]
-    notes: dict[str, list] = {}
+    sources: dict[str, list] = {}
     for r in rows:
-        notes.setdefault(r["source"], []).append(r)
-    for source, items in sorted(notes.items()):
+        sources.setdefault(r["source"], []).append(r)
+    for source, items in sorted(sources.items()):
         out += [f"## {source}", "", *[f"- {r['start']}-{r['end']} to {r['target']} ({r['score']:.3f})" for r in items], ""]
     if len(rows) == limit and (more := drafts.filter("rank is not null").count() - limit):
         out += [f"{more} more accepted ones of lower rank are not listed.", ""]

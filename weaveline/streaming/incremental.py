@@ -60,7 +60,7 @@ def changed_documents(batch: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def follow_documents(stream: DataFrame, state_path: str, build, checkpoint: str) -> StreamingQuery:
-    """Run `build(changed documents, batch)` for every micro-batch, and note the revisions handled under `state_path`.
+    """Run `build(changed documents, batch)` for every micro-batch, and record the revisions handled under `state_path`.
 
     A batch that is retried after a failure writes its revisions to the same
     place, so it is counted once.
