@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weaveline.functions import text as X
-from weaveline.scratch import bounded_broadcast, materialize
+from weaveline.scratch import materialize, spread
 
 # Fixed values of the dictionary.
 KEYPHRASENESS_FLOOR, MOST_WORDS, LEAST_CHARS = 0.065, 5, 3
@@ -41,27 +45,49 @@ def pieces(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(X.collapse_space(c)), F.lit(_PIECE), F.lit(1))
 
 
-def occurrences(docs: DataFrame, text: str, mentions: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, text: str, mentions: DataFrame, most_held: int = 200_000) -> DataFrame:
     """(mention, occurrences): how often each of `mentions` (mention) stands in the texts at word boundaries, 0 included.
 
     Texts and mentions are cut into the same pieces, so an occurrence is a run
-    of pieces; runs of the lengths that occur are looked up by equality, after
-    a first filter on the piece they begin with.
+    of pieces, built only where a mention's first piece stands.  Up to
+    `most_held` mentions are held by every task, which reads its texts once and
+    sends sums; more are met by a join on the first piece.
     """
     m = mentions.select("mention").distinct().withColumn("p", pieces(F.col("mention"))).select("mention", F.size("p").alias("width"), F.col("p")[0].alias("head"), F.array_join("p", "").alias("run"))
     m = materialize(m, "mentions")
-    widths = [r["width"] for r in m.select("width").distinct().orderBy("width").collect()]  # at most the pieces of five words
-    heads, _ = bounded_broadcast(m.select("head", "width").distinct())
-    placed = docs.select(pieces(F.col(text)).alias("p")).filter("p is not null")
-    found = None
-    for width in widths:
-        at = F.filter(F.sequence(F.lit(1), F.size("p") - (width - 1)), lambda i: F.element_at("p", i) != " ")
-        runs = placed.filter(F.size("p") >= width).select(F.explode(F.transform(at, lambda i: F.struct(F.element_at("p", i).alias("head"), F.array_join(F.slice("p", i, F.lit(width)), "").alias("run")))).alias("x")).select("x.head", "x.run")
-        part = runs.join(heads.filter(F.col("width") == width).select("head"), "head", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return mentions.select("mention").distinct().withColumn("occurrences", F.lit(0).cast("long"))
-    return m.join(found, "run", "left").select("mention", F.coalesce("n", F.lit(0)).alias("occurrences"))
+    n, size = m.agg(F.count("*"), F.coalesce(F.sum(F.length("run")), F.lit(0))).first()
+    texts = docs.select(pieces(F.col(text)).alias("p")).filter("p is not null")
+    if n <= most_held and size <= 20 * most_held:
+        counted = _counted_in_one_pass(texts, {r["run"]: (r["head"], r["width"]) for r in m.collect()})
+    else:
+        starts = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.struct(i.alias("i"), F.element_at("p", i).alias("head")))
+        begun = texts.select("p", F.explode(starts).alias("x")).join(m.select("head", "width").distinct(), F.col("x.head") == F.col("head")).filter(F.col("x.i") + F.col("width") - 1 <= F.size("p"))
+        counted = begun.select(F.array_join(F.slice("p", F.col("x.i"), F.col("width")), "").alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    return m.join(counted, "run", "left").select("mention", F.coalesce("n", F.lit(0)).alias("occurrences"))
+
+
+def _counted_in_one_pass(texts: DataFrame, mentions: dict[str, tuple[str, int]]) -> DataFrame:
+    """(run, n) of mentions that every task can hold: texts are read once, and a run is built only where its first piece begins a mention of its width."""
+    widths: dict[str, set[int]] = {}
+    for head, width in mentions.values():
+        widths.setdefault(head, set()).add(width)
+    sent = texts.sparkSession.sparkContext.broadcast(({h: sorted(w) for h, w in widths.items()}, frozenset(mentions)))
+    mark = "\u0001"
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begins, known = sent.value
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for joined in batch["joined"]:
+                p = joined.split(mark)
+                for i, w in enumerate(p):
+                    for width in begins.get(w, ()):
+                        run = "".join(p[i : i + width]) if width > 1 else w
+                        if run in known and i + width <= len(p):
+                            found[run] += 1
+        yield pd.DataFrame(list(found.items()), columns=["run", "n"]).astype({"run": str, "n": "int64"})
+
+    return spread(texts.select(F.array_join("p", mark).alias("joined")), "joined").mapInPandas(count, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def keyphraseness(counts: DataFrame, seen: DataFrame) -> DataFrame:

@@ -132,9 +132,19 @@ def pair_distances(adjacency: DataFrame, pairs: DataFrame, most: int = 5, unreac
 
 
 def common_neighbors(adjacency: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(source, target, n) of given pairs, 0 included."""
+    """(source, target, n) of given pairs, 0 included.
+
+    The neighbours of a pair's end of smaller degree are looked up among the
+    other's by an equi-join on both, so a hub's neighbours are listed only for
+    pairs of two hubs.
+    """
     p = pairs.select("source", "target").distinct()
-    n = p.join(adjacency.select(F.col("a").alias("source"), F.col("b").alias("x")), "source").join(adjacency.select(F.col("a").alias("target"), F.col("b").alias("x")), ["target", "x"]).groupBy("source", "target").agg(F.count("*").alias("n"))
+    d = adjacency.groupBy("a").agg(F.count("*").alias("d"))
+    degree = lambda c: d.select(F.col("a").alias(c), F.col("d").alias(f"d_{c}"))
+    both = p.join(degree("source"), "source").join(degree("target"), "target")  # an end without edges shares none
+    first = F.col("d_source") <= F.col("d_target")
+    asked = both.select("source", "target", F.when(first, F.col("source")).otherwise(F.col("target")).alias("a"), F.when(first, F.col("target")).otherwise(F.col("source")).alias("other"))
+    n = asked.join(adjacency.select("a", F.col("b").alias("x")), "a").join(adjacency.select(F.col("a").alias("other"), F.col("b").alias("x")), ["other", "x"]).groupBy("source", "target").agg(F.count("*").alias("n"))
     return p.join(n, ["source", "target"], "left").na.fill({"n": 0})
 
 

@@ -99,22 +99,26 @@ def train_centroids(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 42)
     return c
 
 
-def approximate_top_k(table: DataFrame, key: str, vector: str, k: int, *, cells: int | None = None, probes: int | None = None, train_rows: int = 20_000, block: int = BLOCK) -> DataFrame:
+def approximate_top_k(table: DataFrame, key: str, vector: str, k: int, within: str | None = None, *, cells: int | None = None, probes: int | None = None, train_rows: int = 20_000, block: int = BLOCK) -> DataFrame:
     """Like `exact_top_k` on unit vectors, but rows meet only in the `probes` partitions nearest to the asking row.
 
-    Partitions come from k-means on at most `train_rows` rows chosen by hash;
-    every row is put into one.  Candidates are scored exactly.
+    Partitions come from k-means on at most `train_rows` rows chosen by hash
+    (four a partition if these are more, up to 200,000); every row is put into
+    one.  Candidates are scored exactly.  A row that meets fewer than k others
+    asks its whole part.
     """
-    rows = table.select(F.col(key).alias("unit"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    part = F.coalesce(F.col(within).cast("string"), F.lit("\u0000")) if within else F.lit("")
+    rows = table.select(part.alias("part"), F.col(key).alias("unit"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
     n = rows.count()
     if n == 0:
-        return exact_top_k(table, key, vector, k)
-    every = max(1, n // train_rows)
-    sample = rows.filter(F.pmod(F.xxhash64("unit"), F.lit(every)) == 0).orderBy("unit").limit(train_rows).toPandas()
+        return exact_top_k(table, key, vector, k, within)
     cells = cells or max(1, round(n**0.5 / 2))
-    centroids = train_centroids(np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((1, 1)), cells)
+    wanted = min(200_000, max(train_rows, 4 * cells))
+    drawn = rows.filter(F.pmod(F.xxhash64("unit"), F.lit(max(1, n // wanted))) == 0) if n > 2 * wanted else rows
+    sample = drawn.orderBy(F.xxhash64("unit", F.lit(3)), "unit").limit(wanted).toPandas()
+    centroids = train_centroids(np.stack(sample["v"].to_numpy()), cells)
     probes = min(probes or int(np.ceil(2 * len(centroids) ** 0.5)), len(centroids))
-    schema = T.StructType([T.StructField("unit", table.schema[key].dataType), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("near", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("unit", table.schema[key].dataType), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("near", T.ArrayType(T.IntegerType()))])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -122,11 +126,33 @@ def approximate_top_k(table: DataFrame, key: str, vector: str, k: int, *, cells:
                 yield b.assign(near=list(np.argsort(-(np.stack(b["v"].to_numpy()) @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
     placed = materialize(rows.mapInPandas(assign, schema), "cells")
-    held = placed.select("unit", "v", F.col("near")[0].alias("cell"))
-    asks = placed.select("unit", "v", F.explode("near").alias("cell"))
-    met = exact_top_k(held, "unit", "v", k + 1, "cell", asks, block).filter("unit <> neighbor")
-    by = Window.partitionBy("unit").orderBy(F.desc("sim"), "neighbor")
-    return met.select("unit", "neighbor", "sim").distinct().withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    cell = F.concat_ws("\u0001", F.col("cell").cast("string"), "part")
+    held = placed.select("part", "unit", "v", F.col("near")[0].alias("cell")).withColumn("cell", cell)
+    asks = placed.select("part", "unit", "v", F.explode("near").alias("cell")).withColumn("cell", cell)
+    met = exact_top_k(held, "unit", "v", k + 1, "cell", asks, block).filter("unit <> neighbor").withColumn("part", F.regexp_replace("part", "^[0-9]+\u0001", ""))
+    by = Window.partitionBy("part", "unit").orderBy(F.desc("sim"), "neighbor")
+    found = materialize(met.select("part", "unit", "neighbor", "sim").distinct().withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k), "near")
+    sizes, _ = bounded_broadcast(placed.groupBy("part").agg(F.count("*").alias("n")))
+    got = found.groupBy("unit").agg(F.count("*").alias("got"))
+    short = placed.join(sizes, "part").join(got, "unit", "left").filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("part", "unit", "v")
+    short = materialize(short, "short")
+    if not short.limit(1).count():
+        return found
+    again = exact_top_k(placed, "unit", "v", k + 1, "part", short, block).filter("unit <> neighbor").drop("rank").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    return found.join(short.select("unit"), "unit", "left_anti").select(*again.columns).unionByName(again)
+
+
+def top_k(table: DataFrame, key: str, vector: str, k: int, within: str | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Nearest neighbours by the backend that `choose_backend` names for each part's number of vectors."""
+    part = F.coalesce(F.col(within).cast("string"), F.lit("\u0000")) if within else F.lit("")
+    sizes = table.filter(F.col(vector).isNotNull()).groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    large = materialize(sizes.filter(F.col("_n") >= exact_rows).select("_part"), "large-parts")  # under n / exact_rows
+    if not large.limit(1).count():
+        return exact_top_k(table, key, vector, k, within)
+    large, _ = bounded_broadcast(large)
+    tagged = table.withColumn("_part", part)
+    small = exact_top_k(tagged.join(large, "_part", "left_anti"), key, vector, k, within)
+    return small.unionByName(approximate_top_k(tagged.join(large, "_part", "left_semi"), key, vector, k, within).select(*small.columns))
 
 
 def local_density(neighbors: DataFrame, first: int = 10) -> DataFrame:

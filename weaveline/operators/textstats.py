@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weaveline.functions import text as X
-from weaveline.scratch import bounded_broadcast, materialize
+from weaveline.scratch import bounded_broadcast, materialize, spread
 
 
 def inverted_index(docs: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -45,20 +49,38 @@ def vocabulary(docs: DataFrame, text: str, size: int = 10_000, least: int = 3) -
 def cooccurrence(docs: DataFrame, key: str, text: str, vocab: DataFrame, reach: int = 20) -> DataFrame:
     """(a, b, n): ordered pairs of vocabulary words within `reach` positions, counted after other words are left out.
 
-    Words are put in order again per document and shifted against themselves
-    inside an array; counts are combined before the shuffle.  The vocabulary is
-    bounded by its size parameter.
+    Words become numbers of the vocabulary, which its size parameter bounds and
+    every task holds; pairs are counted as numbers within a batch and summed
+    before the one shuffle.
     """
-    placed = docs.select(F.col(key).alias("doc"), F.posexplode(X.words(F.col(text))).alias("pos", "word")).join(F.broadcast(vocab.select("word")), "word")
-    rows = placed.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w")).select(F.transform("w", lambda s: s["word"]).alias("w"))
-    shifted = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(reach), F.size("w") - 1)),
-            lambda d: F.zip_with(F.slice("w", F.lit(1), F.size("w") - d), F.slice("w", d + 1, F.size("w") - d), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        )
-    )
-    half = rows.filter(F.size("w") > 1).select(F.explode(shifted).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    words = [r["word"] for r in vocab.select("word").orderBy("word").collect()]
+    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    size, mark = max(len(words), 1), "\u0001"
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, held, n = sent.value, [], 0
+
+        def summed() -> pd.DataFrame:
+            codes, times = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"i": codes // size, "j": codes % size, "n": times})
+
+        for batch in batches:
+            for joined in batch["joined"]:
+                at = np.array([i for i in map(known.get, joined.split(mark)) if i is not None], np.int64)
+                for d in range(1, min(reach, len(at) - 1) + 1):
+                    held.append(at[:-d] * size + at[d:])
+                    n += len(at) - d
+                if n > 8_000_000:
+                    yield summed()
+                    held, n = [], 0
+        if n:
+            yield summed()
+
+    source = spread(docs.select(F.array_join(X.words(F.col(text)), mark).alias("joined")).filter("joined is not null"), "joined")
+    half = source.mapInPandas(count, "i long, j long, n long")
+    both = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "n")).groupBy("i", "j").agg(F.sum("n").alias("n"))
+    names = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(words)), "i long, word string"))
+    return both.join(names, "i").withColumnRenamed("word", "a").join(names.select(F.col("i").alias("j"), F.col("word").alias("b")), "j").select("a", "b", "n")
 
 
 def ppmi(counts: DataFrame, eps: float = 1e-10) -> DataFrame:

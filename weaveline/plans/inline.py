@@ -272,7 +272,7 @@ def _drafts(spark, sf):
     dictionary = _dictionary(spark, sf, counts, common)
     d = C.docs(spark, sf)
     links = _link_spans(spark, sf).select("doc", "start", "end")
-    features = materialize(S.span_features(S.proposed_spans(S.word_grams(d, "id", "content"), dictionary, links)), "span-features")
+    features = materialize(S.span_features(S.proposals(d, "id", "content", materialize(dictionary, "dictionary"), links)), "span-features")
     titles = counts.filter("origin = 'title'").select("mention", "target")
     short = A.targets_of(features.filter("mention is not null").select(F.col("doc").alias("source"), "mention"), common, titles)
     return materialize(I.drafts(features, short, d.select("id", "title")), "drafts"), features

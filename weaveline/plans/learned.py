@@ -72,7 +72,7 @@ def y12_recall_gate(spark, sf):
     d = C.docs(spark, sf)
     left = table(spark, sf, "relationships").filter(~F.col("kind").eqNullSafe("explicit-link") & F.expr("span_start is not null and span_end > span_start"))
     left = left.select(F.col("source_id").alias("doc"), F.col("span_start").alias("start"), F.col("span_end").alias("end"))
-    proposed = materialize(S.proposed_spans(S.word_grams(d, "id", "content", in_links=True), dictionary, left).select("doc", "start", "end"), "proposed")
+    proposed = materialize(S.proposals(d, "id", "content", materialize(dictionary, "dictionary"), left, in_links=True).select("doc", "start", "end"), "proposed")
     items = table(spark, sf, "audit_items").filter("region_kind = 'prose' and span_start is not null and span_end is not null")
     gold = items.select(F.col("id").alias("item"), F.col("source_document_id").alias("doc"), F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("anchor_text").alias("anchor"))
     return S.span_recall(S.narrowed(gold, d.select(F.col("id").alias("doc"), F.col("content").alias("body"))), proposed)

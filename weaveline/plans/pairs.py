@@ -32,7 +32,7 @@ class Stage:
     def __init__(self, spark, sf):
         self.spark, self.sf = spark, sf
         self.units = materialize(C.units(spark, sf), "units")
-        self.neighbors = materialize(K.exact_top_k(self.units, "unit", "v", NEIGHBORS, "view"), "neighbors")
+        self.neighbors = materialize(K.top_k(self.units, "unit", "v", NEIGHBORS, "view"), "neighbors")
         self.density = materialize(K.local_density(self.neighbors), "density")
 
     def matches(self):
