@@ -53,22 +53,6 @@ def hash_embedder(dims: int = 256, *, instruction: str = "", most_tokens: int |
     space tokens.  Null gives null, a text without grams the zero vector.
     """
 
-    def embed_one(text: str, known: dict) -> np.ndarray:
-        if most_tokens is not None:
-            text = " ".join(text.split()[:most_tokens])
-        text = instruction + text
-        out = np.zeros(dims)
-        for n in (3, 4, 5):
-            for i in range(len(text) - n + 1):
-                gram = text[i : i + n]
-                if gram not in known:
-                    value = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-                    known[gram] = ((value >> 1) % dims, -1.0 if value & 1 else 1.0)
-                at, sign = known[gram]
-                out[at] += sign
-        length = np.linalg.norm(out)
-        return out / length if length else out
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         known: dict = {}
@@ -76,12 +60,34 @@ def hash_embedder(dims: int = 256, *, instruction: str = "", most_tokens: int |
         for t in texts:
             if len(known) > 1_000_000:
                 known.clear()
-            out.append(None if t is None else embed_one(t, known).astype(np.float32))
+            out.append(None if t is None else _hash_vector(t, dims, instruction, most_tokens, known).astype(np.float32))
         return pd.Series(out)
 
     return embed
 
 
+def hash_vector(text: str, dims: int = 256, instruction: str = "", most_tokens: int | None = None) -> np.ndarray:
+    """The vector of `hash_embedder` for one text."""
+    return _hash_vector(text, dims, instruction, most_tokens, {})
+
+
+def _hash_vector(text: str, dims: int, instruction: str, most_tokens: int | None, known: dict) -> np.ndarray:
+    if most_tokens is not None:
+        text = " ".join(text.split()[:most_tokens])
+    text = instruction + text
+    out = np.zeros(dims)
+    for n in (3, 4, 5):
+        for i in range(len(text) - n + 1):
+            gram = text[i : i + n]
+            if gram not in known:
+                value = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
+                known[gram] = ((value >> 1) % dims, -1.0 if value & 1 else 1.0)
+            at, sign = known[gram]
+            out[at] += sign
+    length = np.linalg.norm(out)
+    return out / length if length else out
+
+
 def token_states(text: str, dims: int = 32) -> list[tuple[int, int, np.ndarray]]:
     """(start, end, state) of every white space token: bytes of SHA-256 blocks scaled to [-1, 1], half of the state before added, at unit length."""
     import re

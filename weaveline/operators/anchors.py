@@ -60,9 +60,8 @@ def occurrences(docs: DataFrame, text: str, mentions: DataFrame, most_held: int
     if n <= most_held and size <= 20 * most_held:
         counted = _counted_in_one_pass(texts, {r["run"]: (r["head"], r["width"]) for r in m.collect()})
     else:
-        starts = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.struct(i.alias("i"), F.element_at("p", i).alias("head")))
-        begun = texts.select("p", F.explode(starts).alias("x")).join(m.select("head", "width").distinct(), F.col("x.head") == F.col("head")).filter(F.col("x.i") + F.col("width") - 1 <= F.size("p"))
-        counted = begun.select(F.array_join(F.slice("p", F.col("x.i"), F.col("width")), "").alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+        begun = texts.select("p", F.posexplode("p").alias("i", "head")).join(m.select("head", "width").distinct(), "head").filter(F.col("i") + F.col("width") <= F.size("p"))
+        counted = begun.select(F.array_join(F.slice("p", F.col("i") + 1, F.col("width")), "").alias("run")).groupBy("run").agg(F.count("*").alias("n"))
     return m.join(counted, "run", "left").select("mention", F.coalesce("n", F.lit(0)).alias("occurrences"))
 
 

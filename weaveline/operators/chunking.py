@@ -212,3 +212,35 @@ def header_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=schema.names)
 
     return docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).filter("body is not null").mapInPandas(cut, schema)
+
+
+def unit_views(names: list[str], regions: DataFrame, titles: DataFrame, **options) -> DataFrame:
+    """(doc, view, ordinal, text, token_count) of the named views, in one table; an unknown view is a ValueError.
+
+    `regions` of `region_table`, `titles` (doc, title[, aliases, description]).
+    """
+    has = lambda c, kind: F.col(c) if c in titles.columns else F.lit(None).cast(kind)
+
+    def title_units() -> DataFrame:
+        v = titles.select("doc", title_view(F.col("title"), has("aliases", "array<string>"), has("description", "string")).alias("text")).filter("text is not null")
+        return v.select("doc", F.lit("title").alias("view"), F.lit(0).alias("ordinal"), "text", X.token_count(F.col("text")).cast("long").alias("token_count"))
+
+    builders = {
+        "section": lambda: section_units(regions, titles, **options).select("doc", "view", "ordinal", "text", "token_count"),
+        "document": lambda: document_view(regions, titles).select("doc", F.lit("document").alias("view"), F.lit(0).alias("ordinal"), "text", F.col("token_count").cast("long").alias("token_count")),
+        "title": title_units,
+    }
+    if unknown := [n for n in names if n not in builders]:
+        raise ValueError(f"unknown view {unknown[0]}, not among {', '.join(builders)}")
+    out = None
+    for name in dict.fromkeys(names):
+        part = builders[name]()
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("name at least one view")
+    return out
+
+
+def in_unit_order(units: DataFrame) -> DataFrame:
+    """Units by (doc, unit), the order in which vectors are written."""
+    return units.orderBy("doc", "unit")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weaveline.functions import text as X
+from weaveline.functions.vectors import cosine
 from weaveline.operators.pairs import clamp
 
 # Fixed values of the scores and the selection.
@@ -44,20 +45,26 @@ def geometric(scores: dict[str, Column], weights: dict[str, float] = COMBINE) ->
     return F.when(bad, F.raise_error(F.lit("score outside [0, 1]")).cast("double")).when(veto, 0.0).otherwise(F.exp(logs / total))
 
 
-def drafts(features: DataFrame, shortlist: DataFrame, titles: DataFrame) -> DataFrame:
+def drafts(features: DataFrame, shortlist: DataFrame, titles: DataFrame, span_vectors: DataFrame | None = None, target_vectors: DataFrame | None = None) -> DataFrame:
     """The best target of each span, by the cube root of the product of the three scores, ties to the smallest id; spans without a target give none.
 
     `shortlist` is (source, mention, target, commonness, pool, is_title), `titles` (id, title).
+    With `span_vectors` (doc, start, end, v) and `target_vectors` (target, v) the
+    target score has their cosine, 0 where one is missing; without, that term is 0.
     """
     c = features.withColumnRenamed("doc", "source").join(shortlist, ["source", "mention"]).join(titles.select(F.col("id").alias("target"), F.col("title").alias("target_title")), "target", "left")
     edit = X.edit_similarity(F.lower("text"), F.lower(F.coalesce("target_title", F.lit(""))))
+    similarity = F.lit(0.0)
+    if span_vectors is not None and target_vectors is not None:
+        c = c.join(span_vectors.select(F.col("doc").alias("source"), "start", "end", F.col("v").alias("span_v")), ["source", "start", "end"], "left").join(target_vectors.select("target", F.col("v").alias("target_v")), "target", "left")
+        similarity = cosine(F.col("span_v"), F.col("target_v"))
     scored = c.withColumns({
         "naturalness": naturalness(F.col("keyphraseness"), (F.col("is_title_match") > 0) | (F.col("is_alias_match") > 0), F.col("words")),
-        "target_score": target_score(F.col("commonness"), F.lit(0.0), edit, F.col("pool")),
+        "target_score": target_score(F.col("commonness"), similarity, edit, F.col("pool")),
         "placement": placement(F.col("region_prose"), F.col("sentence_position")),
     }).withColumn("product", F.round(F.pow(F.col("naturalness") * F.col("target_score") * F.col("placement"), 1 / 3), 12))
     by = Window.partitionBy("source", "start", "end").orderBy(F.desc("product"), "target")
-    best = scored.withColumn("r", F.row_number().over(by)).filter("r = 1").drop("r", "product", "target_title")
+    best = scored.withColumn("r", F.row_number().over(by)).filter("r = 1").drop("r", "product", "target_title", "span_v", "target_v")
     return best.withColumn("score", geometric({n: F.col(n) for n in COMBINE}))
 
 
@@ -85,14 +92,24 @@ def budget(words: Column, per_link: int = WORDS_PER_LINK, most: int = MOST_LINKS
     return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(words / per_link))).cast("int")
 
 
-def selected(found: DataFrame, budgets: DataFrame) -> DataFrame:
+def selected(found: DataFrame, budgets: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """Eligible drafts (source, start, end, target, score) with `adjusted` and `reason`: null if chosen, else overlaps_selected_span or over_budget.
 
     Greedy a document: relevance against the targets chosen so far; each choice
     drops the spans it overlaps.  `budgets` is (source, budget).  A document's
-    drafts are bounded by its text.
+    drafts are bounded by its text.  Targets are as similar as `similar`
+    (target_a, target_b, sim) says, in either order, 1 to themselves and else 0.
     """
     joined = found.select("source", "start", "end", "target", "score").join(budgets.select("source", "budget"), "source", "left")
+    if similar is None:
+        joined = joined.withColumn("near", F.lit(None).cast("map<string,double>"))
+    else:  # each draft brings its target's similarity to the other targets of its document
+        t = found.select("source", "target").distinct()
+        both = similar.select("target_a", "target_b", "sim", F.lit(0).alias("turn")).unionByName(similar.select(F.col("target_b").alias("target_a"), F.col("target_a").alias("target_b"), "sim", F.lit(1).alias("turn")))
+        met = t.withColumnRenamed("target", "target_a").join(both, "target_a").join(t.withColumnRenamed("target", "target_b"), ["source", "target_b"])
+        one = met.groupBy("source", "target_a", "target_b").agg(F.min_by("sim", "turn").alias("sim"))
+        near = one.groupBy("source", F.col("target_a").alias("target")).agg(F.map_from_entries(F.collect_list(F.struct("target_b", "sim"))).alias("near"))
+        joined = joined.join(near, ["source", "target"], "left").select("source", "start", "end", "target", "score", "budget", "near")
     schema = T.StructType([joined.schema[c] for c in ("source", "start", "end", "target", "score")] + [T.StructField("adjusted", T.DoubleType()), T.StructField("reason", T.StringType())])
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +122,9 @@ def selected(found: DataFrame, budgets: DataFrame) -> DataFrame:
 
             def value(d: dict) -> float:
                 same = targets.count(d["target"])
-                return RELEVANCE * d["score"] - (1 - RELEVANCE) * (same > 0) - SAME_TARGET * same
+                near = dict(d["near"]) if d["near"] else {}
+                most = max((1.0 if t == d["target"] else near.get(t, 0.0) for t in targets), default=0.0)
+                return RELEVANCE * d["score"] - (1 - RELEVANCE) * most - SAME_TARGET * same
 
             best = max(rest, key=lambda d: (value(d), -d["start"], -d["end"]))
             done.append({**best, "adjusted": value(best), "reason": None})
@@ -125,10 +144,18 @@ def selected(found: DataFrame, budgets: DataFrame) -> DataFrame:
     return joined.groupBy("source").applyInPandas(pick, schema)
 
 
+def ranked_in_shares(rows: DataFrame, score: str, ties: list[str], shares: int = 1_000) -> DataFrame:
+    """Rows with `rank` by (score falling, `ties`): ranked within shares of the score's range [0, 1] and put together from the shares' sizes, so no task sorts all rows."""
+    cut = rows.withColumn("_share", F.floor((1 - F.col(score)) * shares).cast("int"))
+    sizes = cut.groupBy("_share").agg(F.count("*").alias("_n"))  # at most `shares` + 1 rows
+    before = F.broadcast(sizes.select("_share", (F.sum("_n").over(Window.orderBy("_share")) - F.col("_n")).alias("_before")))
+    local = Window.partitionBy("_share").orderBy(F.desc(score), *ties)
+    return cut.withColumn("_r", F.row_number().over(local)).join(before, "_share").withColumn("rank", (F.col("_before") + F.col("_r")).cast("int")).drop("_share", "_r", "_before")
+
+
 def presented(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """All drafts: accepted ones ranked by score, then the rejected, which stay with their reason and no rank."""
     ok = chosen.filter("reason is null")
-    by = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "source", "start", "end")  # accepted ones: at most ten a document
-    ranked = ok.withColumn("rank", F.row_number().over(by))
+    ranked = ranked_in_shares(ok, "score", ["source", "start", "end"])
     out = chosen.filter("reason is not null").unionByName(rejected.select(*[c for c in chosen.columns if c != "adjusted"], F.lit(None).cast("double").alias("adjusted")))
     return ranked.unionByName(out.withColumn("rank", F.lit(None).cast("int")))

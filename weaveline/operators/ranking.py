@@ -51,12 +51,15 @@ def direction(forward: Column, backward: Column, has_section: Column) -> Column:
     return F.when(~has_section, "undirected").when(forward - backward > DIRECTION_GAP, "source-to-target").when(backward - forward > DIRECTION_GAP, "target-to-source").otherwise("undirected")
 
 
-def scored(pairs: DataFrame, minimum_relatedness: float = 0.0, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def scored(pairs: DataFrame, minimum_relatedness: float = 0.0, weights: dict[str, float] = WEIGHTS, present: DataFrame | None = None) -> DataFrame:
     """Pairs past the filters, with score, relatedness, usefulness, missingness and quality.
 
-    Takes the columns of `pairs.pair_features`.  Near-duplicates and pairs
-    under `minimum_relatedness` are left out.
+    Takes the columns of `pairs.pair_features`.  Near-duplicates, pairs under
+    `minimum_relatedness` and, with `present` (doc), pairs of a document that
+    isn't there or has no text are left out.
     """
+    for side in ("source", "target") if present is not None else ():
+        pairs = pairs.join(present.select(F.col("doc").alias(side)).distinct(), side, "left_semi")
     p = normalized(pairs.filter(F.col("near_duplicate_probability") <= NEAR_DUPLICATE))
     p = p.withColumns({
         "graph_redundancy_penalty": graph_redundancy(F.col("graph_distance")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import random
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -79,3 +80,109 @@ def deficit_round_robin(sizes: list[list[int]], quantum: int, rounds: int) -> li
             if at[f] == len(packets):
                 credit[f] = 0
     return sent
+
+
+def flows_by_deficit(packets: DataFrame, quantum: int, rounds: int) -> DataFrame:
+    """(queue, flow, sent): `deficit_round_robin` of each queue's flows; `packets` is (queue, flow, packet, size), in order of `packet`."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        flows = [(flow, f.sort_values("packet")["size"].astype(int).tolist()) for flow, f in g.groupby("flow", sort=True)]
+        sent = deficit_round_robin([sizes for _, sizes in flows], quantum, rounds)
+        return pd.DataFrame({"queue": g["queue"].iloc[0], "flow": [f for f, _ in flows], "sent": sent})
+
+    q, f = (packets.schema[c].dataType.simpleString() for c in ("queue", "flow"))
+    return packets.groupBy("queue").applyInPandas(run, f"queue {q}, flow {f}, sent long")
+
+
+def admitted(jobs: DataFrame, room: int) -> DataFrame:
+    """(queue, job, admitted, completion) of one server a queue that turns away a job when `room` others wait or run; in order of (arrival, job)."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        ends: list[int] = []
+        first, rows = 0, []
+        for arrival, job, size in g.sort_values(["arrival", "job"])[["arrival", "job", "size"]].itertuples(index=False):
+            while first < len(ends) and ends[first] <= arrival:
+                first += 1
+            if len(ends) - first >= room:
+                rows.append((g["queue"].iloc[0], job, False, None))
+            else:
+                ends.append(max(arrival, ends[-1] if ends else arrival) + size)
+                rows.append((g["queue"].iloc[0], job, True, ends[-1]))
+        return pd.DataFrame(rows, columns=["queue", "job", "admitted", "completion"]).astype({"completion": "Int64"})
+
+    q, j = jobs.schema["queue"].dataType.simpleString(), jobs.schema["job"].dataType.simpleString()
+    return jobs.groupBy("queue").applyInPandas(run, f"queue {q}, job {j}, admitted boolean, completion long")
+
+
+def hedged(calls: DataFrame, share: float = 0.95) -> DataFrame:
+    """(call, latency): a second request goes out after the `share` quantile (nearest rank) of first latencies, and the earlier answer counts; `calls` is (call, first, second)."""
+    after = nearest_rank(calls.select(F.lit(1).alias("all"), "first"), "all", "first", (share,)).select(F.col(f"p{round(share * 100)}").alias("after"))
+    slow = F.col("first") > F.col("after")
+    return calls.join(F.broadcast(after)).select("call", F.when(slow, F.least("first", F.col("after") + F.col("second"))).otherwise(F.col("first")).alias("latency"))  # one row
+
+
+def batched(requests: DataFrame, most: int, wait: int, fixed: int, each: int) -> DataFrame:
+    """(queue, request, batch, completion): a server takes up to `most` requests once the batch is full or its first has waited `wait`; a batch of n takes `fixed` + n * `each`."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        todo = g.sort_values(["arrival", "request"])[["arrival", "request"]].to_numpy().tolist()
+        rows, i, free, number = [], 0, 0, 0
+        while i < len(todo):
+            limit = todo[i][0] + wait
+            full = todo[i + most - 1][0] if i + most <= len(todo) else limit
+            begin, n = max(free, min(limit, full)), 1
+            while n < most and i + n < len(todo) and todo[i + n][0] <= begin:
+                n += 1
+            free = begin + fixed + n * each
+            rows += [(g["queue"].iloc[0], r, number, free) for _, r in todo[i : i + n]]
+            i, number = i + n, number + 1
+        return pd.DataFrame(rows, columns=["queue", "request", "batch", "completion"])
+
+    q, r = (requests.schema[c].dataType.simpleString() for c in ("queue", "request"))
+    return requests.groupBy("queue").applyInPandas(run, f"queue {q}, request {r}, batch int, completion long")
+
+
+def stealing(depth: int, workers: int, seed: int = 0) -> tuple[int, int]:
+    """(steps, tasks) of a binary recursion tree of fib(`depth`) on `workers` that take their newest task, or else the oldest of a random other."""
+    rng = random.Random(seed)
+    queues: list[list[int]] = [[depth], *[[] for _ in range(workers - 1)]]
+    steps = tasks = 0
+    while any(queues):
+        taken = []
+        for w in range(workers):
+            others = [] if queues[w] else [v for v in range(workers) if queues[v]]
+            if queues[w]:
+                taken.append((w, queues[w].pop()))
+            elif others:
+                taken.append((w, queues[rng.choice(others)].pop(0)))
+        for w, n in taken:
+            tasks += 1
+            queues[w] += [n - 1, n - 2] if n >= 2 else []
+        steps += 1
+    return steps, tasks
+
+
+def mesh_latency(side: int, load: float, cycles: int, seed: int = 0) -> tuple[float, int]:
+    """(mean cycles, packets) from source to target on a `side` x `side` mesh: each node starts a packet a cycle with probability `load`, packets go along the row, then the column, and a link carries one a cycle, the oldest first."""
+    rng = random.Random(seed)
+    moving: list[list[int]] = []  # [born, row, column, target row, target column]
+    total = arrived = 0
+    for now in range(cycles):
+        for r in range(side):
+            for c in range(side):
+                if rng.random() < load:
+                    to = (r * side + c + rng.randrange(1, side * side)) % (side * side)  # another node
+                    moving.append([now, r, c, to // side, to % side])
+        used, left = set(), []
+        for p in sorted(moving, key=lambda p: p[0]):
+            born, r, c, tr, tc = p
+            to = (r, c + (1 if tc > c else -1)) if c != tc else (r + (1 if tr > r else -1), c) if r != tr else (r, c)
+            if to == (r, c):
+                total, arrived = total + now - born, arrived + 1
+                continue
+            if ((r, c), to) not in used:
+                used.add(((r, c), to))
+                p[1], p[2] = to
+            left.append(p)
+        moving = left
+    return (total / arrived if arrived else 0.0), arrived

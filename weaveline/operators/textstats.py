@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weaveline.functions import text as X
 from weaveline.scratch import bounded_broadcast, materialize, spread
@@ -172,3 +173,21 @@ def fuzzy_pairs(strings: DataFrame, value: str, threshold: float = 0.8, grams: i
     band = short.withColumn("near", F.explode(F.sequence(F.greatest(F.lit(0), F.col("len") - F.ceil((1.0 - threshold) * F.col("len") / threshold).cast("int")), F.col("len"))))
     brief = pair(short.withColumn("near", F.col("len")), band, ["near"]).filter("a <> b").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.unionByName(brief).distinct().withColumn("similarity", X.edit_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= threshold - 1e-12)
+
+
+def metadata_index(pages: DataFrame, title: str, category: str, tags: str, description: str) -> DataFrame:
+    """(kind, value, title): the titles that each category, tag and description word stands on, and each title itself.
+
+    `tags` is text with commas or an array; tags and categories are trimmed and
+    lower-cased.  Pages of one title are one entry, as titles are the index's
+    keys; untitled pages have none.
+    """
+    listed = F.col(tags) if isinstance(pages.schema[tags].dataType, T.ArrayType) else F.split(tags, ",")
+    bare = lambda c: F.lower(F.trim(c))
+    p = pages.select(F.trim(title).alias("title"), F.array(bare(F.col(category))).alias("category"), F.transform(listed, bare).alias("tag"), X.words(F.col(description)).alias("description")).filter("title <> ''")
+    kinds = {"title": F.array("title"), "category": F.col("category"), "tag": F.col("tag"), "description": F.col("description")}
+    out = None
+    for kind, values in kinds.items():
+        part = p.select(F.lit(kind).alias("kind"), F.explode(values).alias("value"), "title").filter("value is not null and value <> ''")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()

@@ -245,7 +245,7 @@ def x22_class_sample(spark, sf):
 
 def x23_row_share(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("v"))
-    return e.select("vec_id", F.round(PP.V.row_share(F.col("v"))[0], 9).alias("first"))
+    return e.select("vec_id", F.posexplode(PP.V.row_share(F.col("v"))).alias("i", "x")).select("vec_id", "i", F.round("x", 9).alias("x"))
 
 
 def x25_pca(spark, sf):
@@ -357,6 +357,6 @@ off AS (SELECT l.u, p.item, row_number() OVER (PARTITION BY l.u ORDER BY n DESC,
 r AS (SELECT l.u, min(rank) AS rank FROM last l LEFT JOIN off o ON o.u = l.u AND o.item = l.item AND rank <= 10 GROUP BY l.u)
 SELECT round(avg((rank IS NOT NULL)::INT), 9) AS recall_at_10, round(avg(coalesce(1 / rank, 0)), 9) AS mrr, count(*) AS queries FROM r""",
     "x22_class_sample": "SELECT label, least(count(*), 20) AS n FROM embeddings GROUP BY label",
-    "x23_row_share": "SELECT vec_id, round(abs(embedding[1]::DOUBLE) / greatest(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 1), 9) AS first FROM embeddings",
+    "x23_row_share": "SELECT vec_id, unnest(range(len(embedding)))::INT AS i, unnest(list_transform(embedding, lambda x: round(abs(x::DOUBLE) / greatest(list_sum(list_transform(embedding, lambda y: abs(y::DOUBLE))), 1), 9))) AS x FROM embeddings",
     "x26_taxonomy_view": "SELECT category, count(*) AS n FROM documents WHERE contains(lower(category), 'm') GROUP BY category",
 }

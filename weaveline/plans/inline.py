@@ -143,6 +143,12 @@ def c9_document_view(spark, sf):
     return K.document_view(_regions(spark, sf), _titles(spark, sf)).select("doc", "token_count", F.sha2("text", 256).alias("digest"))
 
 
+def c11_views(spark, sf):
+    """Digest and tokens of the units of all three views, by the order in which vectors are written."""
+    v = K.unit_views(["section", "document", "title"], _regions(spark, sf), _titles(spark, sf)).withColumn("unit", F.concat_ws("#", "doc", "view", F.col("ordinal").cast("string")))
+    return K.in_unit_order(v).select("doc", "view", "ordinal", "token_count", F.sha2("text", 256).alias("digest"))
+
+
 def c10_title_view(spark, sf):
     aliases = _aliases(spark, sf).groupBy("id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     d = C.docs(spark, sf).join(aliases, "id", "left")
@@ -344,7 +350,7 @@ def w3_sessions(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (s2_glob_filter, s4_document_ids, s5_front_matter, s6_titles, s8_flags, s9_revisions, s11_links, s12_resolved_links, s21_content_index, s25_changed, r3_regions, r7_eligible, r8_empty_bodies, r12_publication, c4_section_units,
-                                   c9_document_view, c10_title_view, c13_word_windows, c14_header_segments, y4_token_accounting, y5_vector_references, y6_vector_subset, y19_previews, e9_token_states, i2_anchor_counts, i3_commonness, i4_keyphraseness, i5_eligible,
+                                   c9_document_view, c10_title_view, c11_views, c13_word_windows, c14_header_segments, y4_token_accounting, y5_vector_references, y6_vector_subset, y19_previews, e9_token_states, i2_anchor_counts, i3_commonness, i4_keyphraseness, i5_eligible,
                                    i6_occurrences, i7_anchor_stats, j14_span_containers, j15_free_spans, i10_span_recall, i12_edit_ratio, i13_head_scores, i15_combined, i16_partitioned, i17_budgets, i8_proposed_spans, i9_span_features, i14_drafts, i18_selected, v6_three_way_split,
                                    k1_json_lines, k9_upsert, k11_export, a14_dedupe_latest, w1_tumbling, w2_sliding, w3_sessions)}
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from weaveline.functions import text as X
 from weaveline.functions import vectors as V
 from weaveline.operators import anchors as N
 from weaveline.operators import audit as A
+from weaveline.operators import encoders as EN
 from weaveline.operators import evaluate as E
 from weaveline.operators import graph as G
+from weaveline.operators import heads as H
 from weaveline.operators import knn as K
 from weaveline.operators import learned as L
 from weaveline.operators import regions as R
 from weaveline.operators import simulate as Q
 from weaveline.operators import spans as S
+from weaveline.operators.references import clean_reference
 from weaveline.plans import corpus as C
 from weaveline.plans import evaluation as EV
 from weaveline.plans import graphs, inline
@@ -22,6 +26,8 @@ from weaveline.plans.tables import table
 from weaveline.scratch import materialize
 from weaveline.streaming import incremental as W
 
+#: Folder of public vocabularies.
+VOCABULARIES = "/opt/tokenizers"
 FEATURES = ["keyphraseness", "commonness_top", "anchor_count", "target_count", "word_count", "char_count", "is_title_match", "is_alias_match", "sentence_position", "region_prose", "shape_title", "shape_acronym", "shape_hyphen"]
 
 
@@ -47,11 +53,29 @@ def y11_best_target_cosine(spark, sf):
     return near.select("unit", F.col("sim").alias("best"))
 
 
+def _audited(spark, sf):
+    """The thirteen features of each audited item with a span in a present document; the position is that in the whole document."""
+    counts = inline._counts(spark, sf)
+    per = N.commonness(counts).groupBy("mention").agg(F.count("*").alias("n_targets"), F.max("commonness").alias("top"), F.sum("cnt").alias("total"))
+    kinds = counts.groupBy("mention").agg(F.max(F.col("origin") == "title").alias("is_title"), F.max(F.col("origin") == "alias").alias("is_alias"))
+    known = inline._phrases(spark, sf, counts).select("mention", "keyphraseness").join(per, "mention").join(kinds, "mention")
+    d = C.docs(spark, sf).select(F.col("id").alias("source_document_id"), "content")
+    i = table(spark, sf, "audit_items").filter("span_start is not null and span_end is not null").join(d, "source_document_id")
+    i = i.withColumn("text", F.substring("content", F.col("span_start").cast("int") + 1, F.greatest(F.col("span_end") - F.col("span_start"), F.lit(0)).cast("int"))).withColumn("mention", X.mention_key(F.col("text")))
+    words = X.split_space(F.col("text"))
+    shape = F.udf(lambda t: list(map(float, S.shapes(t))), "array<double>")  # a row an audited item
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    first_upper = F.forall(words, lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))
+    return i.join(known, "mention", "left").withColumn("shape", shape("text")).select(
+        "id", "source_document_id", "span_start", "span_end", "anchor_text", number("keyphraseness").alias("keyphraseness"), number("top").alias("commonness_top"), number("total").alias("anchor_count"), number("n_targets").alias("target_count"),
+        F.size(words).cast("double").alias("word_count"), F.length("text").cast("double").alias("char_count"), number("is_title").alias("is_title_match"), number("is_alias").alias("is_alias_match"),
+        F.least(F.lit(1.0), F.col("span_start") / F.greatest(F.length("content"), F.lit(1))).alias("sentence_position"), (F.col("region_kind") == "prose").cast("double").alias("region_prose"),
+        ((F.size(words) > 0) & first_upper & (F.upper("text") != F.col("text"))).cast("double").alias("shape_title"), F.col("shape")[1].alias("shape_acronym"), F.col("shape")[2].alias("shape_hyphen"),
+    )
+
+
 def y10_audited_features(spark, sf):
-    """Audited items with the place of their span in the whole document."""
-    d = C.docs(spark, sf).select(F.col("id").alias("source_document_id"), F.length("content").alias("len"))
-    i = table(spark, sf, "audit_items").filter("span_start is not null")
-    return i.join(d, "source_document_id").select("id", F.round(F.col("span_start") / F.greatest("len", F.lit(1)), 9).alias("position"), F.col("anchor_word_count").cast("double").alias("word_count"), (F.col("region_kind") == "prose").cast("double").alias("region_prose"))
+    return _audited(spark, sf).select("id", *[F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in FEATURES])
 
 
 def y7_link_regions(spark, sf):
@@ -79,20 +103,81 @@ def y12_recall_gate(spark, sf):
 
 
 def i21_naturalness_head(spark, sf):
-    """A naturalness head fitted on spans that the dictionary knows well and spans it doesn't, and its scores."""
-    features = inline._drafts(spark, sf)[1].withColumn("span_id", F.concat_ws(":", "doc", F.col("start").cast("string"), F.col("end").cast("string")))
-    tier = F.when(F.col("is_title_match") > 0, "a").when(F.col("keyphraseness") > 0.5, "a").when(F.col("anchor_count") == 0, "d")
-    rows = L.training_rows(features.withColumn("best_target", F.col("commonness_top")), features.select("span_id", tier.alias("tier")).filter("tier is not null"))
-    used = FEATURES[2:]
-    model = L.fit_head(rows, used)
-    return L.head_scores(model, features, used, "learned").select("doc", "start", "end", F.round("learned", 6).alias("learned"))
+    """Scores of all proposed spans by a naturalness head fitted on audited spans by their consensus tier, other spans being weak negatives."""
+    _, features = inline._drafts(spark, sf)
+    tiers = A.consensus_tier(EV._votes(spark, sf).filter("field = 'tier'")).select(F.col("item").alias("span_id"), "tier")
+    audited = _audited(spark, sf).withColumn("span_id", F.col("id")).join(tiers.select("span_id"), "span_id", "left_semi")
+    named = features.withColumn("span_id", F.concat_ws(":", "doc", F.col("start").cast("string"), F.col("end").cast("string")))
+    both = audited.select("span_id", F.lit(None).cast("double").alias("best_target"), *FEATURES).unionByName(named.select("span_id", F.col("commonness_top").alias("best_target"), *FEATURES))
+    model = L.fit_head(materialize(L.training_rows(both, tiers), "training-rows"), FEATURES)
+    return L.head_scores(model, named, FEATURES, "learned").select("doc", "start", "end", F.round("learned", 6).alias("learned"))
+
+
+class _Targets:
+    """Catalogue, linked spans and shortlists of the learned target choice, each written once."""
+
+    def __init__(self, spark, sf):
+        d = C.docs(spark, sf)
+        self.docs = d.select(F.col("id").alias("doc"), F.col("content").alias("body"))
+        self.titles = d.select("id", "title")
+        described = d.select("id", "title", F.get_json_object("metadata", "$.category").alias("description"))
+        self.catalog = materialize(H.target_catalog(described, "id", "title", "description"), "catalog")
+        self.links = inline._link_spans(spark, sf).join(table(spark, sf, "relationships").select(F.col("rel_id").alias("span_id"), "target_id", "kind", "anchor_text"), "span_id").filter("kind = 'explicit-link'")
+        self.links = materialize(self.links.select("doc", "start", "end", clean_reference(F.col("target_id")).alias("target"), "anchor_text").filter("target is not null").dropDuplicates(["doc", "start", "end", "target"]), "linked-spans")
+        counts = inline._counts(spark, sf)
+        common = N.commonness(counts)
+        _, self.features = inline._drafts(spark, sf)
+        named = counts.filter("origin = 'title'").select("mention", "target")
+        asked = self.features.filter("mention is not null").select(F.col("doc").alias("source"), "start", "end", "text", "mention")
+        linked = self.links.filter("anchor_text is not null").select(F.col("doc").alias("source"), "start", "end", F.col("anchor_text").alias("text"), X.mention_key(F.col("anchor_text")).alias("mention"))
+        every = materialize(asked.unionByName(linked).filter("mention is not null").distinct(), "asked-spans")
+        short = N.targets_of(every.select("source", "mention"), common, named)
+        self.short = materialize(every.join(short, ["source", "mention"]), "shortlists")
+        self.interiors = materialize(H.span_interiors(self.docs, every.select(F.col("source").alias("doc"), "start", "end").unionByName(self.links.select("doc", "start", "end")).distinct()), "interiors")
+
+    def head(self):
+        rows = self.links.join(self.interiors, ["doc", "start", "end"]).select("v", "target")
+        return H.fit_target_head(rows, self.catalog)
+
+
+def i24_target_catalog(spark, sf):
+    d = C.docs(spark, sf).select("id", "title", F.get_json_object("metadata", "$.category").alias("description"))
+    return H.target_catalog(d, "id", "title", "description").select("target", F.posexplode("v").alias("i", "x")).select("target", "i", F.round("x", 9).alias("x"))
+
+
+def y14_interactions(spark, sf):
+    t = _Targets(spark, sf)
+    near = t.links.join(t.interiors.withColumnRenamed("v", "interior"), ["doc", "start", "end"]).join(t.catalog, "target")
+    return near.select("doc", "start", "end", "target", F.round(H.interaction(F.col("interior"), F.col("v")), 9).alias("cosine"))
 
 
 def i23_learned_drafts(spark, sf):
-    """Drafts whose target shares come from a softmax over their shortlist; abstained where the best share is under a half."""
-    drafts, _ = inline._drafts(spark, sf)
-    shares = L.catalog_softmax(drafts.select("source", "start", "end", "mention", "target", "target_score").withColumn("query", F.concat_ws("|", "source", "mention")), "query", "target_score", 8.0)
-    return shares.select("source", "start", "end", "target", F.round("share", 9).alias("share"), (F.col("share") < 0.5).alias("abstained"))
+    """Every proposed span's best target: softmax of the target head over its shortlist, reranked, with a calibrated confidence."""
+    t = _Targets(spark, sf)
+    scored = materialize(H.scored_shortlist(t.short, t.interiors, t.catalog, t.titles, t.head()), "scored-shortlists")
+    positives = t.links.select(F.col("doc").alias("source"), "start", "end", "target")
+    model = H.fit_reranker(scored, positives)
+    linked = L.head_scores(model, scored.join(positives.withColumn("label", F.lit(True)), ["source", "start", "end", "target"], "left"), H.RERANK_FEATURES, "rerank")
+    judged = linked.join(positives.select("source", "start", "end").distinct(), ["source", "start", "end"], "left_semi").select(F.col("rerank_logit").alias("logit"), F.coalesce("label", F.lit(False)).alias("label"))
+    temperature = E.fit_temperature(judged) if judged.select("label").distinct().count() == 2 else 1.0
+    proposed = scored.join(t.features.select(F.col("doc").alias("source"), "start", "end").distinct(), ["source", "start", "end"], "left_semi")
+    return H.learned_drafts(proposed, model, temperature).select("source", "start", "end", "target", F.round("share", 6).alias("share"), F.round("confidence", 6).alias("confidence"), "abstained")
+
+
+def y15_bundle(spark, sf):
+    """Version of a saved target head, and whether loading it gives the same weights."""
+    import os
+    import tempfile
+
+    import numpy as np
+
+    head, encoder = _Targets(spark, sf).head(), {"name": "hashing-tokens", "dims": 32}
+    with tempfile.TemporaryDirectory() as folder:  # a report of the driver's, not data of the job
+        path = os.path.join(folder, "bundle.json")
+        saved = H.save_bundle(path, {"span": head.span, "target": head.target}, encoder, {"scale": head.scale})
+        weights, settings, loaded = H.load_bundle(path, encoder)
+    same = bool((weights["span"] == head.span).all() and np.array_equal(weights["target"], head.target) and settings["scale"] == head.scale)
+    return spark.createDataFrame([(saved == loaded, same)], "same_version boolean, same_weights boolean")
 
 
 def x20_recommendations(spark, sf):
@@ -159,6 +244,45 @@ def sim_sjf(spark, sf):
     return Q.policy(_jobs(spark, sf), "sjf")
 
 
+def sim_rr(spark, sf):
+    return Q.policy(_jobs(spark, sf), "rr", 10_000_000)
+
+
+def sim_admitted(spark, sf):
+    """Jobs a queue takes, with room for eight, and what it turns away."""
+    a = Q.admitted(_jobs(spark, sf), 8)
+    return a.groupBy("queue").agg(F.count("*").alias("n"), F.sum(F.col("admitted").cast("long")).alias("admitted"), F.max("completion").alias("last"))
+
+
+def sim_hedged(spark, sf):
+    e = table(spark, sf, "events").filter("value is not null").select(F.col("event_id").alias("call"), F.round(F.col("value") * 1_000_000).cast("long").alias("first"))
+    return Q.hedged(e.withColumn("second", F.pmod(F.col("first") * 7919, F.lit(1_000_003))))
+
+
+def sim_batched(spark, sf):
+    r = _jobs(spark, sf).select("queue", F.col("job").alias("request"), "arrival")
+    return Q.batched(r, 16, 1_000_000, 500_000, 20_000)
+
+
+def sim_deficit(spark, sf):
+    j = _jobs(spark, sf)
+    return Q.flows_by_deficit(j.select("queue", F.pmod("job", F.lit(4)).alias("flow"), F.col("job").alias("packet"), "size"), 50_000_000, 20)
+
+
+def c2_model_tokens(spark, sf):
+    """Tokens of every document by a public vocabulary, counted by two libraries that hold the same one."""
+    d = table(spark, sf, "documents").filter("text is not null")
+    a, b = (EN.model_token_count(F.col("text"), f"{VOCABULARIES}/byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    return d.select("doc_id", a.alias("n_tokens"), (a == b).alias("same"))
+
+
+def e5_embedded(spark, sf):
+    """Vectors of chunk headings by the hashing encoder, at unit length."""
+    c = table(spark, sf, "search_chunks").filter("heading is not null")
+    v = EN.embedded(c, "chunk_id", "heading", "hashing", dims=32)
+    return v.select("chunk_id", F.posexplode("v").alias("i", "x")).select("chunk_id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
 def v16_calibrated_acceptance(spark, sf):
     """Sheets accepted above the conformal threshold of their tempered probability."""
     s = EV._scored(spark, sf).withColumn("p", E.with_temperature(F.col("prob") * 6 - 2, 2.0))
@@ -167,7 +291,7 @@ def v16_calibrated_acceptance(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (i21_naturalness_head, i22_training_rows, i23_learned_drafts, j12_left_merge, j17_hard_negatives, j18_known_edges, e4_fresh_units, y7_link_regions, y10_audited_features, y11_best_target_cosine, y12_recall_gate, x20_recommendations,
-                                   x24_graph_classifier, sim_fifo, sim_fifo_waits, sim_srpt, sim_sjf, v16_calibrated_acceptance)}
+                                   x24_graph_classifier, i24_target_catalog, y14_interactions, y15_bundle, c2_model_tokens, e5_embedded, sim_rr, sim_admitted, sim_hedged, sim_batched, sim_deficit, sim_fifo, sim_fifo_waits, sim_srpt, sim_sjf, v16_calibrated_acceptance)}
 
 _UN = graphs.recursive(C.UNITS)
 _JOBS = "jobs AS (SELECT event_type AS queue, event_id AS job, epoch_us(ts) AS arrival, round(value * 1000000)::BIGINT AS size FROM events WHERE value IS NOT NULL)"
@@ -180,7 +304,16 @@ SELECT span_id, CASE WHEN tier = 'a' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, CAS
     "j17_hard_negatives": _UN + """SELECT * FROM (SELECT a.unit AS query, b.unit AS target, round(list_dot_product(a.v, b.v), 9) AS sim, row_number() OVER (PARTITION BY a.unit ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.unit) AS rank
 FROM units a JOIN units b ON a.view = 'section' AND b.view = 'document' AND a.doc <> b.doc) WHERE rank <= 3""",
     "y11_best_target_cosine": _UN + "SELECT a.unit, max(round(list_dot_product(a.v, b.v), 9)) AS best FROM units a, units b WHERE a.view = 'section' AND b.view = 'document' GROUP BY a.unit",
-    "y10_audited_features": graphs.recursive(C.DOCS) + "SELECT i.id, round(span_start / greatest(length(content), 1), 9) AS position, anchor_word_count::DOUBLE AS word_count, (region_kind = 'prose')::INT::DOUBLE AS region_prose FROM audit_items i JOIN docs ON docs.id = source_document_id WHERE span_start IS NOT NULL",
+    "y10_audited_features": inline._OCC.rstrip() + f""", t AS (SELECT i.*, content, content[span_start + 1:greatest(span_end, span_start)] AS txt FROM audit_items i JOIN docs ON docs.id = source_document_id WHERE span_start IS NOT NULL AND span_end IS NOT NULL),
+m AS (SELECT *, {inline._KEY('txt')} AS mention, list_filter(regexp_split_to_array(txt, '{inline._SP}+'), lambda w: w <> '') AS ws FROM t),
+com AS (SELECT mention, count(*) AS n_targets, max(cnt) / sum(cnt) AS top, sum(cnt) AS total FROM (SELECT mention, target, sum(cnt) AS cnt FROM counts GROUP BY ALL) GROUP BY mention), kd AS (SELECT mention, bool_or(origin = 'title') AS ti, bool_or(origin = 'alias') AS al FROM counts GROUP BY mention)
+SELECT id, round(coalesce(keyphraseness, 0), 9)::DOUBLE AS keyphraseness, round(coalesce(top, 0), 9)::DOUBLE AS commonness_top, coalesce(total, 0)::DOUBLE AS anchor_count, coalesce(n_targets, 0)::DOUBLE AS target_count, len(ws)::DOUBLE AS word_count, length(txt)::DOUBLE AS char_count,
+  coalesce(ti, false)::INT::DOUBLE AS is_title_match, coalesce(al, false)::INT::DOUBLE AS is_alias_match, round(least(1.0::DOUBLE, span_start / greatest(length(content), 1)), 9) AS sentence_position, (region_kind = 'prose')::INT::DOUBLE AS region_prose,
+  (len(ws) > 0 AND len(list_filter(ws, lambda w: w[1] = lower(w[1]))) = 0 AND upper(txt) <> txt)::INT::DOUBLE AS shape_title, regexp_full_match(txt, '[[:upper:]][[:upper:][:digit:]]+')::INT::DOUBLE AS shape_acronym,
+  (regexp_full_match(txt, '[[:alnum:]]+(-[[:alnum:]]+)+') AND regexp_matches(txt, '[[:alpha:]]'))::INT::DOUBLE AS shape_hyphen
+FROM m LEFT JOIN phr USING (mention) LEFT JOIN com USING (mention) LEFT JOIN kd USING (mention)""",
+    "sim_hedged": """WITH c AS (SELECT event_id AS call, round(value * 1000000)::BIGINT AS first FROM events WHERE value IS NOT NULL), p AS (SELECT min(first) AS a FROM (SELECT first, row_number() OVER (ORDER BY first) AS r, count(*) OVER () AS n FROM c) WHERE r >= ceil(0.95::DOUBLE * n))
+SELECT call, CASE WHEN first > a THEN least(first, a + (first * 7919) % 1000003) ELSE first END AS latency FROM c, p""",
     "j12_left_merge": "SELECT p_brand, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON l_partkey = p_partkey GROUP BY p_brand",
     "j18_known_edges": graphs.recursive(C.DOCS, C.LINKS) + "SELECT source, target, kind FROM links WHERE source IN (SELECT id FROM docs) AND target IN (SELECT id FROM docs)",
     "e4_fresh_units": "SELECT chunk_id AS unit FROM search_chunks WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM search_chunks WHERE chunk_id % 2 = 0 AND text IS NOT NULL)",

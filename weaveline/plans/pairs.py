@@ -50,7 +50,8 @@ class Stage:
     def scored(self):
         f = self.features()
         section = self.kept.groupBy("source", "target").agg(F.max(F.col("view") == "section").alias("has_section"))
-        s = R.scored(f).join(section, ["source", "target"])
+        present = C.docs(self.spark, self.sf).filter(F.length(X.collapse_space(F.col("content"))) > 0).select(F.col("id").alias("doc"))
+        s = R.scored(f, present=present).join(section, ["source", "target"])
         return s.withColumn("direction", R.direction(F.col("forward"), F.col("backward"), F.col("has_section")))
 
 
@@ -83,7 +84,7 @@ def x21_item_similarity(spark, sf):
 
 def e3_normalized(spark, sf):
     e = table(spark, sf, "chunk_vectors").filter("embedding is not null and size(embedding) > 0")
-    return V.usable(e, "embedding", 96).select("id", F.round(V.norm(V.normalize(F.col("embedding"))), 9).alias("norm"), F.round(V.normalize(F.col("embedding"))[0], 9).alias("first"))
+    return V.usable(e, "embedding", 96).select("id", F.posexplode(V.normalize(F.col("embedding"))).alias("i", "x")).select("id", "i", F.round("x", 9).alias("x"))
 
 
 def e8_cosine(spark, sf):
@@ -97,7 +98,8 @@ def e1_hash_embed(spark, sf):
 
 def y9_document_vectors(spark, sf):
     u = C.units(spark, sf).filter("view = 'document'")
-    return u.groupBy("doc").agg(F.min("unit").alias("unit"), F.round(F.min_by("v", "unit")[0], 9).alias("first"))
+    best = u.groupBy("doc").agg(F.min("unit").alias("unit"), F.min_by("v", "unit").alias("v"))
+    return best.select("doc", "unit", F.posexplode("v").alias("i", "x")).select("doc", "unit", "i", F.round("x", 9).alias("x"))
 
 
 def f3_local_density(spark, sf):
@@ -244,7 +246,7 @@ feats AS MATERIALIZED (SELECT *, 2 * document_similarity - hubness_source - hubn
 SCORED = f"""
 norms AS (SELECT *, {_CL('(csls_similarity + 1) / 2')} AS cs, {_CL('best_chunk_similarity')} AS bc, {_CL('document_similarity')} AS ds, {_CL('top_r_mean_similarity')} AS tr, {_CL('support_breadth')} AS sbn, {_CL('lexical_similarity / 0.5')} AS lx,
   {_CL('near_duplicate_probability')} AS dup, {_CL('(hubness_source + hubness_target) / 2')} AS hub, CASE WHEN graph_distance <= 1 THEN 1.0 WHEN graph_distance <= 2 THEN 0.7 WHEN graph_distance <= 3 THEN 0.3 WHEN graph_distance <= 4 THEN 0.1 ELSE 0 END AS red
-  FROM feats WHERE near_duplicate_probability <= 0.98),
+  FROM feats WHERE near_duplicate_probability <= 0.98 AND source IN (SELECT id FROM docs WHERE trim(content) <> '') AND target IN (SELECT id FROM docs WHERE trim(content) <> '')),
 bridged AS (SELECT *, cs * CASE WHEN graph_distance <= 2 THEN 0 WHEN graph_distance <= 3 THEN 0.5 WHEN graph_distance <= 4 THEN 0.8 ELSE 1 END AS br FROM norms),
 final AS (SELECT source, target, {_CL('0.35 * cs + 0.30 * bc + 0.15 * sbn + 0.10 * lx + 0.10 * br - 0.10 * hub - 0.20 * dup - 0.10 * red')} AS score, {_CL('0.4 * ds + 0.4 * bc + 0.2 * tr')} AS relatedness,
   {_CL('0.5 + 0.25 * sbn + 0.25 * br - 0.25 * hub - 0.5 * dup')} AS usefulness, least(greatest(0.3 + 0.175 * (graph_distance - 2), 0.1), 1.0) AS missingness,
@@ -270,9 +272,9 @@ ORACLE = {
     "j9_search": "SELECT b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM embeddings a, embeddings b WHERE a.vec_id = (SELECT min(vec_id) FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 10",
     "x21_item_similarity": "SELECT b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim, row_number() OVER (ORDER BY round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id = (SELECT min(vec_id) FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 10",
     "j5_knn_by_view": _NN + "SELECT view, unit, neighbor, sim, rank FROM nn",
-    "e3_normalized": f"WITH e AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE {_FINITE}) SELECT id, 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 9) AS first FROM e",
+    "e3_normalized": f"WITH e AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE {_FINITE}) SELECT id, unnest(range(96))::INT AS i, unnest(list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 9))) AS x FROM e",
     "e8_cosine": f"WITH e AS (SELECT id, chunk_id, CAST(embedding AS DOUBLE[]) AS v FROM chunk_vectors WHERE {_FINITE}) SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM e a JOIN e b USING (chunk_id) WHERE a.id < b.id",
-    "y9_document_vectors": _UNITS + "SELECT doc, min(unit) AS unit, round(arg_min(v[1], unit), 9) AS first FROM units WHERE view = 'document' GROUP BY doc",
+    "y9_document_vectors": _UNITS + "SELECT doc, unit, unnest(range(96))::INT AS i, unnest(list_transform(v, lambda x: round(x, 9))) AS x FROM (SELECT doc, min(unit) AS unit, arg_min(v, unit) AS v FROM units WHERE view = 'document' GROUP BY doc)",
     "f3_local_density": _NN + "SELECT unit, round(density, 12) AS density FROM density",
     "f4_hubness": graphs.recursive(C.UNITS, NN, HUB) + "SELECT doc, round(hubness, 12) AS hubness FROM hub",
     "f12_csls": _NN + "SELECT nn.unit, neighbor, round(2 * sim - coalesce(a.density, 0) - coalesce(b.density, 0), 12) AS csls FROM nn LEFT JOIN density a ON a.unit = nn.unit LEFT JOIN density b ON b.unit = neighbor",

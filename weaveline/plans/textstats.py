@@ -140,6 +140,12 @@ def g7_slugs(spark, sf):
     return table(spark, sf, "relationships").select(X.slug_key(F.col("raw_target")).alias("slug")).groupBy("slug").agg(F.count("*").alias("n"))
 
 
+def x6_metadata_index(spark, sf):
+    d = table(spark, sf, "source_documents")
+    tags = F.from_json(F.get_json_object("metadata", "$.tags"), "array<string>")
+    return S.metadata_index(d.select("title", F.get_json_object("metadata", "$.category").alias("category"), tags.alias("tags"), "source_ref"), "title", "category", "tags", "source_ref")
+
+
 def k5_escaped_titles(spark, sf):
     return docs(spark, sf).filter("title is not null").select("doc_id", X.escape_markdown(F.col("title")).alias("escaped"))
 
@@ -167,7 +173,7 @@ def x14_rule_validation(spark, sf):
 QUERIES = {f.__name__: f for f in (
     c1_token_counts, f9_lexical_tokens, x1_inverted_index, x2_tfidf, j10_tfidf_search, x3_vocabulary, x4_cooccurrence, x5_ppmi, x7_shared_words, x8_top_keywords, x9_lemma_distinct,
     x10_keyword_files, x11_category_counts, x11_sparse_sources, x12_tag_collisions, x13_untagged_mentions, x14_rule_validation, x15_index_stats, x15_top_files, x16_edit_similarity, x17_apply_merge,
-    j11_fuzzy_merge, r1_canonical, r1_canonical_nfc, r9_strip_markdown, r10_plain_words, r13_non_ascii, i1_mention_keys, g7_slugs, k5_escaped_titles, s13_humanized)}
+    j11_fuzzy_merge, r1_canonical, r1_canonical_nfc, r9_strip_markdown, r10_plain_words, r13_non_ascii, i1_mention_keys, g7_slugs, x6_metadata_index, k5_escaped_titles, s13_humanized)}
 
 _SP = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 _W = r"[\p{L}\p{N}_]+"
@@ -197,6 +203,8 @@ _MENTION = rf"nullif(lower(regexp_replace(trim(regexp_replace(anchor_text, '{_SP
 _STRIP = lambda c: rf"regexp_replace({c}, '^{_SP}+|{_SP}+$', '', 'g')"
 
 ORACLE = {
+    "x6_metadata_index": r"""WITH p AS (SELECT trim(title) AS title, lower(trim(metadata::JSON ->> '$.category')) AS category, list_transform(CAST(metadata::JSON -> '$.tags' AS VARCHAR[]), lambda t: lower(trim(t))) AS tags, regexp_extract_all(lower(source_ref), '[\p{L}\p{N}_]+') AS words FROM source_documents WHERE trim(title) <> '')
+SELECT DISTINCT kind, value, title FROM (SELECT 'title' AS kind, title AS value, title FROM p UNION ALL SELECT 'category', category, title FROM p UNION ALL SELECT 'tag', unnest(tags), title FROM p UNION ALL SELECT 'description', unnest(words), title FROM p) WHERE value IS NOT NULL AND value <> ''""",
     "c1_token_counts": rf"SELECT doc_id, len(regexp_extract_all(text, '{_W}|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}]')) AS n_tokens FROM documents",
     "f9_lexical_tokens": "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS n_lexical FROM documents",
     "x1_inverted_index": "WITH " + _INDEX + " SELECT word, doc, n FROM idx",

@@ -124,10 +124,47 @@ def run_manifest(run_id: str, stages: list[dict], config: dict) -> str:
     return canonical_json({"config": config, "config_fingerprint": fingerprint(config), "run_id": run_id, "stages": stages})
 
 
+def proposals_json(proposals: DataFrame, limit: int | None = None) -> str:
+    """A whole set as one canonical JSON document in rank order; the set, or its best `limit`, must fit the driver."""
+    rows = proposals.orderBy("rank")
+    return canonical_json({"proposals": [r.asDict(True) for r in (rows if limit is None else rows.limit(limit)).collect()]})
+
+
+def inline_json_lines(drafts: DataFrame) -> DataFrame:
+    """(line) of every draft: accepted ones by rank, then rejected ones by place."""
+    order = [F.col("rank").isNull(), "rank", "source", "start", "end"]
+    return drafts.orderBy(*order).select(F.to_json(F.struct(*sorted(drafts.columns))).alias("line"))
+
+
+def save_reviews(path: str, reviews: list[dict]) -> None:
+    """A review history as canonical JSON in the order given, put in place at once; a row without proposal and decision is an error."""
+    for r in reviews:
+        if not r.get("proposal_id") or r.get("decision") not in ("accept", "reject", "defer"):
+            raise ValueError(f"not a review: {r}")
+    write_text(path, canonical_json({"reviews": reviews}))
+
+
+def load_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, id, decision, reason) of a saved history, `seq` its order."""
+    with open(path, encoding="utf-8") as f:
+        rows = json.load(f)["reviews"]
+    return spark.createDataFrame([(i, r["proposal_id"], r["decision"], r.get("reason")) for i, r in enumerate(rows)], "seq long, id string, decision string, reason string")
+
+
+def write_embeddings(chunks: DataFrame, path: str, text: str, encoder: str = "hashing", **options) -> None:
+    """JSON lines {meta, embedding} of chunks of files (all columns but the text are the meta data), a file a task."""
+    from weaveline.operators.encoders import embedded
+
+    keyed = chunks.withColumn("_key", F.to_json(F.struct(*[c for c in sorted(chunks.columns) if c != text])))
+    v = embedded(keyed, "_key", text, encoder, **options)
+    meta = F.from_json("_key", chunks.drop(text).schema)
+    v.select(F.to_json(F.struct(meta.alias("meta"), F.col("v").alias("embedding"))).alias("value")).write.mode("errorifexists").text(path)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
-    """Rows by key, the one of highest `seq` stays; columns missing on a side are null."""
+    """Rows by key, the one of highest `seq` stays, of equal ones the first as JSON; columns missing on a side are null."""
     both = old.unionByName(new, allowMissingColumns=True)
-    return both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).filter("_r = 1").drop("_r")
+    return both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq), F.to_json(F.struct(*both.columns))))).filter("_r = 1").drop("_r")
 
 
 def save_vectors(df: DataFrame, path: str, unit: str = "unit", vector: str = "v") -> None:
