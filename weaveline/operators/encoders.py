@@ -174,9 +174,9 @@ def model_token_count(text: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        cache = worker_cache()
-        if vocabulary not in cache:
-            cache[vocabulary] = _tokenizer(vocabulary)
-        return pd.Series([None if t is None else cache[vocabulary](t) for t in texts], dtype="Int64")
+        cache, name = worker_cache(), f"counter:{vocabulary}"
+        if name not in cache:
+            cache[name] = _tokenizer(vocabulary)
+        return pd.Series([None if t is None else cache[name](t) for t in texts], dtype="Int64")
 
     return count(text)

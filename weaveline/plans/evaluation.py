@@ -259,10 +259,11 @@ def x26_taxonomy_view(spark, sf):
 
 
 def y2_corpus_fingerprint(spark, sf):
-    """Digest of the ordered (id, revision) list: rows are digested in 256 ranges of ids, then the ranges' digests."""
-    d = table(spark, sf, "source_documents").filter("id is not null").select("id", F.coalesce("revision", F.lit("")).alias("revision"), "doc_key")
-    part = d.groupBy(F.substring(F.sha2("id", 256), 1, 2).alias("part")).agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("id", "revision", "doc_key"))), lambda s: F.concat_ws("\t", s["id"], s["revision"], s["doc_key"].cast("string")))), 256).alias("h"))
-    return part.agg(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda s: s["h"])), 256)).alias("fingerprint"))
+    """Digest of the set of (id, revision, key) rows: sums of four 60-bit parts of the rows' digests, which need no order, and their number."""
+    d = table(spark, sf, "source_documents").filter("id is not null")
+    h = F.sha2(F.concat_ws("\t", "id", F.coalesce("revision", F.lit("")), F.col("doc_key").cast("string")), 256)
+    part = lambda i: F.sum(F.conv(F.substring(h, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return d.agg(F.concat_ws("\n", F.count("*").cast("string"), *[part(i) for i in range(4)]).alias("x")).select(F.concat(F.lit("sha256:"), F.sha2("x", 256)).alias("fingerprint"))
 
 
 QUERIES = {f.__name__: f for f in (v1_holdout, v2_recovery, v3_recovery_by_degree, v4_reviewer_quality, v5_rank_agreement, v7_span_f1_exact, v7_span_f1_overlap, v8_retrieval_metrics, v9_judged_precision, v10_bpref, v11_slices,
@@ -280,6 +281,7 @@ _R = graphs.recursive(C.LINKS, C.UNITS, PP.NN, PP.MATCHES, RANKED).rstrip()
 _RECALL = lambda k: f"round(avg((place <= {k})::DOUBLE), 9) AS recall_at_{k}"
 SCORED = "scored AS (SELECT label_id, item_id, least(1.0, length(context) / 400.0)::DOUBLE AS prob, target_correct AS label FROM audit_labels JOIN audit_items i ON i.id = item_id WHERE target_correct IS NOT NULL)"
 _S = f"WITH {SCORED}"
+_SP = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 VOTES = """sheets AS (SELECT item_id AS item, lower(trim(annotator)) AS annotator, lower(trim(tier)) AS tier, target_correct, anchor_natural, placement_valid,
     row_number() OVER (PARTITION BY item_id, lower(trim(annotator)) ORDER BY labeled_at DESC, label_id DESC) AS rn FROM audit_labels WHERE trim(annotator) <> '' AND item_id IN (SELECT id FROM audit_items)),
 votes AS MATERIALIZED (SELECT item, 'tier' AS field, annotator, tier AS answer FROM sheets WHERE rn = 1 AND tier IN ('a', 'b', 'c', 'd')
@@ -300,6 +302,17 @@ _SWEEP = "cuts AS (SELECT i / 20.0::DOUBLE AS threshold FROM range(21) t(i)), sw
 _F1 = "round(m / p, 9) AS precision, round(m / g, 9) AS recall, round(2 * m / (p + g), 9) AS f1, m::BIGINT AS matched"
 
 ORACLE = {
+    "y2_corpus_fingerprint": "WITH h AS (SELECT sha256(concat_ws(chr(9), id, coalesce(revision, ''), doc_key::VARCHAR)) AS h FROM source_documents WHERE id IS NOT NULL) SELECT 'sha256:' || sha256(concat_ws(chr(10), count(*)::VARCHAR, "
+    + ", ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT::HUGEINT)::VARCHAR" for i in range(4)) + ")) AS fingerprint FROM h",
+    "v25_context_windows": graphs.recursive(C.DOCS) + rf""", r AS (SELECT rel_id, content, greatest(span_start - 240, 0) AS a, least(span_end + 240, length(content)) AS b FROM relationships JOIN docs ON docs.id = source_id WHERE span_start IS NOT NULL AND span_end >= span_start AND span_end <= length(content))
+SELECT rel_id, CASE WHEN a > 0 THEN '... ' ELSE '' END || trim(regexp_replace(content[a + 1:b], '{_SP}+', ' ', 'g')) || CASE WHEN b < length(content) THEN ' ...' ELSE '' END AS context FROM r""",
+    "v24_stratified_sample": """WITH c AS (SELECT strata_key, count(*) AS n FROM audit_items WHERE strata_key IS NOT NULL GROUP BY strata_key), t AS (SELECT sum(n) AS total, count(*) AS k, sum(n - 1) AS room FROM c),
+q AS (SELECT strata_key, n, total, k, (60 - k) * (n - 1) / greatest(room, 1)::DOUBLE AS share, row_number() OVER (ORDER BY n DESC, strata_key) AS big FROM c, t),
+b AS (SELECT *, 1 + least(floor(share), n - 1) AS base FROM q), o AS (SELECT *, row_number() OVER (ORDER BY base >= n, share - floor(share) DESC, strata_key) AS place, 60 - sum(base) OVER () AS short FROM b)
+SELECT strata_key, CASE WHEN total <= 60 THEN n WHEN k >= 60 THEN 1 ELSE base + (place <= short)::INT END::BIGINT AS n FROM o WHERE total <= 60 OR k < 60 OR big <= 60""",
+    "v1_holdout": """WITH d AS (SELECT source_id, count(*) AS deg FROM relationships WHERE kind = 'explicit-link' GROUP BY source_id), e AS (SELECT r.kind, CASE WHEN r.kind = 'explicit-link' THEN CASE WHEN deg <= 1 THEN '1' WHEN deg <= 4 THEN '2-4' ELSE '5+' END END AS bucket FROM relationships r LEFT JOIN d USING (source_id)),
+n AS (SELECT bucket, count(*) AS n FROM e GROUP BY bucket), q AS (SELECT bucket, n, CASE WHEN bucket IS NULL THEN 0 ELSE round_even(0.2 * n, 0)::BIGINT END AS held FROM n)
+SELECT bucket, held, n FROM (SELECT bucket, true AS held, held AS n FROM q UNION ALL SELECT bucket, false, n - held FROM q) WHERE n > 0""",
     "v2_recovery": _R + f""", e AS (SELECT source AS doc, target AS other, rank FROM ranked UNION ALL SELECT target, source, rank FROM ranked),
 placed AS (SELECT least(doc, other) AS a, greatest(doc, other) AS b, min(place) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY rank) AS place FROM e) GROUP BY ALL),
 h AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM held WHERE source <> target),

@@ -385,6 +385,8 @@ d0 AS (SELECT rel_id, source_id AS source,
 d1 AS (SELECT *, CASE WHEN naturalness = 0 OR target_score = 0 OR placement = 0 THEN 0.0::DOUBLE ELSE exp(0.35::DOUBLE * ln(naturalness) + 0.45::DOUBLE * ln(target_score) + 0.2::DOUBLE * ln(placement)) END AS score FROM d0)"""
 
 ORACLE = {
+    "s5_front_matter": r"""WITH m AS (SELECT doc_id AS doc, regexp_extract(text, '(?s)\A---[ \t]*\r?\n(?:.*?\n)??(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)', 0) AS x FROM documents WHERE text IS NOT NULL)
+SELECT doc, length(x) AS "end", length(regexp_replace(regexp_extract(x, '(?s)\A---[ \t]*\r?\n(.*?)(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)\z', 1), '^\s+|\s+$', '', 'g')) AS size FROM m WHERE x <> ''""",
     "s2_glob_filter": "SELECT file_path, count(*) AS n FROM search_chunks WHERE ends_with(file_path, '.md') AND NOT starts_with(file_path, 'systems/') AND NOT regexp_matches(file_path, '^ml/[^/]*/a[^/]*\\.md$') GROUP BY file_path",
     "s4_document_ids": r"SELECT DISTINCT regexp_replace(file_path, '\.md$', '') AS id FROM search_chunks",
     "s8_flags": "SELECT doc_key, coalesce(is_archived, false) AS archived, contains(lower(substr(content, 1, 500)), '<!-- generated -->') AS marked FROM source_documents",

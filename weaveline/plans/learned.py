@@ -63,7 +63,8 @@ def _audited(spark, sf):
     i = table(spark, sf, "audit_items").filter("span_start is not null and span_end is not null").join(d, "source_document_id")
     i = i.withColumn("text", F.substring("content", F.col("span_start").cast("int") + 1, F.greatest(F.col("span_end") - F.col("span_start"), F.lit(0)).cast("int"))).withColumn("mention", X.mention_key(F.col("text")))
     words = X.split_space(F.col("text"))
-    shape = F.udf(lambda t: list(map(float, S.shapes(t))), "array<double>")  # a row an audited item
+    shapes = S.shapes
+    shape = F.udf(lambda t: [float(x) for x in shapes(t)], "array<double>")  # a row an audited item
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     first_upper = F.forall(words, lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))
     return i.join(known, "mention", "left").withColumn("shape", shape("text")).select(
@@ -206,7 +207,7 @@ def x24_graph_classifier(spark, sf):
 
 def j12_left_merge(spark, sf):
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return line.join(table(spark, sf, "part").filter("p_size > 25").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return line.join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 def j18_known_edges(spark, sf):
@@ -312,9 +313,11 @@ SELECT id, round(coalesce(keyphraseness, 0), 9)::DOUBLE AS keyphraseness, round(
   (len(ws) > 0 AND len(list_filter(ws, lambda w: w[1] = lower(w[1]))) = 0 AND upper(txt) <> txt)::INT::DOUBLE AS shape_title, regexp_full_match(txt, '[[:upper:]][[:upper:][:digit:]]+')::INT::DOUBLE AS shape_acronym,
   (regexp_full_match(txt, '[[:alnum:]]+(-[[:alnum:]]+)+') AND regexp_matches(txt, '[[:alpha:]]'))::INT::DOUBLE AS shape_hyphen
 FROM m LEFT JOIN phr USING (mention) LEFT JOIN com USING (mention) LEFT JOIN kd USING (mention)""",
+    "v16_calibrated_acceptance": EV._S + """, p AS (SELECT 1 / (1 + exp(-(prob * 6 - 2) / 2.0)) AS p, label FROM scored), t AS (SELECT s FROM (SELECT CASE WHEN label THEN '-inf'::DOUBLE ELSE p END AS s, row_number() OVER (ORDER BY CASE WHEN label THEN '-inf'::DOUBLE ELSE p END) AS r FROM p) WHERE r = ceil(((SELECT count(*) FROM p) + 1) * 0.8::DOUBLE))
+SELECT count(*) AS n, count(*) FILTER (p > s) AS accepted FROM p, t""",
     "sim_hedged": """WITH c AS (SELECT event_id AS call, round(value * 1000000)::BIGINT AS first FROM events WHERE value IS NOT NULL), p AS (SELECT min(first) AS a FROM (SELECT first, row_number() OVER (ORDER BY first) AS r, count(*) OVER () AS n FROM c) WHERE r >= ceil(0.95::DOUBLE * n))
 SELECT call, CASE WHEN first > a THEN least(first, a + (first * 7919) % 1000003) ELSE first END AS latency FROM c, p""",
-    "j12_left_merge": "SELECT p_brand, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON l_partkey = p_partkey GROUP BY p_brand",
+    "j12_left_merge": "SELECT p_brand, count(*) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "j18_known_edges": graphs.recursive(C.DOCS, C.LINKS) + "SELECT source, target, kind FROM links WHERE source IN (SELECT id FROM docs) AND target IN (SELECT id FROM docs)",
     "e4_fresh_units": "SELECT chunk_id AS unit FROM search_chunks WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM search_chunks WHERE chunk_id % 2 = 0 AND text IS NOT NULL)",
     "sim_fifo": f"WITH {_FIFO} SELECT queue, job, completion FROM f",

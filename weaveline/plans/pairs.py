@@ -190,7 +190,9 @@ def a10_evidence(spark, sf):
     pairs = s.bounded()
     c = table(spark, sf, "search_chunks").select("chunk_id", F.array(F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end"))).alias("spans"))
     spans = s.units.join(c, "chunk_id").select("unit", "spans")
-    return R.evidence(s.kept.join(pairs, ["source", "target"], "left_semi"), spans)
+    e = R.evidence(s.kept.join(pairs, ["source", "target"], "left_semi"), spans)
+    e = e.select("source", "target", F.explode("evidence").alias("e"))
+    return e.select("source", "target", "e.place", "e.src_unit", "e.tgt_unit", "e.sim", *[F.col(f"e.{c}_spans")[0][x].alias(f"{c}_{x}") for c in ("src", "tgt") for x in ("start", "end")])
 
 
 def a16_review_queue(spark, sf):
@@ -267,6 +269,8 @@ _REVIEWED = graphs.recursive(C.DOCS, C.LINKS, graphs.ADJ, C.UNITS, NN, HUB, MATC
 _FINITE = "len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
 ORACLE = {
+    "a10_evidence": _MATCH.rstrip() + """, sp AS (SELECT unit, start_char AS s, end_char AS e FROM units JOIN search_chunks USING (chunk_id))
+SELECT k.source, k.target, place, src_unit, tgt_unit, sim, a.s AS src_start, a.e AS src_end, b.s AS tgt_start, b.e AS tgt_end FROM kept k JOIN bounded USING (source, target) LEFT JOIN sp a ON a.unit = src_unit LEFT JOIN sp b ON b.unit = tgt_unit WHERE place <= 3""",
     "j1_knn_exact": _KNN.format(on="a.vec_id <> b.vec_id", k=10),
     "j2_knn_query": _KNN.format(on="a.vec_id % 20 = 0", k=5),
     "j9_search": "SELECT b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM embeddings a, embeddings b WHERE a.vec_id = (SELECT min(vec_id) FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 10",
