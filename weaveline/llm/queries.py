@@ -115,6 +115,12 @@ ranked AS (
 """
 
 ORACLE = {
+    # without compatibility normalization, which this SQL lacks
+    "p7_found": r"""WITH RECURSIVE bare AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM eval_items WHERE text IS NOT NULL),
+w AS (SELECT side, id, regexp_extract_all(lower(regexp_replace(text, '[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g')), '[\p{L}\p{N}]+') AS w FROM bare),
+g AS (SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram FROM w WHERE len(w) >= 12)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.side = 'd' AND i.side = 'i' AND d.gram = i.gram""",
     "p5_found": _VECTORS + "SELECT DISTINCT least(id, neighbor) AS id_a, greatest(id, neighbor) AS id_b FROM ranked WHERE rank <= 5 AND cosine >= 0.85",
     "p1_found": r"""
 SELECT chunk_id FROM search_chunks
