@@ -302,6 +302,12 @@ _SWEEP = "cuts AS (SELECT i / 20.0::DOUBLE AS threshold FROM range(21) t(i)), sw
 _F1 = "round(m / p, 9) AS precision, round(m / g, 9) AS recall, round(2 * m / (p + g), 9) AS f1, m::BIGINT AS matched"
 
 ORACLE = {
+    "v15_temperature_fit": r"""WITH RECURSIVE s AS (SELECT label, (CASE WHEN label THEN 1 ELSE -1 END) * (least(1.0, length(context) / 400.0)::DOUBLE * 6 - 2) AS z FROM (SELECT l.target_correct AS label, i.context FROM audit_labels l JOIN audit_items i ON i.id = item_id WHERE target_correct IS NOT NULL)),
+zs AS (SELECT list(z) AS z FROM s),
+b(lo, hi, i) AS (SELECT 0.05::DOUBLE, 20.0::DOUBLE, 0 UNION ALL SELECT CASE WHEN d < 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN d < 0 THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM (SELECT lo, hi, i, list_sum(list_transform(z, lambda x: -x / (1 + exp(x * (lo + hi) / 2)))) AS d FROM b, zs WHERE i < 60)),
+m AS (SELECT (lo + hi) / 2 AS beta FROM b WHERE i = 60), l AS (SELECT beta, list_avg(list_transform(z, lambda x: ln(1 + exp(-x * beta)))) AS fitted, list_avg(list_transform(z, lambda x: ln(1 + exp(-x)))) AS plain FROM m, zs)
+SELECT round(CASE WHEN fitted <= plain THEN 1 / beta ELSE 1.0 END, 6) AS temperature FROM l""",
     "y2_corpus_fingerprint": "WITH h AS (SELECT sha256(concat_ws(chr(9), id, coalesce(revision, ''), doc_key::VARCHAR)) AS h FROM source_documents WHERE id IS NOT NULL) SELECT 'sha256:' || sha256(concat_ws(chr(10), count(*)::VARCHAR, "
     + ", ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT::HUGEINT)::VARCHAR" for i in range(4)) + ")) AS fingerprint FROM h",
     "v25_context_windows": graphs.recursive(C.DOCS) + rf""", r AS (SELECT rel_id, content, greatest(span_start - 240, 0) AS a, least(span_end + 240, length(content)) AS b FROM relationships JOIN docs ON docs.id = source_id WHERE span_start IS NOT NULL AND span_end >= span_start AND span_end <= length(content))
