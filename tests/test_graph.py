@@ -81,3 +81,14 @@ def test_propagation_and_rewiring(spark):
     e = _edges(spark, [(f"a{i}", f"b{i}") for i in range(500)])
     r = G.rewired(e).collect()
     assert len(r) == 500 and {x["a"] for x in r} == {f"a{i}" for i in range(500)} and {x["b"] for x in r} == {f"b{i}" for i in range(500)}
+
+
+def test_components_both_ways(spark):
+    import random
+
+    rng = random.Random(7)
+    edges = [(f"n{rng.randint(0, 120)}", f"n{rng.randint(0, 120)}") for _ in range(70)] + [("loop", "loop"), ("z", None)] + [(f"p{i}", f"p{i + 1}") for i in range(40)]
+    df = spark.createDataFrame(edges, "a string, b string")
+    one, many = ({tuple(r) for r in G.connected_components(df, held=h).collect()} for h in (200_000, 0))
+    assert one == many and ("loop", "loop") in one and ("p40", "p0") in one
+    assert G.connected_components(df.limit(0)).count() == 0

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weaveline.scratch import hot_keys, materialize
 
@@ -24,7 +28,7 @@ def degrees(adjacency: DataFrame) -> DataFrame:
     return adjacency.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50, held: int = 200_000) -> DataFrame:
     """(node, component), the component's smallest node, of every node with an edge.
 
     Alternates large and small stars: every node's larger, then smaller,
@@ -32,11 +36,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     rounds grows with the logarithm of the size, also on long paths, and each
     round keeps at most as many edges as there were.  A node's minimum is an
     aggregate with partial sums, so a hub is never collected; each round goes
-    to a table in the shared folder.  Loops make components of their own.
+    to a table in the shared folder.  Loops make components of their own.  Up
+    to `held` distinct edges, by count, are joined up in one task instead, with
+    the same result.
     """
     own = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     nodes = own.select(F.col("u").alias("node")).union(own.select("v")).distinct()
     e = materialize(own.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if e.count() <= held:
+        label = materialize(_components_in_one_task(e), "components")
+        return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     seen = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
@@ -54,6 +63,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _components_in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, component) of a counted small number of edges (u, v)."""
+    schema = T.StructType([T.StructField("node", edges.schema["u"].dataType), T.StructField("component", edges.schema["u"].dataType)])
+
+    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict = {}
+
+        def root(x):
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+                u, v = root(u), root(v)
+                above[max(u, v)] = min(u, v)
+        if above:
+            nodes = list(above)
+            yield pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]})
+
+    return edges.coalesce(1).mapInPandas(join_up, schema)
+
+
 def alias_map(edges: DataFrame, present: DataFrame, kind: str = "alias") -> DataFrame:
     """(node, canonical): the smallest present member of a node's alias class, else the smallest; `present` is (id)."""
     cls = connected_components(edges.filter(F.col("kind") == kind), "source", "target")
