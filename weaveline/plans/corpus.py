@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weaveline.operators.references import clean_reference
 from weaveline.plans.tables import table
+from weaveline.scratch import spread
 
 MODEL = "hash-ngram-v1"
 
@@ -41,7 +42,8 @@ links AS (
 
 
 def links(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "relationships").select(clean_reference(F.col("source_id")).alias("source"), clean_reference(F.col("target_id")).alias("target"), "kind").filter("source is not null and target is not null and kind is not null").distinct()
+    r = spread(table(spark, sf, "relationships").select("rel_id", "source_id", "target_id", "kind"), "rel_id")  # cleaning is all the work
+    return r.select(clean_reference(F.col("source_id")).alias("source"), clean_reference(F.col("target_id")).alias("target"), "kind").filter("source is not null and target is not null and kind is not null").distinct()
 
 
 #: Vectors of the main model with their document: an embedding's latest usable row for each chunk and view.

@@ -10,7 +10,7 @@ from weaveline.plans.tables import table
 
 
 def edges(spark, sf):
-    links = C.links(spark, sf)
+    links = G.materialize(C.links(spark, sf), "links")
     aliases = G.alias_map(links, C.docs(spark, sf).select("id"))
     return G.materialize(G.canonical_edges(links, aliases), "canonical-edges")
 

@@ -14,13 +14,13 @@ from weaveline.operators import spans as S
 from weaveline.plans import corpus as C
 from weaveline.plans import graphs
 from weaveline.plans.tables import table
-from weaveline.scratch import materialize
+from weaveline.scratch import materialize, spread
 from weaveline.sources import scan, sinks
 from weaveline.streaming import incremental as W
 
 
 def _links(spark, sf):
-    r = table(spark, sf, "relationships").filter("kind = 'explicit-link'")
+    r = spread(table(spark, sf, "relationships").filter("kind = 'explicit-link'").select("rel_id", "source_id", "target_id", "anchor_text"), "rel_id")
     return r.select(C.clean_reference(F.col("source_id")).alias("source"), C.clean_reference(F.col("target_id")).alias("target"), "anchor_text", "rel_id").filter("source is not null and target is not null")
 
 
@@ -156,7 +156,7 @@ def c10_title_view(spark, sf):
 
 
 def c13_word_windows(spark, sf):
-    c = table(spark, sf, "search_chunks").filter("text is not null")
+    c = spread(table(spark, sf, "search_chunks").filter("text is not null").select("chunk_id", "text"), "chunk_id")
     return c.select("chunk_id", F.posexplode(K.word_windows(F.col("text"), 100, 20)).alias("i", "window")).select("chunk_id", "i", F.sha2("window", 256).alias("digest"))
 
 

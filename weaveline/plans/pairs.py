@@ -12,7 +12,7 @@ from weaveline.operators import ranking as R
 from weaveline.plans import corpus as C
 from weaveline.plans import graphs
 from weaveline.plans.tables import table
-from weaveline.scratch import materialize
+from weaveline.scratch import materialize, spread
 
 NEIGHBORS, PER_DOCUMENT, VERSION = 10, 20, "weighted-1"
 KINDS = ["explicit-link"]
@@ -22,7 +22,7 @@ FEATURES = ["document_similarity", "title_similarity", "best_chunk_similarity",
 
 def doc_tokens(spark, sf):
     """Token sets of the documents' chunks."""
-    c = table(spark, sf, "search_chunks").filter("file_path is not null and text is not null")
+    c = spread(table(spark, sf, "search_chunks").filter("file_path is not null and text is not null").select("chunk_id", "file_path", "text"), "chunk_id")
     return c.select(F.regexp_replace("file_path", r"\.md$", "").alias("doc"), F.explode(X.lexical_tokens(F.col("text"))).alias("t")).groupBy("doc").agg(F.collect_set("t").alias("tokens"))
 
 
