@@ -3,7 +3,7 @@
 import numpy as np
 
 from weaveline.functions import vectors as V
-from weaveline.operators import heads
+from weaveline.operators import heads, spans
 from weaveline.plans import inline, learned
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +30,17 @@ def test_the_head_is_fitted_in_blocks(monkeypatch):
     monkeypatch.setattr(heads, "BLOCK", 16)
     parts = heads.TargetHead.fit(spans, chosen, catalog, rounds=20)
     assert np.allclose(whole.span, parts.span) and np.allclose(whole.target, parts.target)
+
+
+def test_targets_count_anchors_once(spark, monkeypatch):
+    calls, counts = [], inline._counts
+    monkeypatch.setattr(inline, "_counts", lambda *a: calls.append(a) or counts(*a))
+    assert learned._Targets(spark, SF).short.count() and len(calls) == 1
+
+
+def test_only_runs_that_are_mentions_leave_the_worker(spark):
+    docs = spark.createDataFrame([("d", "the  red _cache_ and the red fox, the réd cache `the red` the red\ncache")], "id string, body string")
+    got = lambda **o: {r["text"] for r in spans.word_grams(docs, "id", "body", heads=frozenset({"the"}), **o).collect()}
+    runs = got()
+    kept = got(mentions=frozenset({"the red cache", "the", "the red _cache"}))
+    assert kept == {t for t in runs if not t.isascii() or t in ("the", "the  red _cache_", "the red\ncache")} and len(kept) < len(runs)
