@@ -1,10 +1,11 @@
 """What keeps queries within their limits on large tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weaveline.functions import vectors as V
-from weaveline.operators import heads, spans
-from weaveline.plans import inline, learned
+from weaveline.operators import heads, knn, spans
+from weaveline.plans import evaluation, inline, learned
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +45,20 @@ def test_only_runs_that_are_mentions_leave_the_worker(spark):
     runs = got()
     kept = got(mentions=frozenset({"the red cache", "the", "the red _cache"}))
     assert kept == {t for t in runs if not t.isascii() or t in ("the", "the  red _cache_", "the red\ncache")} and len(kept) < len(runs)
+
+
+def test_ranks_of_pairs_are_those_of_whole_lists(spark):
+    rng = np.random.default_rng(4)
+    own = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in own[i % 60] * (1 + i % 3) + (0.4 * rng.normal(size=8) if i % 2 else 0)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    pairs = spark.createDataFrame([(i, (i * 7 + 60) % 300 if i % 5 else i + 60) for i in range(0, 240)], "query long, item long").filter("query <> item")
+    lists = knn.exact_top_k(df.select("id", V.normalize(F.col("v")).alias("v")), "id", "v", 10).select(F.col("unit").alias("query"), F.col("neighbor").alias("item"), "rank")
+    want = {tuple(r) for r in lists.join(pairs, ["query", "item"]).select("query", "item", "rank").collect()}
+    got = knn.pair_ranks(df, "id", "v", pairs, 10, block=50, share=4)
+    assert {tuple(r) for r in got.select("query", "item", "rank").collect()} == want and len(want) > 40
+
+
+def test_retrieval_makes_no_lists(spark, monkeypatch):
+    monkeypatch.setattr(knn, "exact_top_k", None)
+    assert evaluation.v8_retrieval_metrics(spark, SF).first()["queries"] > 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weaveline.functions.vectors import dot
+from weaveline.functions.vectors import dot, normalize
 from weaveline.scratch import bounded_broadcast, materialize
 
 #: Vectors a side of one task.
@@ -76,6 +76,55 @@ def exact_top_k(table: DataFrame, key: str, vector: str, k: int, within: str | N
     return met.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
+def pair_ranks(table: DataFrame, key: str, vector: str, pairs: DataFrame, k: int, block: int = 8_192, share: int = 16) -> DataFrame:
+    """(query, item, rank) of the `pairs` (query, item) whose item is among the query's k nearest by cosine, as `exact_top_k` ranks them: similarities rounded to 9 places, ties to the smaller key.
+
+    How many others are nearer than the item is counted, so no lists are made.
+    Pairs with k nearer ones among 1/`share` of the vectors are out already;
+    only the others meet all vectors.  `vector` is array<float>, not zero.
+    """
+    held = table.select(F.col(key).alias("unit"), F.col(vector).cast("array<float>").alias("v"))
+    of = lambda name, v: held.select(F.col("unit").alias(name), F.col("v").alias(v))
+    both = pairs.select("query", "item").join(of("query", "v"), "query").join(of("item", "w"), "item")
+    asked = materialize(both.select("query", "item", "v", F.round(dot(normalize(F.col("v")), normalize(F.col("w"))), 9).alias("least")), "pairs")
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        b, q = group[~group["asks"]].sort_values("unit"), group[group["asks"]]
+        if not len(b) or not len(q):
+            return pd.DataFrame({"unit": [], "item": [], "n": []})
+        unit = lambda v: (x := np.stack(v.to_numpy()).astype(np.float64)) / np.sqrt(np.vecdot(x, x))[:, None]
+        x, ids, nearer = unit(b["v"]), b["unit"].to_numpy(), []
+        for i in range(0, len(q), 512):
+            some = q.iloc[i : i + 512]
+            sim, least = unit(some["v"]) @ x.T, some["least"].to_numpy()[:, None]
+            for name in ("unit", "item"):
+                at = np.minimum(np.searchsorted(ids, some[name]), len(ids) - 1)
+                r = np.flatnonzero(ids[at] == some[name].to_numpy())
+                sim[r, at[r]] = -np.inf
+            above = sim > least + 2e-9
+            n = np.count_nonzero(above, axis=1)
+            r, c = np.nonzero((sim > least - 2e-9) & ~above)
+            s, t = np.round(sim[r, c], 9), least[r, 0]
+            nearer.append(n + np.bincount(r[(s > t) | (s == t) & (ids[c] < some["item"].to_numpy()[r])], minlength=len(n)))
+        return pd.DataFrame({"unit": q["unit"], "item": q["item"], "n": np.concatenate(nearer)})
+
+    def counted(among: DataFrame, asks: DataFrame) -> DataFrame:
+        wide, high = (max(1, -(-df.count() // block)) for df in (among, asks))
+        place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        nothing = F.lit(None)
+        left = among.select(place("unit", wide).alias("l"), every(high).alias("r"), F.lit(False).alias("asks"), "unit", nothing.cast(kind).alias("item"), "v", nothing.cast("double").alias("least"))
+        right = asks.select(every(wide).alias("l"), place("query", high).alias("r"), F.lit(True).alias("asks"), F.col("query").alias("unit"), "item", "v", "least")
+        met = left.unionByName(right).repartition(wide * high, "l", "r").groupBy("l", "r").applyInPandas(count, f"unit {kind}, item {kind}, n long")
+        return met.groupBy(F.col("unit").alias("query"), "item").agg(F.sum("n").alias("n"))
+
+    kind = table.schema[key].dataType.simpleString()
+    some = held.filter(F.pmod(F.xxhash64("unit", F.lit(5)), F.lit(share)) == 0)
+    out = counted(some, asked).filter(F.col("n") >= k).select("query", "item")
+    left = materialize(asked.join(out, ["query", "item"], "left_anti"), "open-pairs")
+    return counted(held, left).filter(F.col("n") < k).select("query", "item", (F.col("n") + 1).alias("rank"))
+
+
 def search(table: DataFrame, key: str, vector: str, query: list[float], limit: int) -> DataFrame:
     """The `limit` vectors of highest dot product with one query: (key, sim); one scan, and a top-k without a full sort."""
     sim = F.round(dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 9)
