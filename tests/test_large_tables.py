@@ -62,3 +62,10 @@ def test_ranks_of_pairs_are_those_of_whole_lists(spark):
 def test_retrieval_makes_no_lists(spark, monkeypatch):
     monkeypatch.setattr(knn, "exact_top_k", None)
     assert evaluation.v8_retrieval_metrics(spark, SF).first()["queries"] > 0
+
+
+def test_recommendations_by_scan_are_those_by_lists(spark):
+    rng = np.random.default_rng(5)
+    ratings = spark.createDataFrame([(u, int(i), float(rng.integers(1, 9))) for u in range(60) for i in rng.choice(400, 5 + u, replace=False)], "user int, item int, n float")
+    got, want = ({tuple(r) for r in learned.L.recommend(ratings, "user", "item", "n", 5, most_held=n).select("user", "item", "rank").collect()} for n in (10**6, 0))
+    assert got == want and len(got) == 300

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weaveline.operators import knn
-from weaveline.scratch import materialize
+from weaveline.scratch import materialize, spread
 
 # Class prior of unlabelled spans, score under which a span is a confirmed negative.
 PRIOR, CONFIRMED = 0.05, 0.2
@@ -87,14 +87,19 @@ def groups_in_batches(sizes: dict[str, int], batch: int) -> list[list[str]]:
     return out
 
 
-def recommend(ratings: DataFrame, user: str, item: str, strength: str, k: int, rank: int = 16, rounds: int = 6, seed: int = 7, most_asked: int = 500) -> DataFrame:
+def recommend(ratings: DataFrame, user: str, item: str, strength: str, k: int, rank: int = 16, rounds: int = 6, seed: int = 7, most_asked: int = 500, most_held: int = 32_000_000) -> DataFrame:
     """(user, item, rank): the k best items of each user by implicit matrix factorization, items it has left out.
 
-    As the model ranks all items, k plus the most items of a user are asked
-    for before those it has are taken out.  Users for whom that is more than
+    Up to `most_held` numbers of item factors are held by every task, which reads
+    its users once and sends k items of each.  With more, the model ranks all
+    items: k plus the most items of a user are asked for
+    before those it has are taken out.  Users for whom that is more than
     `most_asked` are ranked apart over all items they don't have.
     """
-    model = ALS(userCol=user, itemCol=item, ratingCol=strength, implicitPrefs=True, rank=rank, maxIter=rounds, seed=seed, coldStartStrategy="drop").fit(ratings)
+    model = ALS(userCol=user, itemCol=item, ratingCol=strength, implicitPrefs=True, rank=rank, maxIter=rounds, seed=seed, coldStartStrategy="drop", checkpointInterval=1).fit(ratings)  # each round lets go of its shuffles
+    if model.itemFactors.count() * rank <= most_held:
+        best = _best_by_scan(model, ratings, user, item, k, rank)
+        return best.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("score"), item))).drop("score")
     owned = materialize(ratings.groupBy(user).agg(F.count("*").alias("n")), "owned-items")
     light, heavy = owned.filter(F.col("n") + k <= most_asked), owned.filter(F.col("n") + k > most_asked).select(user)
     crowded = heavy.count()
@@ -109,6 +114,57 @@ def recommend(ratings: DataFrame, user: str, item: str, strength: str, k: int, r
     return out.unionByName(best.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("score"), item))).filter(F.col("rank") <= k).drop("score"))
 
 
+def _best_by_scan(model: ALSModel, ratings: DataFrame, user: str, item: str, k: int, rank: int, users: int = 256, tile: int = 4_096) -> DataFrame:
+    """(user, item, score): the k best items that each user of `ratings` lacks; ties by item.
+
+    Items come by falling norm, so a user is done once the norms' product is
+    under its kth score.  Products in single precision only choose what is
+    scored in double precision, with room for their error.
+    """
+    table = model.itemFactors.orderBy("id").toArrow()
+    held = table["features"].combine_chunks().flatten().to_numpy().reshape(-1, rank)
+    size = np.linalg.norm(held.astype(np.float64), axis=1)
+    order = np.argsort(-size, kind="stable")
+    sent = ratings.sparkSession.sparkContext.broadcast((table["id"].to_numpy().astype(np.int32)[order], held[order], size[order]))
+    has = ratings.groupBy(F.col(user).cast("int").alias("id")).agg(F.collect_set(F.col(item).cast("int")).alias("has"))
+
+    def best(u: np.ndarray, has: list, ids: np.ndarray, held: np.ndarray, size: np.ndarray, known: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, length = len(ids), np.linalg.norm(u, axis=1)
+        own = np.sort(np.concatenate([r * n + place[np.searchsorted(known, h)] for r, h in enumerate(has)]))
+        least, narrow = np.full(len(u), -np.inf), u.astype(np.float32)
+        row, at, score = np.empty(0, int), np.empty(0, int), np.empty(0)
+        for i in range(0, n, tile):
+            live = np.flatnonzero(length * size[i] * (1 + 1e-9) >= least)
+            if not len(live):
+                break
+            room = 1e-5 * length[live] * size[i]
+            r, c = np.nonzero(narrow[live] @ held[i : i + tile].T >= (least[live] - room)[:, None])
+            r, c = live[r], c + i
+            key = r * n + c
+            new = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] != key
+            r, c = r[new], c[new]
+            row, at, score = np.concatenate([row, r]), np.concatenate([at, c]), np.concatenate([score, np.einsum("nk,nk->n", u[r], held[c].astype(np.float64))])
+            o = np.lexsort((ids[at], -score, row))
+            row, at, score = row[o], at[o], score[o]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, at, score, nth = (x[nth < k] for x in (row, at, score, nth))
+            least[row[nth == k - 1]] = score[nth == k - 1]
+        return row, ids[at], score
+
+    def run(batches):
+        ids, held, size = sent.value
+        place = np.argsort(ids)
+        known = ids[place]
+        for b in batches:
+            for i in range(0, len(b), users):
+                some = b.iloc[i : i + users]
+                row, items, score = best(np.stack(some["features"]).astype(np.float64), list(some["has"]), ids, held, size, known, place)
+                yield pd.DataFrame({user: some["id"].to_numpy()[row], item: items, "score": score})
+
+    asks = spread(model.userFactors.join(has, "id"), "id")
+    return materialize(asks.mapInPandas(run, f"`{user}` int, `{item}` int, score double"), "recommended")
+
+
 def _best_unowned(model: ALSModel, owned: DataFrame, user: str, item: str, k: int, users: int, user_block: int = 256, item_block: int = 4_096) -> DataFrame:
     """(user, item, score): of every block of items the k best ones that each of `users` users of `owned` (user, item) lacks; ties by item."""
     users_of, items_of = (F.lit(max(1, -(-n // size))) for n, size in ((users, user_block), (model.itemFactors.count(), item_block)))

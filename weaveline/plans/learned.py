@@ -216,7 +216,7 @@ def y15_bundle(spark, sf):
 def x20_recommendations(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("user"))
     bought = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("user", F.col("l_partkey").cast("int").alias("item")).agg(F.count("*").cast("float").alias("n"))
-    return L.recommend(bought, "user", "item", "n", 5)
+    return L.recommend(materialize(bought, "bought"), "user", "item", "n", 5)
 
 
 def x24_graph_classifier(spark, sf):
