@@ -133,12 +133,13 @@ def _best_by_scan(model: ALSModel, ratings: DataFrame, user: str, item: str, k:
         own = np.sort(np.concatenate([r * n + place[np.searchsorted(known, h)] for r, h in enumerate(has)]))
         least, narrow = np.full(len(u), -np.inf), u.astype(np.float32)
         row, at, score = np.empty(0, int), np.empty(0, int), np.empty(0)
-        for i in range(0, n, tile):
+        cuts = [0, *[c for c in (64, 256, 1_024) if c < min(n, tile)], *range(tile, n, tile), n]  # few at first, as all of these are candidates
+        for i, stop in zip(cuts, cuts[1:]):
             live = np.flatnonzero(length * size[i] * (1 + 1e-9) >= least)
             if not len(live):
                 break
             room = 1e-5 * length[live] * size[i]
-            r, c = np.nonzero(narrow[live] @ held[i : i + tile].T >= (least[live] - room)[:, None])
+            r, c = np.nonzero(narrow[live] @ held[i:stop].T >= (least[live] - room)[:, None])
             r, c = live[r], c + i
             key = r * n + c
             new = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] != key
