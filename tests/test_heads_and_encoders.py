@@ -64,6 +64,37 @@ def test_target_head_learns_which_target_a_span_means(spark):
     assert np.allclose(head.score(spans[:5], catalog[chosen[:5]]), (head.scale * (spans[:5] @ head.span) * (catalog[chosen[:5]] @ head.target)).sum(1))
 
 
+@pytest.mark.parametrize("n_spans, n_targets", [(4_400, 200), (200, 4_600)])
+def test_target_head_is_fitted_on_every_span_and_target(spark, n_spans, n_targets):
+    rng = np.random.default_rng(4)
+    catalog = rng.normal(size=(n_targets, 4)).astype(np.float32).astype(float)
+    catalog[-10:] = catalog[:10]  # targets of one vector
+    chosen = rng.integers(0, 100, n_spans)
+    spans = (catalog[chosen] @ rng.normal(size=(4, 4)) + 0.3 * rng.normal(size=(n_spans, 4))).astype(np.float32).astype(float)
+    spans[-100:], chosen[-100:] = spans[:100], chosen[:100]  # linked twice
+    targets = spark.createDataFrame([(f"t{i}", v.tolist()) for i, v in enumerate(catalog)], "target string, v array<double>")
+    linked = spark.createDataFrame([(f"t{c}", v.tolist()) for c, v in zip(chosen, spans)] + [("nowhere", [9.0] * 4)], "target string, v array<double>")
+    scores = lambda head: head.scale * (spans[:50] @ head.span) @ (catalog[:50] @ head.target).T
+    assert np.allclose(scores(heads.fit_target_head(linked, targets)), scores(heads.TargetHead.fit(spans, chosen, catalog)), atol=1e-3)
+    held, jobs = (heads.fit_target_head(linked.repartition(3), targets.repartition(2), held_pairs=n, rounds=4) for n in (10**9, 0))
+    assert np.allclose(held.span, jobs.span, atol=1e-6) and np.allclose(held.target, jobs.target, atol=1e-6)
+    with pytest.raises(ValueError):
+        heads.fit_target_head(linked.filter("target = 'nowhere'"), targets)
+
+
+def test_mean_targets_of_large_and_small_scores():
+    rng = np.random.default_rng(5)
+    spans, targets, times = rng.normal(size=(700, 3)).astype(np.float32), rng.normal(size=(1_300, 3)).astype(np.float32), rng.integers(1, 4, (1_300, 1))
+    held, weights = np.hstack([times * targets, times]).astype(np.float32), rng.random(700)
+    for size in (1.0, 30.0):
+        a, b = rng.normal(size=(3, 2)) * size, rng.normal(size=(3, 2)) * size
+        logit = (spans @ a) @ (targets @ b).T + np.log(times[:, 0])
+        prob = np.exp(logit - logit.max(1, keepdims=True))
+        want = (spans * weights[:, None]).T @ (prob / prob.sum(1, keepdims=True) @ targets)
+        got = heads.expected_products(spans, weights, held, a, b)
+        assert np.abs(got - want).max() < 1e-3 * np.abs(want).max()
+
+
 def test_catalog_interiors_and_drafts(spark):
     docs = spark.createDataFrame([("a", "Queue", "waits in line"), ("b", None, None)], "id string, title string, description string")
     got = {r["target"]: r["v"] for r in heads.target_catalog(docs, "id", "title", "description", 8).collect()}
